@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelineage.llm import chat_format, html_extract, langid, mixing, toxicity
+from lakelineage.llm import chat_format, html_extract, langid, minhash_dedup, mixing, toxicity
 from lakelineage.llm.common import table
 
 
@@ -37,6 +37,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op4_mix": op4_mix,
     "op5_html_extract": op5_html_extract,
     "op7_toxicity": op7_toxicity,
