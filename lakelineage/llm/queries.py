@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelineage.llm import chat_format, html_extract, langid, minhash_dedup, mixing, toxicity
+from lakelineage.llm import chat_format, decontaminate, html_extract, langid, minhash_dedup, mixing, toxicity
 from lakelineage.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_mix": op4_mix,
     "op5_html_extract": op5_html_extract,
+    "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op10_language_id": op10_language_id,
 }
