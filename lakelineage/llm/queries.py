@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelineage.llm import chat_format, decontaminate, embedding_dedup, html_extract, langid, minhash_dedup, mixing, toxicity
+from lakelineage.llm import chat_format, decontaminate, embedding_dedup, html_extract, langid, line_dedup, minhash_dedup, mixing, toxicity
 from lakelineage.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extract": op5_html_extract,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL}
