@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelineage.llm import chat_format, decontaminate, embedding_dedup, html_extract, langid, line_dedup, minhash_dedup, mixing, toxicity
+from lakelineage.llm import chat_format, decontaminate, embedding_dedup, html_extract, langid, line_dedup, minhash_dedup, mixing, pii, toxicity
 from lakelineage.llm.common import table
 
 
@@ -86,6 +86,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL}
