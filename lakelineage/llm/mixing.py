@@ -35,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
         F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
     )
     leveled = dealt.withColumn("_level", level).withColumn("_full", F.col("_limit") <= F.col("_w") * F.col("_level"))
-    final = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    final = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)  # of the first that isn't full; it falls after that
     target = F.when(F.col("_full"), F.col("_limit")).otherwise(F.least(F.col("_limit"), F.col("_w") * F.col("_final")))
     return leveled.withColumn("_final", final).select("source", "source_size", target.alias("target"))
 
