@@ -3,52 +3,105 @@
 Distinct lines are cut into EDITS + 1 segments. Two lines within EDITS edits share at least one segment unchanged, near
 its place. Every line puts its own segments, by its length, into an index, and probes the index, for each length that
 it can be compared with, with the substrings that could be such a segment: those whose shift fits both the edits that
-can lie before the segment and those that can lie after it. Pairs that meet are verified by a banded bit-parallel edit
-distance: one integer of 2 * EDITS + 1 bits holds the differences along a column of the band.
+can lie before the segment and those that can lie after it.
+
+A segment that over HOT lines have says too little. Lines that meet at one are cut anew, into FINE segments; EDITS
+edits leave all but EDITS of those unchanged, so they meet by all but EDITS segments together, each at the shifts that
+the edits before it allow. That loses no pair, and lines that share but a passage no longer meet.
+
+Pairs that meet are verified: first by the number of fine segments that the longer line has near their places, then by
+a banded bit-parallel edit distance: one integer of 2 * EDITS + 1 bits holds the differences along a column of the band.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelineage.llm.common import components, stored
 
 EDITS = 2
 LEAST = 20  # code points of a line that counts; shorter ones stay
-BITMAP = 1 << 20  # bits of the map of lines that met
-TRIM = r"^[ \t\r]+|[ \t\r]+$"
+HOT = 32  # lines that share a segment, at most, for it to be an index key
+FINE = 6  # segments of lines that meet at a hot one
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 25  # of the map of lines that met, which is sent to every task
+BLANKS = " \t\r"
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """``doc_id``, ``doc_key`` (of id and text), ``pos`` from 0, ``line`` (trimmed) and ``id`` (its hash) of lines that count."""
     split = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    split = split.withColumn("line", F.regexp_replace("line", TRIM, "")).where(F.length("line") >= least)
+    split = split.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= least)
     return split.withColumn("id", F.xxhash64("line"))
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def segment(length: Column, i: int, segments: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment ``i`` of a line: even sizes, the longer ones last."""
-    k = edits + 1
-    base = F.floor(length / k).cast("int")
-    short = F.lit(k) - length % k  # segments of the smaller size
+    base = F.floor(length / segments).cast("int")
+    short = F.lit(segments) - length % segments  # segments of the smaller size
     return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
 
 
-def entries(lines: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Index (``key``, ``a``) and probes (``key``, ``b``) of lines ``id``, ``line``."""
+def entries(edits: int) -> tuple[Column, Column]:
+    """Index keys and probe keys of ``line``, as arrays."""
     n = F.length("line")
     key = lambda size, i, start, width: F.xxhash64(size, F.lit(i), F.substring("line", start + 1, width))
-    own = F.array(*[key(n, i, *segment(n, i, edits)) for i in range(edits + 1)])
+    own = F.array(*[key(n, i, *segment(n, i, edits + 1)) for i in range(edits + 1)])
     probes = []
     for less in range(edits + 1):  # the indexed line is shorter by so much, or as long
         size = n - less
         for i in range(edits + 1):
-            start, width = segment(size, i, edits)
+            start, width = segment(size, i, edits + 1)
             before, after = i, edits - i  # edits that can lie before the segment, and after it
             for shift in range(max(-before, less - after), min(before, less + after) + 1):
                 probes.append(key(size, i, start + shift, width))
-    return lines.select(F.col("id").alias("a"), F.explode(own).alias("key")), lines.select(F.col("id").alias("b"), F.explode(F.array(*probes)).alias("key"))
+    return own, F.array(*probes)
+
+
+def fine_entries(lines: DataFrame, edits: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """Index (``key``, ``a``) and probes (``key``, ``b``) by all segments but ``edits`` touched ones.
+
+    The shift of a segment is what the touched segments before it add up to; all of them add up to the difference of
+    the lengths, and together to no more than ``edits``.
+    """
+    n, shifts = F.length("line"), range(-edits, edits + 1)
+
+    def hashes(less: int) -> Column:
+        size = n - less
+        return F.array(*[F.xxhash64(F.substring("line", start + 1 + shift, width)) for i in range(segments) for start, width in [segment(size, i, segments)] for shift in shifts])
+
+    def keys(less: int) -> set[tuple]:
+        """(touched segments, shift of each of the others) for lines that are longer by ``less``."""
+        found = set()
+        for touched in combinations(range(segments), edits):
+            for steps in product(shifts, repeat=edits):
+                if sum(steps) == less and sum(map(abs, steps)) <= edits:
+                    found.add((touched, tuple((i, sum(d for t, d in zip(touched, steps, strict=True) if t < i)) for i in range(segments) if i not in touched)))
+        return found
+
+    def written(column: str, less: int, chosen: set[tuple]) -> list[Column]:
+        at = lambda i, shift: F.col(column)[i * len(shifts) + shift + edits]
+        return [F.xxhash64(n - less, F.lit(str(touched)), *[at(i, d) for i, d in rest]) for touched, rest in sorted(chosen)]
+
+    rows = lines.select("id", "line", *[hashes(less).alias(f"h{less}") for less in range(edits + 1)])
+    still = {k for k in keys(0) if all(d == 0 for _, d in k[1])}
+    index = rows.select(F.col("id").alias("a"), F.explode(F.array(*written("h0", 0, still))).alias("key"))
+    probes = rows.select(F.col("id").alias("b"), F.explode(F.array(*[k for less in range(edits + 1) for k in written(f"h{less}", less, keys(less))])).alias("key"))
+    return index, probes
+
+
+def mostly_there(a: Column, b: Column, edits: int, segments: int) -> Column:
+    """Whether the longer text has all but ``edits`` of the shorter one's segments near their places."""
+    longer = F.when(F.length(a) >= F.length(b), a).otherwise(b)
+    shorter = F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    n, there = F.length(shorter), F.lit(0)
+    for i in range(segments):
+        start, width = segment(n, i, segments)
+        first = F.greatest(F.lit(0), start - edits)
+        there = there + F.contains(F.substring(longer, first + 1, start - first + width + edits), F.substring(shorter, start + 1, width)).cast("int")
+    return there >= segments - edits
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -104,18 +157,33 @@ def within(a: Column, b: Column, edits: int) -> Column:
 def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct lines (by hash) within ``edits`` edits of each other."""
     lines = lines_of(docs, least)
-    distinct = lines.groupBy("id").agg(F.any_value("line").alias("line"))
-    index, probes = entries(distinct, edits)
-    met = index.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = stored(met)
-    # Texts of the lines that met: a bitmap of their hashes, of fixed size, keeps the others out of the shuffle.
-    need = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    word, bit = f"cast(pmod(id, {BITMAP}) >> 6 as int)", f"cast(pmod(id, {BITMAP}) & 63 as int)"
+    own, probed = entries(edits)
+    # What is shuffled of a line are its keys; equal lines have equal ones.
+    keyed = lines.select("id", own.alias("own"), probed.alias("probed")).groupBy("id").agg(F.any_value("own").alias("own"), F.any_value("probed").alias("probed"))
+    each = Window.partitionBy("key")
+    index = keyed.select(F.col("id").alias("a"), F.explode("own").alias("key")).withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
+    index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
+    probes = keyed.select(F.col("id").alias("b"), F.explode("probed").alias("key"))
+    # Every line probes its own segments too, so a line with a hot segment shows up as the one that probes it.
+    met = index.join(probes, "key").where("hot OR a <> b")
+    met = met.select(F.when(F.col("hot"), F.col("b")).otherwise(F.least("a", "b")).alias("a"), F.when(~F.col("hot"), F.greatest("a", "b")).alias("b"))
+    met = stored(met.distinct())
+
+    # Texts of the lines that met: a bitmap of their hashes, of bounded size, keeps most others out of the shuffle.
+    need = met.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * met.count()).bit_length()))
+    word, bit = f"cast(pmod(id, {bits}) >> 6 as int)", f"cast(pmod(id, {bits}) & 63 as int)"
     bitmap = need.selectExpr(f"{word} AS _word", f"shiftleft(1L, {bit}) AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    near = lines.select("id", "line").join(F.broadcast(bitmap), F.expr(word) == F.col("_word"))
-    near = near.where(F.expr(f"(shiftrightunsigned(_bits, {bit}) & 1) = 1"))
-    texts = near.select("id", "line").join(need, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line"))
-    both = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    some = lines.select("id", "line").join(F.broadcast(bitmap), F.expr(word) == F.col("_word"))
+    some = some.where(F.expr(f"(shiftrightunsigned(_bits, {bit}) & 1) = 1")).select("id", "line")
+    texts = stored(some.groupBy("id").agg(F.any_value("line").alias("line")))
+
+    pairs = met.where("b IS NOT NULL")
+    hot = texts.join(met.where("b IS NULL").select(F.col("a").alias("id")), "id", "left_semi")
+    fine, finer = fine_entries(hot, edits, FINE)
+    pairs = pairs.unionByName(fine.join(finer, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    both = both.where(mostly_there(F.col("la"), F.col("lb"), edits, FINE))
     return stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
 
 
