@@ -29,6 +29,7 @@ ROUNDS = 3
 SUPPORT = 5  # distinct instances that a pattern has at least
 SURE = 0.8  # mean score of a pattern that adds spans
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
+FOUND = "array<struct<kind:int,start:bigint,end:bigint,match:string>>"
 
 
 def digits(x: Column) -> Column:
@@ -70,12 +71,12 @@ def located(text: Column, form: str) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """All base spans of a text, by kind, then start."""
+    """All base spans of a text with what they cover, by kind, then start."""
 
     def of(i: int, kind: str) -> Column:
         hint = F.contains(text, F.lit("@")) if kind == "email" else F.contains(text, F.lit(HINTS[kind])) & text.rlike("[0-9]")
         good = F.filter(located(text, FORMS[kind]), lambda m: holds(kind, m["match"]))
-        return F.when(hint, F.transform(good, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))).otherwise(F.array().cast(SPAN))
+        return F.when(hint, F.transform(good, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match")))).otherwise(F.array().cast(FOUND))
 
     return F.flatten(F.array(*[of(i, kind) for i, kind in enumerate(KINDS)]))
 
@@ -101,7 +102,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     some = some.where(F.col("span").isNull() | (F.col("span.start") >= F.col("start") - 1))
     pattern = F.lower(F.regexp_extract("before", r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
     pattern = F.regexp_replace(pattern, r"[\x20\x09-\x0D]+", " ")
-    return some.select("key", "start", "end", F.lower("token").alias("instance"), pattern.alias("pattern"), F.col("span.kind").alias("kind")).where(F.length("pattern") > 0)
+    return some.select("key", "start", "end", F.lower(F.coalesce("span.match", "token")).alias("instance"), pattern.alias("pattern"), F.col("span.kind").alias("kind")).where(F.length("pattern") > 0)
 
 
 def sure_patterns(found: DataFrame) -> DataFrame:
@@ -139,7 +140,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     sure = sure_patterns(found.select("pattern", "instance", "kind"))
     fresh = found.where(F.col("kind").isNull()).drop("kind").join(sure, "pattern")
     spans = fresh.select("key", F.struct(F.col("kind").cast("int").alias("kind"), "start", "end").alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("added"))
-    done = rows.select("doc_id", "key", "base").join(spans, "key", "left")
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    done = rows.select("doc_id", "key", plain.alias("base")).join(spans, "key", "left")
     return done.select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
 
 
