@@ -9,7 +9,7 @@ A segment that over HOT lines have says too little. Lines that meet at one are c
 edits leave all but EDITS of those unchanged, so they meet by all but EDITS segments together, each at the shifts that
 the edits before it allow. That loses no pair, and lines that share but a passage no longer meet.
 
-Pairs that meet are verified: first by the number of fine segments that the longer line has near their places, then by
+Pairs that meet are verified: first by how many of CHECKED segments the longer line has near their places, then by
 a banded bit-parallel edit distance: one integer of 2 * EDITS + 1 bits holds the differences along a column of the band.
 """
 
@@ -26,6 +26,7 @@ EDITS = 2
 LEAST = 20  # code points of a line that counts; shorter ones stay
 HOT = 32  # lines that share a segment, at most, for it to be an index key
 FINE = 6  # segments of lines that meet at a hot one
+CHECKED = 12  # segments by which a pair is told off before its distance is computed
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 25  # of the map of lines that met, which is sent to every task
 BLANKS = " \t\r"
 
@@ -183,7 +184,7 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     fine, finer = fine_entries(hot, edits, FINE)
     pairs = pairs.unionByName(fine.join(finer, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.where(mostly_there(F.col("la"), F.col("lb"), edits, FINE))
+    both = both.where(mostly_there(F.col("la"), F.col("lb"), edits, CHECKED))
     return stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
 
 
