@@ -127,7 +127,9 @@ def region_pairs(tree: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
         open_ = joined & ~small[:-1]
         if not open_.any():
             break
-    return np.concatenate(left), np.concatenate(right)
+    # Neighbours stay neighbours at greater depths: each pair once.
+    at = np.unique(np.concatenate(left) * n + np.concatenate(right))
+    return at // n, at % n
 
 
 def unpack(rows: pd.DataFrame) -> np.ndarray:
