@@ -7,7 +7,9 @@ can lie before the segment and those that can lie after it.
 
 A segment that over HOT lines have says too little. Lines that meet at one are cut anew, into FINE segments; EDITS
 edits leave all but EDITS of those unchanged, so they meet by all but EDITS segments together, each at the shifts that
-the edits before it allow. That loses no pair, and lines that share but a passage no longer meet.
+the edits before it allow. That loses no pair, and lines that share but a passage no longer meet. Where over HOT lines
+meet even so, as the copies of a text with a word changed in each do, only those are paired whose changes lie near each
+other (see :func:`pairs_by_place`).
 
 Pairs that meet are verified: first by how many of CHECKED segments the longer line has near their places, then by
 a banded bit-parallel edit distance: one integer of 2 * EDITS + 1 bits holds the differences along a column of the band.
@@ -27,6 +29,7 @@ LEAST = 20  # code points of a line that counts; shorter ones stay
 HOT = 32  # lines that share a segment, at most, for it to be an index key
 FINE = 6  # segments of lines that meet at a hot one
 CHECKED = 12  # segments by which a pair is told off before its distance is computed
+AROUND, PLACE = 12, 16  # code points around the place in which a line differs, and of the cells that places are dealt into
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 25  # of the map of lines that met, which is sent to every task
 BLANKS = " \t\r"
 
@@ -155,18 +158,60 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (gap <= edits) & (F.element_at(run, 1) <= edits)
 
 
+def meetings(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """``key``, ``a``, ``b`` and whether the key is ``hot``: pairs that meet, and at a key of over HOT lines the least of them with each.
+
+    ``index``: ``key``, ``a``; ``probes``: ``key``, ``b``. Every line probes its own keys too, so a line with a hot key
+    shows up as one that probes it.
+    """
+    each = Window.partitionBy("key")
+    index = index.withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
+    index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
+    return index.join(probes, "key").where("hot OR a <> b")
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Code points that two texts have in common at their beginnings, found by halving."""
+    most = F.least(F.length(a), F.length(b))
+    widths = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    same = lambda at, w: (w <= most - at) & (F.substring(a, at + 1, w) == F.substring(b, at + 1, w))
+    return F.aggregate(widths, F.lit(0), lambda at, w: at + F.when(same(at, w), w).otherwise(F.lit(0)))
+
+
+def pairs_by_place(hot: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Pairs ``a``, ``b`` among the lines ``b`` of each hot ``key``; ``a`` is one line of the key, its middle.
+
+    Each line is the middle but for one place, between what they share at the beginning and at the end. If two lines
+    are within ``edits`` of each other and over 2 * AROUND code points lie between their places, an alignment of the
+    two passes unshifted through what lies between, so that each is as near to the middle: pairs with the middle serve
+    for those. (It could pass shifted only where that repeats itself at a distance of ``edits`` or less; lines whose
+    middle has such a stretch are all paired.) So only lines whose places are near each other are paired besides.
+    """
+    stretch = (2 * AROUND - edits) // (edits + 1)  # code points without an edit, at least, in what lies between
+    repeats = "|".join(rf"(.{{{p}}})\{p}{{{stretch // p - 1},}}" for p in range(1, edits + 1))
+    pair = hot.select("key", F.col("a").alias("mid"), F.col("b").alias("id")).distinct()
+    both = pair.join(texts.select(F.col("id").alias("mid"), F.col("line").alias("lm")), "mid").join(texts.select("id", "line"), "id")
+    line, middle = F.col("line"), F.col("lm")
+    both = both.withColumn("low", shared_prefix(line, middle))
+    end = F.least(shared_prefix(F.reverse(line), F.reverse(middle)), F.least(F.length(line), F.length(middle)) - F.col("low"))
+    apart = ~middle.rlike(f"(?s){repeats}")
+    first = F.when(apart, F.floor((F.col("low") - AROUND) / PLACE)).otherwise(F.lit(0)).cast("int")
+    last = F.when(apart, F.floor((F.length(middle) - end + AROUND) / PLACE)).otherwise(F.lit(0)).cast("int")
+    spans = stored(both.select("key", "mid", "id", first.alias("first"), last.alias("last")))
+    side = lambda s: spans.select("key", F.col("id").alias(s), F.col("first").alias(f"first_{s}"), F.explode(F.sequence("first", "last")).alias("place"))
+    near = side("a").join(side("b"), ["key", "place"]).where((F.col("a") < F.col("b")) & (F.col("place") == F.greatest("first_a", "first_b"))).select("a", "b")
+    mid = spans.where("mid <> id").select(F.least("mid", "id").alias("a"), F.greatest("mid", "id").alias("b"))
+    return near.unionByName(mid)
+
+
 def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct lines (by hash) within ``edits`` edits of each other."""
     lines = lines_of(docs, least)
     own, probed = entries(edits)
     # What is shuffled of a line are its keys; equal lines have equal ones.
     keyed = lines.select("id", own.alias("own"), probed.alias("probed")).groupBy("id").agg(F.any_value("own").alias("own"), F.any_value("probed").alias("probed"))
-    each = Window.partitionBy("key")
-    index = keyed.select(F.col("id").alias("a"), F.explode("own").alias("key")).withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
-    index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
-    probes = keyed.select(F.col("id").alias("b"), F.explode("probed").alias("key"))
-    # Every line probes its own segments too, so a line with a hot segment shows up as the one that probes it.
-    met = index.join(probes, "key").where("hot OR a <> b")
+    index, probes = keyed.select(F.col("id").alias("a"), F.explode("own").alias("key")), keyed.select(F.col("id").alias("b"), F.explode("probed").alias("key"))
+    met = meetings(index, probes)
     met = met.select(F.when(F.col("hot"), F.col("b")).otherwise(F.least("a", "b")).alias("a"), F.when(~F.col("hot"), F.greatest("a", "b")).alias("b"))
     met = stored(met.distinct())
 
@@ -181,8 +226,9 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
     pairs = met.where("b IS NOT NULL")
     hot = texts.join(met.where("b IS NULL").select(F.col("a").alias("id")), "id", "left_semi")
-    fine, finer = fine_entries(hot, edits, FINE)
-    pairs = pairs.unionByName(fine.join(finer, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    fine = stored(meetings(*fine_entries(hot, edits, FINE)).distinct())
+    cold = fine.where("NOT hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.unionByName(cold).unionByName(pairs_by_place(fine.where("hot"), texts, edits)).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     both = both.where(mostly_there(F.col("la"), F.col("lb"), edits, CHECKED))
     return stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))

@@ -402,6 +402,32 @@ def test_lines_hot_segment(spark, monkeypatch):
     assert got.where("text <> ''").count() == want
 
 
+def test_lines_of_one_text_with_changes(spark, monkeypatch):
+    """Copies of one long line with a few edits anywhere, far more than HOT: the groups are those of brute force, with few pairs."""
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(40)]
+    for filler in ("", "ababababababababab"):  # the second repeats itself
+        lines = []
+        for _ in range(120):
+            w = [*words[:20], filler, *words[20:]]
+            w[rng.integers(0, 41)] = "".join(rng.choice(list("xyz"), rng.integers(2, 7)))
+            x = list(" ".join(w))
+            for _ in range(rng.integers(0, 3)):
+                q = rng.integers(len(x))
+                x[q : q + rng.integers(0, 2)] = ["é"] * rng.integers(0, 2)
+            lines.append("".join(x))
+        lines += [" ".join([*words[:20], filler, *words[20:]])[k:] for k in range(3)]
+        distinct = sorted(set(lines))
+        par = {x: x for x in distinct}
+        for i, a in enumerate(distinct):
+            for b in distinct[i + 1 :]:
+                if abs(len(a) - len(b)) <= 2 and lev(a, b) <= 2:
+                    par[find(par, b)] = find(par, a)
+        got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+        assert got.where("text <> ''").count() == len({find(par, x) for x in distinct}) < len(distinct)
+
+
 def test_lines_defined_cases(spark):
     got = line_dedup.dedup_lines(docs_of(spark)).collect()
     assert len(got) == len(ODD)
