@@ -7,7 +7,7 @@ can lie before the segment and those that can lie after it.
 
 A segment that over HOT lines have says too little. Lines that meet at one are cut anew, into FINE segments; EDITS
 edits leave all but EDITS of those unchanged, so they meet by all but EDITS segments together, each at the shifts that
-the edits before it allow. That loses no pair, and lines that share but a passage no longer meet. Where over HOT lines
+the edits before it allow. That loses no pair, and lines that share but a passage no longer meet. Where over FEW lines
 meet even so, as the copies of a text with a word changed in each do, only those are paired whose changes lie near each
 other (see :func:`pairs_by_place`).
 
@@ -28,6 +28,7 @@ EDITS = 2
 LEAST = 20  # code points of a line that counts; shorter ones stay
 HOT = 32  # lines that share a segment, at most, for it to be an index key
 FINE = 6  # segments of lines that meet at a hot one
+FEW = 2  # lines that meet by all but EDITS of those, at most, for them to be paired whatever their places
 CHECKED = 12  # segments by which a pair is told off before its distance is computed
 AROUND, PLACE = 12, 16  # code points around the place in which a line differs, and of the cells that places are dealt into
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 25  # of the map of lines that met, which is sent to every task
@@ -158,15 +159,15 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (gap <= edits) & (F.element_at(run, 1) <= edits)
 
 
-def meetings(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """``key``, ``a``, ``b`` and whether the key is ``hot``: pairs that meet, and at a key of over HOT lines the least of them with each.
+def meetings(index: DataFrame, probes: DataFrame, most: int) -> DataFrame:
+    """``key``, ``a``, ``b`` and whether the key is ``hot``: pairs that meet, and at a key of over ``most`` lines the least of them with each.
 
     ``index``: ``key``, ``a``; ``probes``: ``key``, ``b``. Every line probes its own keys too, so a line with a hot key
     shows up as one that probes it.
     """
     each = Window.partitionBy("key")
     index = index.withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
-    index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
+    index = index.where((F.col("lines") <= most) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > most).alias("hot"))  # a hot key is one row
     return index.join(probes, "key").where("hot OR a <> b")
 
 
@@ -211,7 +212,7 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     # What is shuffled of a line are its keys; equal lines have equal ones.
     keyed = lines.select("id", own.alias("own"), probed.alias("probed")).groupBy("id").agg(F.any_value("own").alias("own"), F.any_value("probed").alias("probed"))
     index, probes = keyed.select(F.col("id").alias("a"), F.explode("own").alias("key")), keyed.select(F.col("id").alias("b"), F.explode("probed").alias("key"))
-    met = meetings(index, probes)
+    met = meetings(index, probes, HOT)
     met = met.select(F.when(F.col("hot"), F.col("b")).otherwise(F.least("a", "b")).alias("a"), F.when(~F.col("hot"), F.greatest("a", "b")).alias("b"))
     met = stored(met.distinct())
 
@@ -226,7 +227,7 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
     pairs = met.where("b IS NOT NULL")
     hot = texts.join(met.where("b IS NULL").select(F.col("a").alias("id")), "id", "left_semi")
-    fine = stored(meetings(*fine_entries(hot, edits, FINE)).distinct())
+    fine = stored(meetings(*fine_entries(hot, edits, FINE), FEW).distinct())
     cold = fine.where("NOT hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.unionByName(cold).unionByName(pairs_by_place(fine.where("hot"), texts, edits)).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
