@@ -7,6 +7,9 @@
    its pairs, a larger one pairs of neighbours along its order, and its deeper parts theirs.
 4. Candidates are checked on full sets, those of the first trees first; later ones only where the components found so
    far don't already join them. What counts is which documents are joined, so no link between components is lost.
+5. A region that is too large at full depth is a crowd. Where the links found leave a crowd in several components, all
+   its members are compared on full sets, TILE by TILE, but for pairs that are joined already. The cost grows with the
+   square of such a crowd; a crowd that is one component costs nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from lakelineage.llm.common import checkpoint, components
 
 TREES, DEPTH, FLOOR = 20, 8, 3
 REGION = 16
+TILE = 256  # members of a crowd on either side of a comparison
+COLUMNS = 4096  # shingles that a comparison multiplies at a time
 FIRST_TREES = 4
 CACHE = 300_000  # words whose hashes a task keeps
 
@@ -132,16 +137,31 @@ def region_pairs(tree: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at // n, at % n
 
 
+def crowds(tree: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and members (positions) of stretches of over REGION equal keys."""
+    n = len(key)
+    if n <= REGION:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = np.concatenate(([0], np.cumsum((tree[1:] != tree[:-1]) | (key[1:] != key[:-1]).any(1))))
+    member = np.flatnonzero(np.bincount(run)[run] > REGION)
+    head = np.searchsorted(run, run[member])
+    return head[head < member], member[head < member]
+
+
 def unpack(rows: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows["key"]), ">u4").reshape(-1, DEPTH).astype(np.uint32)
 
 
 def pair_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    tree, ids, size = rows["tree"].to_numpy(), rows["id"].to_numpy(), rows["n"].to_numpy()
-    i, j = region_pairs(tree, unpack(rows))
+    """Candidate pairs with their tree, and heads and members of crowds with TREES in its place."""
+    tree, ids, size, key = rows["tree"].to_numpy(), rows["id"].to_numpy(), rows["n"].to_numpy(), unpack(rows)
+    i, j = region_pairs(tree, key)
     fits = 10 * np.minimum(size[i], size[j]) >= 8 * np.maximum(size[i], size[j])  # else the sets can't be similar enough
     i, j = i[fits], j[fits]
-    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "tree": tree[i], "key": None, "n": 0})
+    head, member = crowds(tree, key)
+    of = np.concatenate([tree[i], np.full(len(head), TREES, tree.dtype)])
+    i, j = np.concatenate([i, head]), np.concatenate([j, member])
+    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "tree": of, "key": None, "n": 0})
 
 
 def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +178,10 @@ def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """``a``, ``b`` and the first ``tree`` that brings them together. ``reps``: ``id``, ``n``, ``sig``."""
+    """``a``, ``b`` and the first ``tree`` that brings them together. ``reps``: ``id``, ``n``, ``sig``.
+
+    Rows whose ``tree`` is TREES are two members of a crowd and no candidates.
+    """
 
     def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -177,7 +200,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     across = ends.groupBy("tree", "region").applyInPandas(meet, "a long, b long, tree int")
     pairs = found.where("key IS NULL").select("a", "b", "tree").unionByName(across).where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    return pairs.groupBy("a", "b", (F.col("tree") == TREES).alias("_crowd")).agg(F.min("tree").alias("tree")).drop("_crowd")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -203,6 +226,82 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInPandas(apply, "a long, b long")
 
 
+def compare(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between components of sets (``id``, ``component``, ``shingles``), as few as join what belongs together."""
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+    ids, n = rows["id"].to_numpy(), np.array([len(s) for s in sets])
+    start = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    owner, all_ = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    order = np.argsort(all_, kind="stable")
+    all_, owner = all_[order], owner[order]
+    column = np.concatenate(([0], np.cumsum(all_[1:] != all_[:-1])))
+    often = np.bincount(column)[column] > 1  # the others are in no intersection
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        common += (part @ part.T).astype(np.int64)
+    linked = (100 * common >= percent * (n[:, None] + n - common)) & (start[:, None] != start)
+    above, links = list(range(int(start.max()) + 1)), []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = start[i], start[j]
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[x] = y
+            links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def crowd_links(crowds_: DataFrame, links: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between the components that ``links`` leave in crowds (``a``, ``b``); None where it leaves one in each.
+
+    Members are dealt into blocks of about TILE. A component of over TILE members has blocks of its own, which aren't
+    compared with each other.
+    """
+    joined = checkpoint(components(links))
+    member = crowds_.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(joined, "id", "left")
+    member = checkpoint(member.withColumn("component_id", F.coalesce("component_id", "id")))
+    across = crowds_.select("a", "b")
+    for side in ("a", "b"):
+        across = across.join(member.select(F.col("id").alias(side), F.col("component_id").alias(f"c{side}")), side)
+    across = checkpoint(across.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if across.isEmpty():
+        return None
+    crowd = checkpoint(components(across)).select(F.col("id").alias("component_id"), F.col("component_id").alias("crowd"))
+    crowd = crowd.unionByName(crowd.select(F.col("crowd").alias("component_id"), "crowd").distinct())
+    member = member.join(crowd, "component_id")
+    counts = member.groupBy("crowd", "component_id").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("lot", F.when(F.col("_n") > TILE, F.col("component_id")))
+    lots = counts.groupBy("crowd", "lot").agg(F.ceil(F.sum("_n") / TILE).alias("blocks"))
+    own = counts.join(lots.withColumnsRenamed({"crowd": "_crowd", "lot": "_lot"}), (F.col("crowd") == F.col("_crowd")) & F.col("lot").eqNullSafe(F.col("_lot")))
+    own = own.select("component_id", "lot", "blocks")
+    place = F.struct(F.col("lot").isNull().alias("mixed"), "lot", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).alias("nth"))
+    dealt = checkpoint(member.join(own, "component_id").select("id", F.col("component_id").alias("component"), "crowd", place.alias("block")))
+    blocks = dealt.select("crowd", "block").distinct()
+    one, two = blocks.select("crowd", F.col("block").alias("x")), blocks.select("crowd", F.col("block").alias("y"))
+    tiles = one.join(two, "crowd").where("x <= y AND (x.lot IS NULL OR y.lot IS NULL OR x.lot <> y.lot)")
+    sides = tiles.select("crowd", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(size)
+        for b in batches:
+            yield pd.DataFrame({"id": b["doc_id"], "shingles": [shingle(t).tobytes() for t in b["text"]]})
+
+    texts = docs.select("doc_id", "text").join(dealt.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInPandas(shingles, "id long, shingles binary").where("length(shingles) > 0").distinct()
+    rows = dealt.join(checkpoint(sets), "id").join(sides, ["crowd", "block"])
+
+    def meet(tile: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(compare(tile, percent), columns=["a", "b"])
+
+    return rows.groupBy("crowd", "x", "y").applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs`` (``doc_id``, ``text``).
 
@@ -217,7 +316,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     all_ = checkpoint(sketches(docs, size))
     sets = all_.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
-    pairs = checkpoint(candidates(classes.select("id", "n", "sig")))
+    found = checkpoint(candidates(classes.select("id", "n", "sig")))
+    pairs, crowded = found.where(F.col("tree") < TREES), found.where(F.col("tree") == TREES)
     known = docs.where(F.col("doc_id").isNotNull())
     links = checkpoint(verify(pairs.where(F.col("tree") < FIRST_TREES), known, size, percent))
     joined = components(links)
@@ -226,6 +326,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         of = joined.select(F.col("id").alias(side), F.col("component_id").alias(f"c{side}"))
         later = later.join(of, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     links = links.unionByName(verify(later.where("ca <> cb").select("a", "b"), known, size, percent))
+    if not crowded.isEmpty():
+        links = checkpoint(links)
+        more = crowd_links(crowded, links, known, size, percent)
+        links = links if more is None else links.unionByName(more)
     ids = classes.select(F.col("digest").alias("_digest"), F.col("id").alias("_class"))
     members = sets.join(ids, F.col("digest") == F.col("_digest")).where(F.col("doc_id") != F.col("_class")).select(F.col("_class").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.unionByName(members.distinct()))

@@ -103,6 +103,21 @@ def test_minhash_dense_group(spark):
     assert got == want
 
 
+def test_minhash_pairs_in_a_crowd(spark):
+    """Documents that share a template a little below the threshold, and pairs that share more, far apart by id."""
+    rng = np.random.default_rng(2)
+    base, n = [f"w{i}" for i in range(180)], 300
+    own = [[f"x{d}_{i}" for i in range(24)] for d in range(n)]
+    planted = [(d, n - 1 - d) for d in range(40)]
+    for a, b in planted:
+        own[b][: 2 + a % 3] = own[a][: 2 + a % 3]
+    rows = [(int(d), " ".join(base + own[k])) for d, k in zip(rng.permutation(n) * 7, range(n), strict=True)]
+    want, _ = brute_components(rows, 4, 80)
+    assert len(set(want.values())) == n - len(planted)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_minhash_defined_cases(spark):
     got = minhash_dedup.near_duplicates(docs_of(spark)).collect()
     assert len(got) == len(ODD)
