@@ -3,6 +3,7 @@
 Each word enters as the sum of a word embedding and the mean embedding of its character n-grams, so that unseen forms
 of a word still say something. Two gated recurrent layers read a window of words from either end, attention pools
 their states, and a logistic unit scores the window. A text's score is that of its highest window; windows overlap.
+A run of over LONGEST characters without white space enters as several words, which overlap.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lakelineage.llm.sampling import held_out, labelled_sample
 WINDOW, STRIDE = 40, 30  # words
 BUCKETS = 1 << 14  # of the word and of the character embedding
 GRAMS = (3, 4, 5)  # characters, with marks at both ends of the word
+LONGEST = 40  # characters of a word
 DEPTH, STATE = 16, 12
 TRAIN_PER_LABEL = 2000  # documents of each label that the network is trained on (about)
 WINDOWS_PER_DOC = 12  # of each of those
@@ -36,7 +38,7 @@ class Features:
     """
 
     def __init__(self, words: list[str]) -> None:
-        plain = [EDGES.sub("", w.lower())[:40] for w in words]
+        plain = [EDGES.sub("", w.lower()) for w in words]
         self.word = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in plain), np.int64, len(words)) % BUCKETS
         marked = [f"<{w}>" for w in plain]
         chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -158,6 +160,18 @@ class Network:
         return loss, grads
 
 
+def words_of(text: str) -> list[str]:
+    """Words between white space; longer ones in pieces of LONGEST characters, so overlapping that no n-gram is lost."""
+    step = LONGEST - max(GRAMS) + 1
+    out: list[str] = []
+    for w in text.split():
+        if len(w) <= LONGEST or len(EDGES.sub("", w)) <= LONGEST:
+            out.append(w)
+        else:
+            out += [w[i : i + LONGEST] for i in range(0, len(w) - max(GRAMS) + 1, step)]
+    return out
+
+
 def windows(n: int) -> list[tuple[int, int]]:
     """First and end word of every window of a text of ``n`` words."""
     return [(i, min(n, i + WINDOW)) for i in range(0, max(1, n - WINDOW + STRIDE), STRIDE)] if n else []
@@ -231,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
         for b in batches:
             rows = []
             for d, t, y in zip(b["doc_id"], b["text"], b["toxic"], strict=True):
-                words = t.split()
+                words = words_of(t)
                 ws = windows(len(words))
                 pick = np.random.default_rng(len(words)).permutation(len(ws))[:WINDOWS_PER_DOC]
                 rows += [(d, int(j), " ".join(words[ws[j][0] : ws[j][1]]), y) for j in sorted(pick)]
@@ -279,7 +293,7 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
                     owner.clear()
 
             for i, t in enumerate(b["text"] if net is not None else ()):
-                words = t.split() if t else []
+                words = words_of(t) if t else []
                 for start, end in windows(len(words)):
                     ids = []
                     for w in words[start:end]:

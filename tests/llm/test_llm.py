@@ -308,6 +308,21 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.score(docs_of(spark).limit(0), net).count() == 0
 
 
+def test_long_words_enter_whole(spark):
+    """What follows the first 40 characters of a text without spaces enters its score, and no n-gram of it is lost."""
+    head, tail = "_".join(["river"] * 10), "_".join(["stone"] * 10)
+    texts = [f"{head}_{middle}_{tail}" for middle in ("vile_scum_filth", "tree_cloud_stone")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.Network()).collect()}
+    assert scores[0] != scores[1]
+    rng = np.random.default_rng(5)
+    for n in (1, 39, 40, 41, 44, 45, 76, 77, 300):
+        text = "".join(rng.choice(list("abcdefg"), n))
+        pieces = toxicity.words_of(text)
+        grams = lambda t: {t[i : i + k] for k in toxicity.GRAMS for i in range(len(t) - k + 1)}
+        assert grams(text) == set().union(*map(grams, pieces)) and all(len(p) <= 40 for p in pieces)
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 39, 40, 41, 70, 71, 500):
         ws = toxicity.windows(n)
