@@ -5,7 +5,8 @@ as a random bit of (``t``, symbol) says. Sequences at a small edit distance walk
 outputs have a small Hamming distance, and sampling a few output positions is a locality-sensitive hash for edit
 distance. Here symbols are words. Every word of a document starts an item-sized window; its key in each of REPEATS
 walks is hashed from SAMPLES output positions and looked up among the keys of the items, which have one for every
-word at which an item's walk can start. Candidates are verified by the exact edit distance between the item and the
+word at which an item's walk can start. Items of fewer than FEW_WORDS words, whose walks are too short to tell much, are
+looked up by each of their words as well. Candidates are verified by the exact edit distance between the item and the
 best-fitting stretch of the document.
 """
 
@@ -28,7 +29,8 @@ SAMPLES = 6  # output positions in a key; the first is 0
 MOVES = 3  # words that a walk of an item must move by to give a key
 SIMILARITY = 0.8  # 1 - edit distance / characters of the item
 SHARED = 0.5  # of an item's distinct words that a stretch must have before its edit distance is computed
-LEAST_WORDS = 4  # items of fewer words are looked up whole
+LEAST_WORDS = 4  # items of fewer words have no walks
+FEW_WORDS = 8  # items of fewer words are looked up by each of their words
 MAX_ITEM_BYTES = 256 << 20  # of item keys that are sent to every task
 CHUNK = 1 << 15  # windows that walk at a time, so that they stay in a core's cache
 
@@ -91,8 +93,10 @@ class Items:
         hashes = [words(t) for t in self.texts]
         self.short = {}
         for i, h in enumerate(hashes):
+            if len(h) < FEW_WORDS:
+                for j, x in enumerate(h):
+                    self.short.setdefault(int(x), []).append((i, j))
             if 0 < len(h) < LEAST_WORDS:
-                self.short.setdefault(int(h[0]), []).append(i)
                 continue
             padded = np.concatenate([h, np.zeros(STEPS, np.uint64)])
             starts = np.arange(max(1, len(h) - STEPS // 2 + 1)) if len(h) else np.zeros(0, np.int64)
@@ -116,8 +120,9 @@ class Items:
     def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
         """(item, place at which it would begin) for word hashes of texts, each followed by STEPS zeros."""
         found: set[tuple[int, int]] = set()
-        for first, items in self.short.items():
-            found |= {(i, int(p)) for p in np.flatnonzero(h == np.uint64(first)) for i in items}
+        if self.short:
+            for p in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint64))):
+                found |= {(i, int(p) - j) for i, j in self.short[int(h[p])]}
         starts0 = np.flatnonzero(h)
         key0 = h[starts0] * MIX  # what every walk emits first
         key0 ^= key0 >> np.uint64(32)
@@ -182,7 +187,7 @@ def leaks_in(texts: list[str | None], hashes: Words, items: Items, similarity: f
                 continue  # a stretch this near has been verified with as much on either side
             tried.add(cell)
             first, last = max(0, cell[2] * slack - 2 * slack), cell[2] * slack + m + 3 * slack
-            if np.isin(items.distinct[i], all_[k][first : max(0, last)]).mean() < SHARED:
+            if m >= FEW_WORDS and np.isin(items.distinct[i], all_[k][first : max(0, last)]).mean() < SHARED:
                 continue
             if words[0] != k:
                 words = (k, WORD.findall(texts[k].lower()))

@@ -242,6 +242,23 @@ def test_leaks_recall_and_precision(spark):
     assert {d for d, _ in got} <= {d for d, _ in plant}
 
 
+def test_short_items_inside_longer_text():
+    """Items of 1 to 7 words inside longer text: every exact copy, and copies with one letter changed in a word."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    rows = [(i, " ".join(word() for _ in range(1 + i % 7))) for i in range(140)]
+    items, hashes = decontaminate.Items(rows), decontaminate.Words()
+    for at in (None, 0, -1):
+        texts = []
+        for _, t in rows:
+            w = t.split()
+            if at is not None and len(w) > 1:
+                w[at] = "z" + w[at][1:]
+            texts.append(" ".join([word() for _ in range(20)] + w + [word() for _ in range(20)]))
+        got = {(k, i) for k, i, _, _ in decontaminate.leaks_in(texts, hashes, items, 0.8)}
+        assert {(k, k) for k in range(len(rows))} <= got
+
+
 def test_leaks_defined_cases(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "two words"), (5, "!!")], "item_id long, text string")
     got = decontaminate.find_leaks(docs_of(spark, [(1, None, None, None, None), (2, "", "", "", 0), (3, "here are Two, words!", "", "", 1), (None, "two words", "", "", 1)]), items).collect()
