@@ -5,9 +5,13 @@ its place. Every line puts its own segments, by its length, into an index, and p
 it can be compared with, with the substrings that could be such a segment: those whose shift fits both the edits that
 can lie before the segment and those that can lie after it.
 
-A segment that over HOT lines have says too little. Lines that meet at one are cut anew, into FINE segments; EDITS
-edits leave all but EDITS of those unchanged, so they meet by all but EDITS segments together, each at the shifts that
-the edits before it allow. That loses no pair, and lines that share but a passage no longer meet.
+A segment that over HOT lines have says too little, so the lines that meet at one are told apart by what remains of them.
+They are cut into PARTS parts. Two of them within two edits either differ in one part alone, or in two parts by one edit
+each. In the first case they meet by all that lies outside the part, and the part itself is cut again; in the second they
+meet by all that lies outside the two parts, and each of these is narrowed down to the place of its edit. A group of few
+lines gives its pairs. In a larger one the parts end up as short as SHORT, where lines meet by what is left when the
+edited places are taken out: whoever meets there is within two edits, so a group gives one link for each of its lines,
+whatever its size.
 
 Pairs that meet are verified: first by how many of CHECKED segments the longer line has near their places, then by
 a banded bit-parallel edit distance: one integer of 2 * EDITS + 1 bits holds the differences along a column of the band.
@@ -15,7 +19,8 @@ a banded bit-parallel edit distance: one integer of 2 * EDITS + 1 bits holds the
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +30,10 @@ from lakelineage.llm.common import components, stored
 EDITS = 2
 LEAST = 20  # code points of a line that counts; shorter ones stay
 HOT = 32  # lines that share a segment, at most, for it to be an index key
-FINE = 6  # segments of lines that meet at a hot one
+PARTS = 4  # of a line that meets others at a hot segment
+BLOCKS = 8  # of a part in which one edit is looked for
+SMALL = 32  # lines of a group that gives its pairs, at most
+SHORT = 8  # code points of a part that isn't cut again
 CHECKED = 12  # segments by which a pair is told off before its distance is computed
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 25  # of the map of lines that met, which is sent to every task
 BLANKS = " \t\r"
@@ -38,11 +46,12 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return split.withColumn("id", F.xxhash64("line"))
 
 
-def segment(length: Column, i: int, segments: int) -> tuple[Column, Column]:
+def segment(length: Column, i: int | Column, segments: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment ``i`` of a line: even sizes, the longer ones last."""
+    i = F.lit(i) if isinstance(i, int) else i
     base = F.floor(length / segments).cast("int")
     short = F.lit(segments) - length % segments  # segments of the smaller size
-    return base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")
+    return base * i + F.greatest(F.lit(0), i - short), base + (i >= short).cast("int")
 
 
 def entries(edits: int) -> tuple[Column, Column]:
@@ -61,36 +70,140 @@ def entries(edits: int) -> tuple[Column, Column]:
     return own, F.array(*probes)
 
 
-def fine_entries(lines: DataFrame, edits: int, segments: int) -> tuple[DataFrame, DataFrame]:
-    """Index (``key``, ``a``) and probes (``key``, ``b``) by all segments but ``edits`` touched ones.
+def rest(s: Column, start: Column) -> Column:
+    """What follows the first ``start`` code points."""
+    return F.substring(s, start + 1, F.length(s))
 
-    The shift of a segment is what the touched segments before it add up to; all of them add up to the difference of
-    the lengths, and together to no more than ``edits``.
-    """
-    n, shifts = F.length("line"), range(-edits, edits + 1)
 
-    def hashes(less: int) -> Column:
-        size = n - less
-        return F.array(*[F.xxhash64(F.substring("line", start + 1 + shift, width)) for i in range(segments) for start, width in [segment(size, i, segments)] for shift in shifts])
+def without(s: Column, place: Column) -> Column:
+    return F.concat(F.substring(s, F.lit(1), place), rest(s, place + 1))
 
-    def keys(less: int) -> set[tuple]:
-        """(touched segments, shift of each of the others) for lines that are longer by ``less``."""
-        found = set()
-        for touched in combinations(range(segments), edits):
-            for steps in product(shifts, repeat=edits):
-                if sum(steps) == less and sum(map(abs, steps)) <= edits:
-                    found.add((touched, tuple((i, sum(d for t, d in zip(touched, steps, strict=True) if t < i)) for i in range(segments) if i not in touched)))
-        return found
 
-    def written(column: str, less: int, chosen: set[tuple]) -> list[Column]:
-        at = lambda i, shift: F.col(column)[i * len(shifts) + shift + edits]
-        return [F.xxhash64(n - less, F.lit(str(touched)), *[at(i, d) for i, d in rest]) for touched, rest in sorted(chosen)]
+def one_edit(nodes: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``more``, ``long`` and ``leaf``: nodes of one key that share a leaf (as texts of both lengths
+    where ``more`` is 1) are one edit apart, and all such nodes share one.
 
-    rows = lines.select("id", "line", *[hashes(less).alias(f"h{less}") for less in range(edits + 1)])
-    still = {k for k in keys(0) if all(d == 0 for _, d in k[1])}
-    index = rows.select(F.col("id").alias("a"), F.explode(F.array(*written("h0", 0, still))).alias("key"))
-    probes = rows.select(F.col("id").alias("b"), F.explode(F.array(*[k for less in range(edits + 1) for k in written(f"h{less}", less, keys(less))])).alias("key"))
-    return index, probes
+    ``nodes``: distinct ``key``, ``node`` (hash of ``s``), ``s``, ``more`` (by how much the longer texts of this key are
+    longer, 0 or 1) and ``long`` (whether this is one of them). The text is cut into BLOCKS blocks, nodes meet by all
+    but one of them, and that one is cut again. A leaf is the text without the edited place, known by that place where
+    texts are equally long; groups without two sides, or with one node, go at every step.
+    """
+    live, leaves = nodes.withColumn("k", F.xxhash64("key", "more")), []
+    own = F.when(F.col("long"), F.col("more")).otherwise(0)
+    n = F.length("s") - own
+    while True:
+        sides = live.groupBy("k").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.min("long").alias("l0"), F.max("long").alias("l1"), F.max("more").alias("m"))
+        live = stored(live.join(sides.where("n0 <> n1 AND (m = 0 OR l0 <> l1)").select("k"), "k", "left_semi"))
+        taken = lambda last, mark: F.transform(F.sequence(F.lit(0), last), lambda p: F.xxhash64("k", mark(p), without(F.col("s"), p)))
+        edited = F.when(F.col("more") == 0, taken(F.greatest(n - 1, F.lit(0)), lambda p: p)).when(F.col("long"), taken(n, lambda p: F.lit(-1))).otherwise(F.array(F.xxhash64("k", F.lit(-1), "s")))
+        leaves.append(live.where(n <= SHORT).select("key", "node", "more", "long", F.explode(F.array_distinct(edited)).alias("leaf")))
+        long_ = live.where(n > SHORT)
+        if long_.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        start, width = segment(n, F.col("i"), BLOCKS)
+        block = F.xxhash64("k", "i", F.substring("s", F.lit(1), start), rest(F.col("s"), start + width + own)).alias("k")
+        live = long_.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).select("key", "node", "more", "long", block, F.substring("s", start + 1, width + own).alias("s"))
+
+
+def in_one_part(rows: DataFrame) -> DataFrame:
+    """Rows by all but one part, which becomes ``s``."""
+    own = F.when(F.col("side") > 0, F.col("less")).otherwise(0)
+    start, width = segment(F.length("s") - own, F.col("i"), PARTS)
+    key = F.xxhash64("key", "less", "i", F.substring("s", F.lit(1), start), rest(F.col("s"), start + width + own))
+    each = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return each.select(key.alias("key"), "id", F.substring("s", start + 1, width + own).alias("s"), "less", "side")
+
+
+def in_two_parts(rows: DataFrame) -> DataFrame:
+    """Rows by all but two parts, ``x`` and ``y``, in each of which the one of ``role`` 1 is longer by ``dx`` and ``dy``.
+
+    Equally long lines take both roles where an insertion comes before a deletion; of each pair one has it that way.
+    """
+    longer = [[(0, 0, 0), (1, -1, -1), (1, -1, 1)], [(1, 0, None), (0, 1, None)], [(1, 1, None)]]  # dx, dy and role (None: the side), by less
+    pairs = list(combinations(range(PARTS), 2))
+    way = [F.array(*[F.struct(*[F.lit(v).cast("int").alias(c) for c, v in zip(("i", "j", "dx", "dy", "role"), (i, j, *w), strict=True)]) for i, j in pairs for w in ways]) for ways in longer]
+    each = rows.withColumn("way", F.explode(F.when(F.col("less") == 0, way[0]).when(F.col("less") == 1, way[1]).otherwise(way[2]))).select("key", "id", "s", "less", "side", "way.*")
+    each = each.withColumn("role", F.coalesce("role", "side"))
+    n = F.length("s") - F.when(F.col("side") > 0, F.col("less")).otherwise(0)
+    (a, wa), (b, wb) = (segment(n, F.col(c), PARTS) for c in "ij")
+    mx, my = (F.when(F.col("role") > 0, F.col(d)).otherwise(0) for d in ("dx", "dy"))
+    each = each.select("*", a.alias("a"), wa.alias("wa"), b.alias("b"), wb.alias("wb"), mx.alias("mx"), my.alias("my"))
+    outside = F.substring("s", F.lit(1), F.col("a")), F.substring("s", F.expr("a + wa + mx + 1"), F.expr("b - a - wa")), rest(F.col("s"), F.expr("b + wb + mx + my"))
+    return each.select(
+        "id", F.xxhash64("key", "i", "j", "dx", "dy", *outside).alias("key"), F.substring("s", F.expr("a + 1"), F.expr("wa + mx")).alias("x"),
+        F.substring("s", F.expr("b + mx + 1"), F.expr("wb + my")).alias("y"), "dx", "dy", "role",
+    )
+
+
+def apart_twice(rows: DataFrame) -> DataFrame:
+    """``key``, ``id`` and ``role`` of lines with one edit in each of two parts; those of a key are two edits apart."""
+
+    def both(rows: DataFrame) -> DataFrame:
+        sides = rows.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("hx", "hy", "role")], F.max(F.abs("dx")).alias("ax"), F.max(F.abs("dy")).alias("ay"))
+        sides = sides.where("(ax > 0 OR min_hx <> max_hx) AND (ay > 0 OR min_hy <> max_hy) AND (min_role = 0 AND max_role = 0 OR min_role < max_role)")
+        return stored(rows.join(sides.select("key"), "key", "left_semi"))
+
+    def narrowed(rows: DataFrame, text: str, d: str) -> DataFrame:
+        longer = (F.col(d) != 0) & ((F.col(d) > 0) == (F.col("role") > 0))
+        nodes = rows.select("key", F.col(f"h{text}").alias("node"), F.col(text).alias("s"), F.abs(d).alias("more"), longer.alias("long")).distinct()
+        leaf = one_edit(nodes).drop("more").withColumnsRenamed({"key": "_key", "node": "_node", "long": "_long"})
+        return rows.join(leaf, (F.col("key") == F.col("_key")) & (F.col(f"h{text}") == F.col("_node")) & (longer == F.col("_long"))).drop("_key", "_node", "_long", "key").withColumnRenamed("leaf", "key")
+
+    rows = both(rows.withColumns({"hx": F.xxhash64("x"), "hy": F.xxhash64("y")}))
+    rows = both(narrowed(rows, "x", "dx"))
+    return narrowed(rows, "y", "dy").select("key", "id", "role")
+
+
+def left_over(rows: DataFrame) -> DataFrame:
+    """``key``, ``id`` and ``role`` by what is left of short texts without two edited places."""
+    own = F.when(F.col("side") > 0, F.col("less")).otherwise(0)
+    n, s = F.length("s") - own, F.col("s")
+    upto = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    one = lambda text, last: F.transform(upto(last), lambda q: F.xxhash64("key", q, without(text, q)))
+    two = F.flatten(F.transform(upto(F.length("s") - 2), lambda p: F.transform(F.sequence(p, F.length("s") - 2), lambda q: F.xxhash64("key", F.when(F.col("less") == 0, p * 64 + q).otherwise(-1), without(without(s, p), q)))))
+    moved = F.transform(upto(n - 1), lambda p: F.xxhash64("key", F.lit("moved"), without(s, p)))
+    changed = F.flatten(F.transform(upto(n), lambda p: one(without(s, p), n - 1)))
+    whole = F.array(F.xxhash64("key", F.lit(-1), "s"))
+    keys = F.when(F.col("less") == 0, F.concat(two, moved)).when(F.col("less") == 1, F.when(F.col("side") > 0, changed).otherwise(one(s, n - 1))).otherwise(F.when(F.col("side") > 0, two).otherwise(whole))
+    return rows.select("id", F.col("side").alias("role"), F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that join each group (``key``, ``id``, ``role``): lines of role 0 to its least, others to the least of the other role."""
+    least = rows.groupBy("key").agg(F.min(F.when(F.col("role") <= 0, F.col("id"))).alias("low"), F.min(F.when(F.col("role") > 0, F.col("id"))).alias("high"))
+    least = stored(least.where("low IS NOT NULL").withColumnRenamed("key", "_key"))  # so that a hot key can be split
+    to = F.when(F.col("role") < 0, F.col("high")).otherwise(F.col("low"))
+    return rows.join(least, F.col("key") == F.col("_key")).select(F.least("id", to).alias("a"), F.greatest("id", to).alias("b")).where("a < b")
+
+
+def near_at_hot(hot: DataFrame, edits: int) -> DataFrame:
+    """Links ``a``, ``b`` that join what is within ``edits`` edits among lines (``id``, ``line``) of hot segments; others may miss."""
+    ways = [(0, 0)] + [(less, side) for less in range(1, edits + 1) for side in (-1, 1)]
+    ways = F.explode(F.array(*[F.struct(F.lit(less).alias("less"), F.lit(side).alias("side")) for less, side in ways]))
+    rows = hot.select("id", F.col("line").alias("s"), ways.alias("way")).select("id", "s", "way.less", "way.side").withColumn("key", F.col("less").cast("long"))
+    if edits == 1:
+        nodes = rows.select("key", F.col("id").alias("node"), "s", F.col("less").alias("more"), (F.col("side") > 0).alias("long"))
+        role = F.when(F.col("more") == 0, 0).when(F.col("long"), 1).otherwise(-1)
+        return linked(one_edit(nodes).select(F.col("leaf").alias("key"), F.col("node").alias("id"), role.alias("role")))
+    found, twice = [], []
+    while True:
+        groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+        rows = stored(rows.join(groups.where("n > 1 AND (s0 = 0 AND s1 = 0 OR s0 < s1)").select("key", "n"), "key"))
+        few = rows.where(F.col("n") <= SMALL)
+        a, b = (few.select("key", F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("side").alias(f"side{x}")) for x in "ab")
+        pairs = a.join(b, "key").where("sidea < sideb OR sidea = 0 AND sideb = 0 AND a < b")
+        found.append(pairs.where(within(F.col("sa"), F.col("sb"), edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        many = rows.where(F.col("n") > SMALL).drop("n")
+        short = F.length("s") <= SHORT + F.when(F.col("side") > 0, F.col("less")).otherwise(0)
+        found.append(linked(left_over(many.where(short))))
+        many = many.where(~short)
+        if many.isEmpty():
+            break
+        twice.append(in_two_parts(many))
+        rows = in_one_part(many)
+    if twice:
+        found.append(linked(apart_twice(reduce(DataFrame.unionByName, twice))))
+    return reduce(DataFrame.unionByName, found).where("a <> b").distinct()
 
 
 def mostly_there(a: Column, b: Column, edits: int, segments: int) -> Column:
@@ -157,6 +270,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct lines (by hash) within ``edits`` edits of each other."""
+    if edits not in (0, 1, 2):
+        raise ValueError("lines are compared within 0, 1 or 2 edits")
     lines = lines_of(docs, least)
     own, probed = entries(edits)
     # What is shuffled of a line are its keys; equal lines have equal ones.
@@ -180,12 +295,13 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     texts = stored(some.groupBy("id").agg(F.any_value("line").alias("line")))
 
     pairs = met.where("b IS NOT NULL")
-    hot = texts.join(met.where("b IS NULL").select(F.col("a").alias("id")), "id", "left_semi")
-    fine, finer = fine_entries(hot, edits, FINE)
-    pairs = pairs.unionByName(fine.join(finer, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     both = both.where(mostly_there(F.col("la"), F.col("lb"), edits, CHECKED))
-    return stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
+    links = stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
+    hot = met.where("b IS NULL").select(F.col("a").alias("id"))
+    if not edits or hot.isEmpty():
+        return links
+    return stored(links.unionByName(near_at_hot(stored(texts.join(hot, "id", "left_semi")), edits)))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -205,6 +321,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "pos")
     grouped = places.join(groups, "id", "left").select(F.coalesce("component_id", "id").alias("group"), "doc_id", "doc_key", "pos")
     firsts = grouped.groupBy("group").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("group", "first")
+    firsts = stored(firsts)  # so that a hot group can be split where it is joined
     gone = grouped.join(firsts, "group").where(place != F.col("first")).select("doc_key", "pos")
     gone = gone.groupBy("doc_key").agg(F.sort_array(F.collect_list("pos")).alias("_gone")).withColumnRenamed("doc_key", "_key")
 

@@ -427,15 +427,45 @@ def test_banded_distance_and_segments(spark):
         met = {(r.a, r.b) for r in index.join(probes, "key").select("a", "b").collect()}
         assert near and all((i, j) in met or (j, i) in met for i, j in near)
         k = e + 2
-        index, probes = line_dedup.fine_entries(lines, e, k)
-        met = {(r.a, r.b) for r in index.join(probes, "key").select("a", "b").collect()}
-        assert all((i, j) in met or (j, i) in met for i, j in near if min(len(words[i]), len(words[j])) >= k)
         assert pairs.where((F.col("d") <= e) & (F.least(F.length("a"), F.length("b")) >= k) & ~line_dedup.mostly_there(F.col("a"), F.col("b"), e, k)).count() == 0
 
 
+@pytest.mark.parametrize("edits,small,short", [(1, 2, 3), (2, 2, 3)])
+def test_hot_lines_against_brute_force(spark, monkeypatch, edits, small, short):
+    """Every link is one, and links join what brute force joins, in families with edits and repeats of all kinds."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "SHORT", short)
+    monkeypatch.setattr(line_dedup, "BLOCKS", 3)
+    rng = np.random.default_rng(11 + edits)
+    lines = set()
+    for base in ("the quick brown fox jumps", "abababababababab", "aaaaaaaaaaaa"):
+        for _ in range(90):
+            x = list(base)
+            for _ in range(rng.integers(0, 5)):
+                q = rng.integers(len(x))
+                x[q : q + rng.integers(0, 2)] = [str(rng.choice(list("abé")))] * rng.integers(0, 2)
+            lines.add("".join(x))
+    lines = sorted(x for x in lines if len(x) >= 4)
+    par, close = {i: i for i in range(len(lines))}, set()
+    for i, a in enumerate(lines):
+        for j in range(i + 1, len(lines)):
+            if abs(len(a) - len(lines[j])) <= edits and lev(a, lines[j]) <= edits:
+                close.add((i, j))
+                par[find(par, j)] = find(par, i)
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {(r.a, r.b) for r in line_dedup.near_at_hot(df, edits).collect()}
+    assert got <= close and len(got) > 50
+    mine = {i: i for i in range(len(lines))}
+    for i, j in got:
+        mine[find(mine, j)] = find(mine, i)
+    group = lambda p: {frozenset(i for i in p if find(p, i) == r) for r in {find(p, i) for i in p}}
+    assert group(mine) == group(par)
+
+
 def test_lines_hot_segment(spark, monkeypatch):
     """Far more lines than HOT share a segment; near ones among them are still found."""
     monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
     rng = np.random.default_rng(9)
     rows = [(d, "the same long beginning of a line " + "".join(rng.choice(list("abc"), 4)) + " and the same long end of a line") for d in range(120)]
     distinct = sorted({t for _, t in rows})
@@ -452,6 +482,7 @@ def test_lines_hot_segment(spark, monkeypatch):
 def test_lines_of_one_text_with_changes(spark, monkeypatch):
     """Copies of one long line with a few edits anywhere, far more than HOT: the groups are those of brute force, with few pairs."""
     monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
     rng = np.random.default_rng(10)
     words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(40)]
     for filler in ("", "ababababababababab"):  # the second repeats itself
