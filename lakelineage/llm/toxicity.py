@@ -1,7 +1,8 @@
 """Toxicity of a text, by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 Each word enters as the sum of a word embedding and the mean embedding of its character n-grams, so that unseen forms
-of a word still say something. Two gated recurrent layers read a window of words from either end, attention pools
+of a word still say something. Only words and n-grams of several documents have embeddings; they start
+from how much those documents' labels say, so that a small sample isn't learned by heart. Two gated recurrent layers read a window of words from either end, attention pools
 their states, and a logistic unit scores the window. A text's score is that of its highest window; windows overlap.
 A run of over LONGEST characters without white space enters as several words, which overlap.
 """
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 from lakelineage.llm.sampling import held_out, labelled_sample
 
 WINDOW, STRIDE = 40, 30  # words
-BUCKETS = 1 << 14  # of the word and of the character embedding
-GRAMS = (3, 4, 5)  # characters, with marks at both ends of the word
+BUCKETS = 1 << 20  # of the hashes of words and of character n-grams
+LEAST_DOCS = 3  # documents of the sample that a word or n-gram is in, to have an embedding; what few have is learned by heart
+GRAMS = (3, 4, 5, 6)  # characters, with marks at both ends of the word
 LONGEST = 40  # characters of a word
+FIRST = 0.3  # of how much a feature says, as the first value of its embedding
 DEPTH, STATE = 16, 12
 TRAIN_PER_LABEL = 2000  # documents of each label that the network is trained on (about)
 WINDOWS_PER_DOC = 12  # of each of those
 THRESHOLD = 0.3
+FALSE_ALARM = 2  # misses that a false alarm weighs as much as, where the cut is set
+LEAST_CHECKED = 5  # documents of either label for the cut to be set by them
 CACHE = 400_000  # words whose features a task keeps
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -46,7 +51,7 @@ class Features:
         owner = np.repeat(np.arange(len(words)), length)
         left = np.repeat(np.cumsum(length), length) - np.arange(len(chars))  # characters from here to the end of the word
         grams, owners, h = [], [], np.zeros(len(chars), np.uint64)
-        for k in range(max(GRAMS)):
+        for k in range(min(max(GRAMS), len(chars))):
             shifted = np.zeros_like(chars)
             shifted[: len(chars) - k] = chars[k:]
             h = (h ^ (shifted + np.uint64(k + 1))) * np.uint64(0x9E3779B97F4A7C15)
@@ -67,21 +72,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters and both passes. Gates stand in the order update, reset, candidate."""
 
-    def __init__(self, seed: int = 3) -> None:
+    def __init__(self, features: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, seed: int = 3) -> None:
+        """``features``: buckets of words and n-grams that have an embedding, with its first value; others share row 0, zero."""
         rng = np.random.default_rng(seed)
         f32 = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"word": f32(BUCKETS, DEPTH, scale=0.1), "gram": f32(BUCKETS, DEPTH, scale=0.1), "attend": f32(2 * STATE, scale=0.3), "out": f32(2 * STATE, scale=0.3), "bias": np.full(1, -1, np.float32)}
+        self.p, self.row = {}, {}
+        for k in ("word", "gram"):
+            known, first = (features or {}).get(k, (np.zeros(0, np.int64), np.zeros(0)))
+            self.row[k] = np.zeros(BUCKETS, np.int32)
+            self.row[k][known] = 1 + np.arange(len(known))
+            self.p[k] = np.zeros((len(known) + 1, DEPTH), np.float32)
+            self.p[k][1:, 0] = FIRST * first
+        self.p |= {"attend": f32(2 * STATE, scale=0.3), "out": f32(2 * STATE, scale=0.3), "bias": np.full(1, -1, np.float32)}
         for d in ("f", "b"):
             self.p |= {f"w{d}": f32(DEPTH, 3 * STATE, scale=0.3), f"u{d}": f32(STATE, 3 * STATE, scale=0.3), f"c{d}": np.zeros(3 * STATE, np.float32)}
 
     def inputs(self, f: Features) -> np.ndarray:
-        x = self.p["word"][f.word]
+        x = self.p["word"][self.row["word"][f.word]]
         some = f.size > 0
         if some.any():
-            total = np.add.reduceat(self.p["gram"][f.gram], (np.cumsum(f.size) - f.size)[some])
-            x[some] += total / f.size[some][:, None].astype(np.float32)
+            rows, first = self.row["gram"][f.gram], (np.cumsum(f.size) - f.size)[some]
+            x[some] += np.add.reduceat(self.p["gram"][rows], first) / self.known(f)[some][:, None]
         return x
 
+    def known(self, f: Features) -> np.ndarray:
+        """How many n-grams of each word have an embedding, 1 at least."""
+        out, some = np.ones(len(f.size), np.float32), f.size > 0
+        if some.any():
+            out[some] = np.maximum(1, np.add.reduceat((self.row["gram"][f.gram] > 0).astype(np.float32), (np.cumsum(f.size) - f.size)[some]))
+        return out
+
     def gates(self, x: np.ndarray, d: str) -> np.ndarray:
         return x @ self.p[f"w{d}"] + self.p[f"c{d}"]
 
@@ -154,8 +174,8 @@ class Network:
             np.add.at(gw, at[at >= 0], flat[at >= 0])
             grads[f"w{d}"], grads[f"c{d}"] = x.T @ gw, gw.sum(0)
             dx += gw @ p[f"w{d}"].T
-        grads["word"] = (words.word, dx)
-        grads["gram"] = (words.gram, np.repeat(dx / np.maximum(1, words.size)[:, None].astype(np.float32), words.size, 0))
+        grads["word"] = (self.row["word"][words.word], dx)
+        grads["gram"] = (self.row["gram"][words.gram], np.repeat(dx / self.known(words)[:, None], words.size, 0))
         loss = float(-(y * np.log(q + 1e-7) + (1 - y) * np.log(1 - q + 1e-7)).mean())
         return loss, grads
 
@@ -185,29 +205,78 @@ def batch_ids(rows: list[list[str]]) -> tuple[list[str], np.ndarray]:
     return list(seen), ids
 
 
+def telling(counts: np.ndarray, toxic: np.ndarray, docs: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that LEAST_DOCS documents have, and how much each says: the signed root of its likelihood ratio, shrunk.
+
+    ``counts`` and ``toxic``: documents and toxic documents that have each bucket. Of many buckets some look telling by
+    chance, so the root loses what the largest of so many would have by chance.
+    """
+    known = np.flatnonzero(counts >= LEAST_DOCS)
+    n, k, p = counts[known].astype(float), toxic[known].astype(float), (bad + 0.5) / (docs + 1)
+    ratio = k * np.log(np.maximum(k / n, 1e-12) / p) + (n - k) * np.log(np.maximum((n - k) / n, 1e-12) / (1 - p))
+    root = np.sqrt(2 * np.maximum(0, ratio))
+    return known, np.sign(k / n - p) * np.maximum(0, root - np.sqrt(2 * np.log(len(known) + 1)))
+
+
+def features_of(bags: list[tuple[list[list[str]], int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of words and of n-grams, what ``telling`` says."""
+    counts = {k: np.zeros((2, BUCKETS), np.int32) for k in ("word", "gram")}
+    for windows_, y in bags:
+        f = Features(sorted({w for ws in windows_ for w in ws}))
+        for k, found in (("word", f.word), ("gram", f.gram)):
+            counts[k][0][np.unique(found)] += 1
+            counts[k][1][np.unique(found)] += y
+    return {k: telling(*c, len(bags), sum(y for _, y in bags)) for k, c in counts.items()}
+
+
+def window_scores(net: Network, bags: list[tuple[list[list[str]], int]]) -> list[np.ndarray]:
+    rows, scores = [w for ws, _ in bags for w in ws], []
+    for at in range(0, len(rows), 2048):
+        words, ids = batch_ids(rows[at : at + 2048])
+        x = net.inputs(Features(words))
+        scores.append(net.score(net.gates(x, "f"), net.gates(x, "b"), ids))
+    return np.split(np.concatenate(scores), np.cumsum([len(ws) for ws, _ in bags])[:-1])
+
+
+def offset(scores: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    """What to add before the logistic function, so that ``threshold`` is the best cut; a false alarm weighs like FALSE_ALARM misses."""
+    if min(y.sum(), (1 - y).sum()) < LEAST_CHECKED:
+        return 0.0
+    z = np.log(np.clip(scores, 1e-7, 1 - 1e-7))
+    z -= np.log1p(-np.clip(scores, 1e-7, 1 - 1e-7))
+    order = np.argsort(z)
+    missed = np.concatenate(([0], np.cumsum(y[order]))) / y.sum()
+    alarms = 1 - np.concatenate(([0], np.cumsum(1 - y[order]))) / (1 - y).sum()
+    best = int(np.argmin(missed + FALSE_ALARM * alarms))
+    edges = np.concatenate(([z.min()], z[order], [z.max()]))
+    return float(np.log(threshold / (1 - threshold)) - (edges[best] + edges[best + 1]) / 2)
+
+
+def calibrated(bags: list[tuple[list[list[str]], int]], threshold: float) -> Network:
+    """A network of all documents; its cut is set by one of four fifths of them on the last fifth."""
+    rest, aside = [b for i, b in enumerate(bags) if i % 5 != 4], bags[4::5]
+    move = 0.0
+    if rest and aside:
+        move = offset(np.array([q.max() for q in window_scores(train(rest), aside)]), np.array([y for _, y in aside]), threshold)
+    net = train(bags)
+    net.p["bias"] += np.float32(move)
+    return net
+
+
 def train(bags: list[tuple[list[list[str]], int]], least_steps: int = 260, batch: int = 64, seed: int = 11) -> Network:
     """``bags``: windows and label of each document. From the second epoch on, a document is its highest window.
 
     A toxic document need not be toxic all over, so the window that the network already scores highest stands for it;
     for the other documents that is the window most in need of correction.
     """
-    rng, net = np.random.default_rng(seed), Network()
+    rng, net = np.random.default_rng(seed), Network(features_of(bags))
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     epochs = max(4, -(-least_steps // -(-len(bags) // batch)))  # few documents are gone through more often
     steps, step = epochs * -(-len(bags) // batch), 0
     for epoch in range(epochs):
         if epoch:
-            rows = [w for ws, _ in bags for w in ws]
-            scores: list[float] = []
-            for at in range(0, len(rows), 2048):
-                words, ids = batch_ids(rows[at : at + 2048])
-                x = net.inputs(Features(words))
-                scores += list(net.score(net.gates(x, "f"), net.gates(x, "b"), ids))
-            at, chosen = 0, []
-            for ws, _ in bags:
-                chosen.append(ws[int(np.argmax(scores[at : at + len(ws)]))])
-                at += len(ws)
+            chosen = [ws[int(np.argmax(q))] for (ws, _), q in zip(bags, window_scores(net, bags), strict=True)]
         else:
             chosen = [ws[rng.integers(len(ws))] for ws, _ in bags]
         order = rng.permutation(len(bags))
@@ -219,11 +288,12 @@ def train(bags: list[tuple[list[list[str]], int]], least_steps: int = 260, batch
             for k, g in grads.items():
                 q, a, b = net.p[k], first[k], second[k]
                 if isinstance(g, tuple):  # Adagrad on the rows that the batch has
-                    rows_, inverse = np.unique(g[0], return_inverse=True)
+                    some = g[0] > 0
+                    rows_, inverse = np.unique(g[0][some], return_inverse=True)
                     total = np.zeros((len(rows_), DEPTH), np.float32)
-                    np.add.at(total, inverse, g[1])
+                    np.add.at(total, inverse, g[1][some])
                     b[rows_] += total * total
-                    q[rows_] -= 3 * rate * total / (np.sqrt(b[rows_]) + 1e-6)
+                    q[rows_] -= rate * total / (np.sqrt(b[rows_]) + 1e-6)
                 else:
                     a += 0.1 * (g - a)
                     b += 0.01 * (g * g - b)
@@ -231,7 +301,7 @@ def train(bags: list[tuple[list[list[str]], int]], least_steps: int = 260, batch
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Network | None:
     """Train on about TRAIN_PER_LABEL documents of each label and WINDOWS_PER_DOC windows of each; None without any.
 
     A document with several labels counts as toxic if one of them is 1. The sample's ids, twice TRAIN_PER_LABEL or so
@@ -255,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     bags: dict[int, tuple[list[list[str]], int]] = {}
     for d, _, words, y in rows:
         bags.setdefault(d, ([], y))[0].append(words.split(" "))
-    return train(list(bags.values())) if bags else None
+    return calibrated(list(bags.values()), threshold) if bags else None
 
 
 def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:

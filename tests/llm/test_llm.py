@@ -286,22 +286,66 @@ def test_fitting_distance():
 # --- toxicity and language ---
 
 
+def network_of(words, seed=0):
+    """A network with an embedding for every word and n-gram of ``words``."""
+    f, rng = toxicity.Features(words), np.random.default_rng(seed)
+    net = toxicity.Network({k: (known, rng.standard_normal(len(known))) for k, known in (("word", np.unique(f.word)), ("gram", np.unique(f.gram)))})
+    for k in ("word", "gram"):
+        net.p[k][1:] += 0.3 * rng.standard_normal(net.p[k][1:].shape).astype(np.float32)
+    return net
+
+
 def test_gradients():
-    """Every gradient of the recurrent network against a difference quotient."""
-    net = toxicity.Network()
+    """Every gradient of the recurrent network against a difference quotient, and its score against a plain loop."""
+    words, ids = toxicity.batch_ids([["you", "bad", "dog"], ["fine", "x"]])
+    net = network_of(words)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    words, ids = toxicity.batch_ids([["you", "bad", "dog"], ["fine"]])
     f, y = toxicity.Features(words), np.array([1.0, 0.0])
     _, grads = net.backward(f, ids, y)
-    for k in ("attend", "out", "uf", "wb", "cf"):
-        at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
+    assert set(grads) == set(net.p)
+    for k, g in grads.items():
+        if isinstance(g, tuple):
+            full = np.zeros_like(net.p[k])
+            np.add.at(full, g[0], g[1])
+            full[0] = 0
+            g = full
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old, e = net.p[k][at], 1e-5
         net.p[k][at] = old + e
         up = net.backward(f, ids, y)[0]
         net.p[k][at] = old - e
         down = net.backward(f, ids, y)[0]
         net.p[k][at] = old
-        assert grads[k][at] == pytest.approx((up - down) / (2 * e), rel=0.02, abs=1e-4)
+        assert g[at] == pytest.approx((up - down) / (2 * e), rel=0.02, abs=1e-4), k
+
+    p, s, sig = net.p, toxicity.STATE, lambda v: 1 / (1 + np.exp(-v))
+    x = net.inputs(f)
+    for i, row in enumerate(ids):
+        seen = [x[j] for j in row if j >= 0]
+        states = []
+        for d in "fb":
+            h, out = np.zeros(s), []
+            for v in seen if d == "f" else seen[::-1]:
+                g = v @ p[f"w{d}"] + p[f"c{d}"]
+                z, r = (sig(g[k * s : (k + 1) * s] + h @ p[f"u{d}"][:, k * s : (k + 1) * s]) for k in (0, 1))
+                c = np.tanh(g[2 * s :] + (r * h) @ p[f"u{d}"][:, 2 * s :])
+                h = (1 - z) * h + z * c
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        both = np.array([np.concatenate(v) for v in zip(*states, strict=True)])
+        a = np.exp(both @ p["attend"])
+        want = sig((a / a.sum()) @ both @ p["out"] + p["bias"])
+        got = net.score(net.gates(x, "f"), net.gates(x, "b"), ids)[i]
+        assert got == pytest.approx(want[0], rel=1e-4)
+
+
+def test_telling_features():
+    """Buckets of many toxic documents say much, those of a few nothing, and rare ones have no embedding."""
+    bags = [([["vile", "tree", f"own{d}"]], 1) if d < 20 else ([["tree", f"own{d}"]], 0) for d in range(200)]
+    known, says = toxicity.features_of(bags)["word"]
+    at = {w: int(toxicity.Features([w]).word[0]) for w in ("vile", "tree", "own3")}
+    assert set(known) == {at["vile"], at["tree"]}
+    assert says[list(known).index(at["vile"])] > 3 and abs(says[list(known).index(at["tree"])]) == 0
 
 
 def test_toxicity_held_out(spark):
@@ -330,7 +374,8 @@ def test_long_words_enter_whole(spark):
     head, tail = "_".join(["river"] * 10), "_".join(["stone"] * 10)
     texts = [f"{head}_{middle}_{tail}" for middle in ("vile_scum_filth", "tree_cloud_stone")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.Network()).collect()}
+    net = network_of([w for t in texts for w in toxicity.words_of(t)])
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
     assert scores[0] != scores[1]
     rng = np.random.default_rng(5)
     for n in (1, 39, 40, 41, 44, 45, 76, 77, 300):
