@@ -1,19 +1,21 @@
 """Documents that hold a benchmark item, exactly or with edits.
 
-The CGK embedding walks along a sequence: at output step ``t`` it emits the current symbol and moves on by one or not,
-as a random bit of (``t``, symbol) says. Sequences at a small edit distance walk together for most of the way, so their
+The CGK embedding walks along a text: at output step ``t`` it emits the current character and moves on by one or not, as
+a random bit of (``t``, character) says. Texts at a small edit distance walk together for most of the way, so their
 outputs have a small Hamming distance, and sampling a few output positions is a locality-sensitive hash for edit
-distance. Here symbols are words. Every word of a document starts an item-sized window; its key in each of REPEATS
-walks is hashed from SAMPLES output positions and looked up among the keys of the items, which have one for every
-word at which an item's walk can start. Items of fewer than FEW_WORDS words, whose walks are too short to tell much, are
-looked up by each of their words as well. Candidates are verified by the exact edit distance between the item and the
-best-fitting stretch of the document.
+distance. In each of REPEATS embeddings every word of an item, and of a document, starts a walk; its key is hashed from
+SAMPLES of its STEPS outputs. A document's key that is one of an item's is a vote for the item, at the place at which it
+would begin. Votes are counted over item-sized windows: those for one place, give or take the edits that the item allows.
+VOTES of them make a candidate, which is verified by the exact edit distance between the item and the best-fitting
+stretch of the document. Items of fewer than FEW_WORDS words, which have few walks, need one vote and are looked up by
+each of their words as well.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,21 +25,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-REPEATS = 4  # walks
-STEPS = 12  # outputs of a walk that positions are sampled from
-SAMPLES = 6  # output positions in a key; the first is 0
-MOVES = 3  # words that a walk of an item must move by to give a key
+REPEATS = 4  # embeddings
+STEPS = 24  # outputs of a walk that positions are sampled from
+SAMPLES = 10  # output positions in a key
+CHECKED = (4, 6, 8)  # sampled positions after which walks that are no item's are left off
+VOTES = 2  # of an item's walks, for a candidate, at least
+WORDS_A_VOTE = 6  # words of an item for each vote that it needs
 SIMILARITY = 0.8  # 1 - edit distance / characters of the item
-SHARED = 0.5  # of an item's distinct words that a stretch must have before its edit distance is computed
-LEAST_WORDS = 4  # items of fewer words have no walks
 FEW_WORDS = 8  # items of fewer words are looked up by each of their words
-MAX_ITEM_BYTES = 256 << 20  # of item keys that are sent to every task
-CHUNK = 1 << 15  # windows that walk at a time, so that they stay in a core's cache
+MAX_ITEM_BYTES = 256 << 20  # of item keys that are sent to every task at a time
+FEW = 64  # candidates that are verified one by one; more are verified side by side
+SIDE = 512  # candidates that are verified at a time
+CHUNK = 1 << 15  # walks at a time, so that they stay in a core's cache
 
 _rng = np.random.default_rng(6)
-POSITIONS = np.sort(np.stack([np.concatenate([[0], 1 + _rng.permutation(STEPS - 1)[: SAMPLES - 1]]) for _ in range(REPEATS)]), 1)
-TURN = _rng.integers(0, 1 << 63, REPEATS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
+POSITIONS = np.sort(np.stack([_rng.permutation(STEPS)[:SAMPLES] for _ in range(REPEATS)]), 1)
+MOVES = _rng.integers(0, 2, (REPEATS, STEPS, 256)).astype(np.uint8)  # by embedding, step and character
+TIMES, SPREAD = (_rng.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+
+
+def plain(text: str | None) -> str:
+    """Lower-case words joined by one space."""
+    return " ".join(WORD.findall(text.lower())) if text else ""
+
+
+def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each UTF-16 unit of a plain text, and the units at which its words start."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    starts = np.flatnonzero(units == 32) + 1
+    return (units ^ (units >> 8)).astype(np.uint8), np.concatenate(([0], starts)) if len(units) else starts
 
 
 class Words:
@@ -60,84 +76,134 @@ class Words:
             return np.array([known[w] for w in words], np.uint64)
 
 
-def walk_keys(h: np.ndarray, starts: np.ndarray, repeat: int, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the walks from ``starts`` over word hashes ``h``, which end in STEPS zeros. Returns starts, ends and keys.
+def walk_keys(chars: np.ndarray, starts: np.ndarray, repeat: int, keep=None) -> tuple[np.ndarray, np.ndarray]:
+    """Which walks from ``starts`` over ``chars`` (which end in STEPS zeros) go on to the end, and their keys.
 
-    ``keep(j, keys)`` says which walks go on after the j-th sampled position; the others are left off.
+    ``keep(j, keys)`` says which of them go on after ``j`` sampled positions; the others are left off.
     """
-    bits = (h ^ (h >> np.uint64(23))) * TURN[repeat]
-    at, key, j = starts.copy(), np.zeros(len(starts), np.uint64), 0
+    which, at, key, j = np.arange(len(starts)), starts.astype(np.int32), np.zeros(len(starts), np.uint64), 0
     for t in range(STEPS):
+        x = chars[at]
         if t == POSITIONS[repeat, j]:
-            key = (key ^ h[at]) * MIX
-            key ^= key >> np.uint64(32)
-            if keep is not None:
-                ok = np.flatnonzero(keep(j, key))
-                starts, at, key = starts[ok], at[ok], key[ok]
+            key *= TIMES
+            key += x
             j += 1
-            if j == SAMPLES or not len(starts):
+            if keep is not None and (j in CHECKED or j == SAMPLES):
+                ok = np.flatnonzero(keep(j, key))
+                which, at, key, x = which[ok], at[ok], key[ok], x[ok]
+            if j == SAMPLES or not len(which):
                 break
-        at = at + ((bits[at] >> np.uint64(40 + t)) & np.uint64(1)).astype(np.int64)
-    return starts, at, key
+        at += MOVES[repeat, t][x]
+    return which, key
 
 
 class Items:
-    """Keys of all items. A bitmap of key prefixes tells most walks off after their first sampled positions."""
+    """Keys of all items' walks. Bitmaps of key prefixes tell most other walks off early."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        words = Words()
-        self.bits = min(26, max(16, 5 + sum(len(t) // 6 for _, t in rows).bit_length()))
-        self.ids, self.texts = [r[0] for r in rows], [" ".join(WORD.findall(r[1].lower())) for r in rows]
-        self.maps = np.zeros((REPEATS, SAMPLES, 1 << self.bits), bool)
+        self.ids, self.texts = [r[0] for r in rows], [plain(r[1]) for r in rows]
+        self.bits = min(26, max(18, 4 + sum(map(len, self.texts)).bit_length()))
+        self.stages = {j: n for n, j in enumerate((*CHECKED, SAMPLES))}
+        self.maps = np.zeros((REPEATS, len(self.stages), 1 << self.bits), bool)
+        self.chars = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in self.texts], np.int64)
+        self.words = np.array([len(t.split()) for t in self.texts], np.int64)
+        self.letters, self.rows = self.alphabet() if self.texts else np.zeros(0, np.uint32), {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         found: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
-        hashes = [words(t) for t in self.texts]
-        self.short = {}
-        for i, h in enumerate(hashes):
-            if len(h) < FEW_WORDS:
-                for j, x in enumerate(h):
-                    self.short.setdefault(int(x), []).append((i, j))
-            if 0 < len(h) < LEAST_WORDS:
+        words = Words()
+        for i, t in enumerate(self.texts):
+            if not t:
                 continue
-            padded = np.concatenate([h, np.zeros(STEPS, np.uint64)])
-            starts = np.arange(max(1, len(h) - STEPS // 2 + 1)) if len(h) else np.zeros(0, np.int64)
+            chars, starts = coded(t)
+            if len(starts) < FEW_WORDS:
+                for h, at in zip(words(t), starts, strict=True):
+                    self.short.setdefault(int(h), []).append((i, int(at)))
+            padded = np.concatenate([chars, np.zeros(STEPS, np.uint8)])
             for r in range(REPEATS):
 
                 def mark(j: int, key: np.ndarray, r: int = r) -> np.ndarray:
-                    self.maps[r, j, (key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+                    self.maps[r, self.stages[j], self.place(key)] = True
                     return np.ones(len(key), bool)
 
-                # A walk that hardly moves says little; the others from there and from its neighbours do.
-                s, end, _ = walk_keys(padded, starts, r)
-                s, _, key = walk_keys(padded, s[end - s >= MOVES], r, mark)
-                found[r].append(np.stack([key, np.full(len(key), i, np.uint64), s.astype(np.uint64)], 1))
+                _, key = walk_keys(padded, starts, r, mark)
+                found[r].append(np.stack([key, np.full(len(key), i, np.uint64), starts.astype(np.uint64)], 1))
         self.keys = []
         for f in found:
             k = np.concatenate(f) if f else np.zeros((0, 3), np.uint64)
-            self.keys.append(k[np.argsort(k[:, 0], kind="stable")])
-        self.hashes = hashes
-        self.distinct = [np.unique(h) for h in hashes]
-
-    def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """(item, place at which it would begin) for word hashes of texts, each followed by STEPS zeros."""
-        found: set[tuple[int, int]] = set()
-        if self.short:
-            for p in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint64))):
-                found |= {(i, int(p) - j) for i, j in self.short[int(h[p])]}
-        starts0 = np.flatnonzero(h)
-        key0 = h[starts0] * MIX  # what every walk emits first
-        key0 ^= key0 >> np.uint64(32)
-        starts0 = starts0[self.maps[:, 0].any(0)[(key0 >> np.uint64(64 - self.bits)).astype(np.int64)]]
+            k = k[np.argsort(k[:, 0], kind="stable")]
+            self.keys.append((k[:, 0].copy(), k[:, 1].astype(np.int64), k[:, 2].astype(np.int64)))
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key ^ key >> np.uint64(32)) * SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def candidates(self, texts: list[str], words: Words, similarity: float) -> list[tuple[int, int, int, int]]:
+        """(text, item, first and last unit) of the stretches of plain texts in which items may be."""
+        both = [coded(t) for t in texts]
+        gap = np.zeros(STEPS, np.uint8)
+        chars = np.concatenate([x for c, _ in both for x in (c, gap)])
+        begin = np.concatenate(([0], np.cumsum([len(c) + STEPS for c, _ in both])))
+        starts = np.concatenate([s + b for (_, s), b in zip(both, begin, strict=False)])
+        at, item, place, walk = [], [], [], []  # unit of the vote, item, unit of the item's word, embedding
         for r in range(REPEATS):
-            keys = self.keys[r]
-            if not len(keys):
-                continue
-            keep = lambda j, key, r=r: self.maps[r, j, (key >> np.uint64(64 - self.bits)).astype(np.int64)]
-            for at in range(0, len(starts0), CHUNK):
-                starts, _, key = walk_keys(h, starts0[at : at + CHUNK], r, keep)
-                low, high = np.searchsorted(keys[:, 0], key, "left"), np.searchsorted(keys[:, 0], key, "right")
-                for p, lo, hi in zip(starts[high > low], low[high > low], high[high > low], strict=True):
-                    found |= {(int(i), int(p) - int(s)) for _, i, s in keys[lo:hi]}
-        return sorted(found, key=lambda x: (x[1], x[0]))
+            keys, items, places = self.keys[r]
+            keep = lambda j, key, r=r: self.maps[r, self.stages[j], self.place(key)]
+            for lo in range(0, len(starts) if len(keys) else 0, CHUNK):
+                some = starts[lo : lo + CHUNK]
+                which, key = walk_keys(chars, some, r, keep)
+                first, n = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                n = n - first
+                each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at.append(np.repeat(some[which], n))
+                item.append(items[each])
+                place.append(places[each])
+                walk.append(np.full(len(each), r))
+        if self.short:
+            h = np.concatenate([words(t) for t in texts])
+            for k in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint64))):
+                hits = self.short[int(h[k])]
+                at.append(np.full(len(hits), starts[k]))
+                item.append(np.array([i for i, _ in hits]))
+                place.append(np.array([p for _, p in hits]))
+                walk.append(np.full(len(hits), REPEATS))
+        if not at:
+            return []
+        at, item, place, walk = map(np.concatenate, (at, item, place, walk))
+        text = np.searchsorted(begin, at, "right") - 1
+        # Two votes for one stretch are for places that differ by the edits that the item allows, or less.
+        slack = ((1 - similarity) * self.chars).astype(np.int64) + 1
+        width = int(begin[-1]) + int(self.chars.max()) + 4
+        cell = (at - place + self.chars[item]) // slack[item]
+        code = (text * len(self.ids) + item) * width + cell
+        code, votes = np.unique(code, return_inverse=True)
+        # A word that is there many times has one vote: the lesser number of different words on either side counts.
+        by = [np.bincount(np.unique(votes * span + x * (REPEATS + 1) + walk) // span, minlength=len(code)) for x, span in ((at, (int(begin[-1]) + 1) * (REPEATS + 1)), (place, (int(self.chars.max()) + 1) * (REPEATS + 1)))]
+        votes = np.minimum(*by)
+        item = code // width % len(self.ids)
+        follows = np.append(code[1:] == code[:-1] + 1, False)
+        needed = np.where(self.words < FEW_WORDS, 1, np.maximum(VOTES, self.words // WORDS_A_VOTE))
+        enough = votes + np.where(follows, np.append(votes[1:], 0), 0) >= needed[item]
+        out = []
+        for c, i, two in zip(code[enough], item[enough], follows[enough], strict=True):
+            k, first = int(c // width // len(self.ids)), int(c % width * slack[i] - self.chars[i])
+            last = first + int((2 if two else 1) * slack[i] + self.chars[i])
+            out.append((k, int(i), first - int(slack[i]) - int(begin[k]), last + int(slack[i]) - int(begin[k])))
+        return out
+
+    def alphabet(self) -> np.ndarray:
+        return np.unique(np.concatenate([points(t) for t in self.texts]))
+
+    def matches(self, i: int) -> np.ndarray:
+        """Bits at which item ``i`` has each character of the alphabet, in words of 64; the last row is of other characters."""
+        if i not in self.rows:
+            at = np.searchsorted(self.letters, points(self.texts[i]))
+            bits = np.zeros((len(self.letters) + 1, -(-len(at) // 64)), np.uint64)
+            np.bitwise_or.at(bits, (at, np.arange(len(at)) // 64), np.uint64(1) << (np.arange(len(at)) % 64).astype(np.uint64))
+            self.rows[i] = bits
+        return self.rows[i]
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def fitting_distance(item: str, text: str) -> tuple[int, int]:
@@ -167,34 +233,84 @@ def fitting_distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def leaks_in(texts: list[str | None], hashes: Words, items: Items, similarity: float) -> list[tuple[int, int, int, int]]:
+def fitting_distances(items: Items, which: list[int], stretches: list[str]) -> list[tuple[int, int]]:
+    """``fitting_distance`` of many items and stretches, side by side: the same recurrence on arrays of 64-bit words."""
+    bits = [items.matches(i) for i in which]
+    words, a = max(b.shape[1] for b in bits), len(items.letters) + 1
+    slots = {i: k for k, i in enumerate(dict.fromkeys(which))}
+    match = np.zeros((words, len(slots) * a), np.uint64)
+    for i, k in slots.items():
+        match[: items.rows[i].shape[1], k * a : (k + 1) * a] = items.rows[i].T
+    n, steps = len(which), max(map(len, stretches))
+    text = np.full((steps, n), a - 1, np.int64)
+    for k, t in enumerate(stretches):
+        c = points(t)
+        at = np.searchsorted(items.letters, c)
+        at[at == a - 1] = 0
+        text[: len(c), k] = np.where(items.letters[at] == c, at, a - 1)
+    text += np.array([slots[i] * a for i in which])
+    size = np.array([len(items.texts[i]) for i in which])
+    top, high = (size - 1) // 64, ((size - 1) % 64).astype(np.uint64)
+    each, length = np.arange(n), np.array(list(map(len, stretches)))
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    now, best, end = size.copy(), size.copy(), np.zeros(n, np.int64)
+    one, last = np.uint64(1), np.uint64(63)
+    for j in range(steps):
+        x = match[:, text[j]]
+        x |= down
+        add, carry = x & up, None
+        for w in range(words):
+            a_, u = add[w], up[w]
+            total = a_ + u
+            over = total < a_
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry, add[w] = over.astype(np.uint64), total
+        add ^= up
+        add |= x  # cells that equal the one diagonally before
+        hp = add | up
+        np.invert(hp, out=hp)
+        hp |= down
+        hn = up & add
+        now += ((hp[top, each] >> high) & one).astype(np.int64)
+        now -= ((hn[top, each] >> high) & one).astype(np.int64)
+        better = np.flatnonzero((now < best) & (j < length))
+        best[better], end[better] = now[better], j + 1
+        for h in (hp, hn):
+            out = h[:-1] >> last
+            h <<= one
+            h[1:] |= out
+        down = hp & add
+        hp |= add
+        np.invert(hp, out=hp)
+        hp |= hn
+        up = hp
+    return list(zip(best.tolist(), end.tolist(), strict=True))
+
+
+def leaks_in(texts: list[str | None], words: Words, items: Items, similarity: float) -> list[tuple[int, int, int, int]]:
     """(text, item, edit distance, word at which it begins, roughly) of each item that each text holds."""
-    all_ = [hashes(t) for t in texts]
-    gap = np.zeros(STEPS, np.uint64)
-    h = np.concatenate([x for a in all_ for x in (a, gap)]) if all_ else gap
-    begin = np.concatenate(([0], np.cumsum([len(a) + STEPS for a in all_])))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
-    words: tuple[int, list[str]] = (-1, [])
-    for i, p in items.candidates(h):
-        # A start before its text's first word still belongs to that text: the walk that gave it began inside.
-        k = min(len(all_) - 1, max(0, int(np.searchsorted(begin, p + STEPS // 2, "right")) - 1))
-        for k in {k, max(0, int(np.searchsorted(begin, p, "right")) - 1)}:
-            m, at = len(items.hashes[i]), p - int(begin[k])
-            slack = max(1, int((1 - similarity) * m) + 1)
-            cell = (k, i, at // slack)
-            if cell in tried or best.get((k, i), (1,))[0] == 0:
-                continue  # a stretch this near has been verified with as much on either side
-            tried.add(cell)
-            first, last = max(0, cell[2] * slack - 2 * slack), cell[2] * slack + m + 3 * slack
-            if m >= FEW_WORDS and np.isin(items.distinct[i], all_[k][first : max(0, last)]).mean() < SHARED:
-                continue
-            if words[0] != k:
-                words = (k, WORD.findall(texts[k].lower()))
-            d, _ = fitting_distance(items.texts[i], " ".join(words[1][first : max(0, last)]))
-            if d <= (1 - similarity) * len(items.texts[i]) and ((k, i) not in best or d < best[k, i][0]):
-                best[k, i] = (d, max(0, at))
-    return [(k, i, d, p) for (k, i), (d, p) in sorted(best.items())]
+    plain_, best = [plain(t) for t in texts], {}
+    found = []
+    for k, i, first, last in items.candidates(plain_, words, similarity) if items.ids and texts else ():
+        text, first, last = plain_[k], max(0, first), max(0, last)
+        if not text.isascii() and max(text) > "\uffff":  # units aren't characters
+            units = text.encode("utf-16-le", "surrogatepass")
+            first, last = (len(units[: 2 * x].decode("utf-16-le", "ignore")) for x in (first, last + 1))
+        found.append((k, i, first, text[first:last]))
+    found = sorted((x for x in found if x[3]), key=lambda x: (len(items.texts[x[1]]) // 64, len(x[3])))
+    for at in range(0, len(found), SIDE):
+        some = found[at : at + SIDE]
+        if len(some) < FEW:
+            results = [fitting_distance(items.texts[i], t) for _, i, _, t in some]
+        else:
+            results = fitting_distances(items, [i for _, i, _, _ in some], [t for _, _, _, t in some])
+        for (k, i, first, _), (d, end) in zip(some, results, strict=True):
+            place = max(0, first + end - len(items.texts[i]))
+            if d <= (1 - similarity) * len(items.texts[i]) and (d, place) < best.get((k, i), (d + 1, 0)):
+                best[k, i] = (d, place)
+    return [(k, i, d, plain_[k].count(" ", 0, p)) for (k, i), (d, p) in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -205,21 +321,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     Defined cases: null, empty and wordless texts hold nothing, and such items are held by nothing; repeated rows give
     repeated results; items with one text are all reported; empty tables give an empty result; other columns are not
-    used. The items must fit into MAX_ITEM_BYTES of keys, which is checked; beyond that, call with parts of them.
+    used. Items of any length are compared whole. What goes to every task are at most MAX_ITEM_BYTES of keys; a larger
+    benchmark is looked up in parts, each over all documents.
     """
     items_ = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     (chars,) = items_.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    if chars * REPEATS * 24 // 4 > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {chars} characters, too many to send their keys to every task; pass it in parts")
-    items = Items(sorted((r.item_id, r.text) for r in items_.collect()))
+    parts = max(1, -(-chars * REPEATS * 24 // 4 // MAX_ITEM_BYTES))
+    some = [items_.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
+    return reduce(DataFrame.unionByName, [_leaks(docs, part, similarity) for part in some])
+
+
+def _leaks(docs: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
+    items = Items(sorted((r.item_id, r.text) for r in part.collect()))
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(items))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, items = Words(), cloudpickle.loads(shared.value)
+        words, items = Words(), cloudpickle.loads(shared.value)
         for b in batches:
             ids, texts, rows = list(b["doc_id"]), list(b["text"]), []
             for at in range(0, len(b), 256):
-                rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at : at + 256], hashes, items, similarity)]
+                rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at : at + 256], words, items, similarity)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "at_word"])
 
     return docs.select("doc_id", "text").mapInPandas(apply, "doc_id long, item_id long, distance long, at_word long")
