@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source has a target in words. A document of a source whose target is ``m`` times its size goes in ``floor(m)``
-times for certain; for the rest of the target, the source's documents are ranked by ``u / (1 - u)`` divided by the
-odds of their inclusion probability (Pareto order sampling), and taken in that order until the rest is reached.
+times for certain; for the rest of the target, each document has an inclusion probability, in proportion to a weight
+(the square root of its size by default, so that long documents are preferred but don't fill the mix), such that the
+expected words are the rest. Documents are ranked by ``u / (1 - u)`` divided by the odds of their probability (Pareto
+order sampling), and taken in that order until the rest is reached.
 """
 
 from __future__ import annotations
@@ -41,12 +43,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, odds: Column | None = None
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, inclusion: Column | None = None
 ) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ``source``, any more) with ``size``, ``source_size``, ``target`` and ``taken``.
 
-    ``taken``: words that the mix takes of the document, repeats counted, a multiple of its size. ``odds``: relative
-    inclusion odds of a document among those of its source (equal by default); nulls count as 1.
+    ``taken``: words that the mix takes of the document, repeats counted, a multiple of its size. ``inclusion``:
+    weight that a document's inclusion probability is in proportion to, among those of its source (by default the square
+    root of its size); nulls count as 1, and probabilities stop short of 1.
 
     Defined cases: a null text has size 0 and is never taken; null is a source of its own, the last; rows with the same
     id are separate documents that draw different numbers unless all their columns agree, and of equal rows any one is
@@ -56,22 +59,26 @@ def mix(
     added = ("size", "source_size", "target", "taken")
     rows = docs.drop(*[c for c in docs.columns if c.lower() in added])
     u = (F.pmod(F.col("_h"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    weight = F.lit(1.0) if odds is None else F.coalesce(odds.cast("double"), F.lit(1.0))
-    rows = rows.withColumn("size", word_count("text")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_u", u).withColumn("_odds", weight)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = checkpoint(source_targets(sizes, weights, share, most))  # one row per source
+    weight = F.sqrt("size") if inclusion is None else F.greatest(F.lit(0.0), F.coalesce(inclusion.cast("double"), F.lit(1.0)))
+    rows = rows.withColumn("size", word_count("text")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_u", u).withColumn("_weight", weight)
+    # Sums of weights as decimals, so that no order of adding changes them.
+    sizes = checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") * F.col("_weight")).cast("decimal(38,6)")).cast("double").alias("_total")))
+    totals = sizes.select(F.col("source").alias("_s"), "_total")
+    targets = source_targets(sizes.drop("_total"), weights, share, most)
+    targets = checkpoint(targets.join(totals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))  # one row per source
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     targets = targets.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(F.lit(0.0)))
 
     # The rank: random odds over inclusion odds. q / (1 + q) lies in (0, 1), in the same order, and is easy to bin.
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("_p")))
-    q = (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p) * F.col("_odds"))
+    bounded = lambda p: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    p, own = bounded(F.col("_p")), bounded(F.coalesce(F.try_divide(F.col("_rest") * F.col("_weight"), F.col("_total")), F.lit(0.0)))
+    q = (F.col("_u") / (1 - F.col("_u"))) / (own / (1 - own))
     ranked = (
         rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("_q", q / (1 + q))
-        # With equal odds, q / (1 + q) is far from even within a source; its own quantile is u again.
+        # q / (1 + q) is far from even within a source; times the odds of the mean probability it is about even.
         .withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_q") / (F.col("_q") + (1 - F.col("_q")) * (1 - p) / p) * BINS)).cast("int"))
     )
     # Words before each bin of a source: a histogram, so that no source's documents meet in one task.
@@ -86,7 +93,7 @@ def mix(
     ahead = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_q", "_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     near = binned.where(edge).withColumn("_more", F.col("_before") + F.coalesce(ahead, F.lit(0)) + F.col("size") / 2 <= F.col("_rest"))
     out = sure.unionByName(near).withColumn("taken", (F.col("size") * (F.col("_whole") + F.col("_more").cast("long"))).cast("long"))
-    return out.drop("_h", "_u", "_odds", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_in", "_out", "_more")
+    return out.drop("_h", "_u", "_weight", "_total", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_in", "_out", "_more")
 
 
 def copies(mixed: DataFrame) -> DataFrame:

@@ -183,6 +183,39 @@ def test_mix_targets_and_reruns(spark):
     assert all(abs(taken[s] - target[s]) <= biggest[s] for s in size)
 
 
+@pytest.mark.parametrize("by_source", [False, True])
+def test_mix_is_pareto_order_sampling(spark, by_source):
+    """Which documents go in, against plain code: sort by odds of u over odds of p, take until the rest is reached."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    got = {r.doc_id: r for r in mixing.mix(docs, inclusion=F.length("source") * F.lit(2.0) if by_source else None).collect()}
+    draws = {r.doc_id: r.h % (1 << 52) for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    by = collections.defaultdict(list)
+    for r in got.values():
+        by[r.source].append(r)
+    longer = []
+    for rows in by.values():
+        total, target = rows[0].source_size, rows[0].target
+        whole = int(target // total)
+        rest = target - whole * total
+        weight = {r.doc_id: 2.0 * len(r.source) if by_source else r.size**0.5 for r in rows}
+        scale = rest / sum(r.size * weight[r.doc_id] for r in rows)
+
+        def rank(r):
+            u = (draws[r.doc_id] + 0.5) / (1 << 52)
+            p = min(1 - 1e-9, max(1e-9, scale * weight[r.doc_id]))
+            return u / (1 - u) / (p / (1 - p))
+
+        done, inside = 0, set()
+        for r in sorted(rows, key=rank):
+            if done + r.size / 2 <= rest:
+                inside.add(r.doc_id)
+            done += r.size
+        assert {r.doc_id for r in rows if r.size and r.taken > whole * r.size} == {d for d in inside if got[d].size}
+        if 0.1 < rest / total < 0.9:
+            longer.append(np.mean([r.size for r in rows if r.doc_id in inside]) / np.mean([r.size for r in rows]))
+    assert by_source or np.mean(longer) > 1
+
+
 def test_mix_defined_cases(spark):
     got = {r.doc_id: r for r in mixing.mix(docs_of(spark)).collect()}
     assert got[1].size == 0 == got[1].taken and got[5].size == 5000
