@@ -152,11 +152,11 @@ def unpack(rows: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows["key"]), ">u4").reshape(-1, DEPTH).astype(np.uint32)
 
 
-def pair_rows(rows: pd.DataFrame) -> pd.DataFrame:
+def pair_rows(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Candidate pairs with their tree, and heads and members of crowds with TREES in its place."""
     tree, ids, size, key = rows["tree"].to_numpy(), rows["id"].to_numpy(), rows["n"].to_numpy(), unpack(rows)
     i, j = region_pairs(tree, key)
-    fits = 10 * np.minimum(size[i], size[j]) >= 8 * np.maximum(size[i], size[j])  # else the sets can't be similar enough
+    fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])  # else the sets can't be similar enough
     i, j = i[fits], j[fits]
     head, member = crowds(tree, key)
     of = np.concatenate([tree[i], np.full(len(head), TREES, tree.dtype)])
@@ -164,20 +164,20 @@ def pair_rows(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "tree": of, "key": None, "n": 0})
 
 
-def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def walk(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Pairs of a partition of the sorted orders, and the entries at its ends whose region may go on in another partition."""
     rows = [b for b in batches if len(b)]
     if not rows:
         return
     part = pd.concat(rows, ignore_index=True)
-    yield pair_rows(part)
+    yield pair_rows(part, percent)
     key, tree = unpack(part)[:, :FLOOR], part["tree"].to_numpy()
     ends = np.unique(np.concatenate([np.arange(min(REGION, len(part))), np.arange(max(0, len(part) - REGION), len(part))]))
     like = lambda k: (tree[ends] == tree[k]) & (key[ends] == key[k]).all(1)
     yield part.iloc[ends[like(0) | like(-1)]].rename(columns={"id": "a"}).assign(b=-1)[["a", "b", "tree", "key", "n"]]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b`` and the first ``tree`` that brings them together. ``reps``: ``id``, ``n``, ``sig``.
 
     Rows whose ``tree`` is TREES are two members of a crowd and no candidates.
@@ -192,11 +192,11 @@ def candidates(reps: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = reps.mapInPandas(plant, "tree int, key binary, id long, n long")
     order = entries.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = checkpoint(order.mapInPandas(walk, "a long, b long, tree int, key binary, n long"))
+    found = checkpoint(order.mapInPandas(lambda rows: walk(rows, percent), "a long, b long, tree int, key binary, n long"))
     ends = found.where("key IS NOT NULL").selectExpr("tree", "key", "a AS id", "n", f"substring(key, 1, {4 * FLOOR}) AS region")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        return pair_rows(rows.sort_values(["key", "id"], ignore_index=True))[["a", "b", "tree"]]
+        return pair_rows(rows.sort_values(["key", "id"], ignore_index=True), percent)[["a", "b", "tree"]]
 
     across = ends.groupBy("tree", "region").applyInPandas(meet, "a long, b long, tree int")
     pairs = found.where("key IS NULL").select("a", "b", "tree").unionByName(across).where("a <> b")
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     all_ = checkpoint(sketches(docs, size))
     sets = all_.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
-    found = checkpoint(candidates(classes.select("id", "n", "sig")))
+    found = checkpoint(candidates(classes.select("id", "n", "sig"), percent))
     pairs, crowded = found.where(F.col("tree") < TREES), found.where(F.col("tree") == TREES)
     known = docs.where(F.col("doc_id").isNotNull())
     links = checkpoint(verify(pairs.where(F.col("tree") < FIRST_TREES), known, size, percent))
