@@ -2,9 +2,10 @@ r"""Personal data by bootstrapped contextual extraction; DataFrame functions onl
 
 Regular forms (e-mail, IP, card and phone numbers) are the seeds. The words before a seed are a lexical pattern; so is
 what stands before any other token that holds a digit or ``@``. Patterns and the instances (tokens) that they introduce
-form a bipartite graph. Rounds of scoring go back and forth: a pattern is as sure of a kind as the mean of its
-instances, an instance as its patterns together. Patterns with enough support that end up sure add the unseen tokens
-that they introduce.
+form a bipartite graph, which is scored in rounds: a pattern is as sure of a kind as the mean of its instances; a seed is
+wholly sure, another instance as the sure patterns that introduce it together, leaving out the pattern that is scored.
+Rounds go on until no further pattern becomes sure, so what one pattern discovers makes others sure, seeds or not. Sure
+patterns with enough support add the unseen tokens that they introduce.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakelineage.llm.common import stored
+
 KINDS = ("email", "ip", "card", "phone")
 #: The given forms. Where a match can't begin in the middle of a run, that is said, so that no run is read twice; groups
 #: are possessive, which changes no match (what follows a group can't be in it) and needs no stack.
@@ -24,11 +27,11 @@ FORMS = {
 #: A character without which there is no match.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-CONTEXT = 60  # code points before a token in which its pattern's words are looked for
-ROUNDS = 3
+CONTEXT = 60  # code points before a token in which its pattern's words are read; of a longer word its end counts
 SUPPORT = 5  # distinct instances that a pattern has at least
 SURE = 0.8  # mean score of a pattern that adds spans
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
+TOKENS = "array<struct<match:string,start:bigint,end:bigint,before:string>>"
 FOUND = "array<struct<kind:int,start:bigint,end:bigint,match:string>>"
 
 
@@ -58,7 +61,7 @@ def located(text: Column, form: str) -> Column:
     """Array of (match, start, end, before) of all matches of ``form``: what stands between them tells where they are."""
     between = F.split(text, form, -1)
     matches = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<match:string,start:bigint,end:bigint,before:string>>").alias("found"))
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TOKENS).alias("found"))
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["b"])
@@ -89,10 +92,11 @@ def written(spans: Column) -> Column:
 def candidates(rows: DataFrame) -> DataFrame:
     """Tokens with a digit or ``@``: ``key``, ``start``, ``end``, ``instance``, ``pattern`` and the ``kind`` of the base span there, if any.
 
-    ``rows``: ``key``, ``text``, ``base``. A token's edges lose punctuation. A base span of several tokens counts once,
-    by the first. The pattern is the word or two before the token, in lower case.
+    ``rows``: ``key``, ``base``, ``tokens``. A token's edges lose punctuation. A base span of several tokens counts once,
+    by the first; a token that touches spans of several kinds counts for the first kind. The pattern is the word or two
+    before the token, in lower case.
     """
-    some = rows.where(F.col("text").rlike("[0-9@]")).select("key", "base", F.explode(located(F.col("text"), TOKEN)).alias("t"))
+    some = rows.select("key", "base", F.explode("tokens").alias("t"))
     lead = F.length(F.regexp_extract("t.match", r"^[^A-Za-z0-9@+_]*", 0))
     core = F.regexp_extract("t.match", r"^[^A-Za-z0-9@+_]*(.*?)[^A-Za-z0-9]*$", 1)
     some = some.select("key", "base", F.col("t.before").alias("before"), (F.col("t.start") + lead).alias("start"), core.alias("token"))
@@ -108,24 +112,29 @@ def candidates(rows: DataFrame) -> DataFrame:
 def sure_patterns(found: DataFrame) -> DataFrame:
     """``pattern``, ``kind`` and ``score`` of patterns that add spans.
 
-    Edges are distinct (pattern, instance) pairs, combined before they are shuffled; scores move along them ROUNDS
-    times. Only patterns that introduce a seed can have a score, so the others are left out first.
+    Edges are distinct (pattern, instance) pairs, combined before they are shuffled. Scores only grow from round to
+    round, so the rounds end; each is cut by a table.
     """
     edges = found.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).where((F.col("n") >= SUPPORT) & (F.col("seeds") > 0)).select("pattern", "n")
-    edges = edges.join(size, "pattern")
-    kinds = F.explode(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)))
-    fixed = edges.where("kind IS NOT NULL").select("instance", F.col("kind").alias("k")).distinct().withColumn("seed", F.lit(1.0))
-    spread = edges.select("pattern", "instance", "n", kinds.alias("k")).join(fixed, ["instance", "k"], "left")
-    scored = spread.withColumn("s", F.coalesce("seed", F.lit(0.0)))
-    for round_ in range(ROUNDS):
-        patterns = scored.groupBy("pattern", "k", "n").agg((F.sum("s") / F.col("n")).alias("score")).where("score > 0")
-        if round_ == ROUNDS - 1:
+    size = stored(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT))
+    edges = stored(edges.join(size, "pattern"))
+    seeds = stored(edges.where("kind IS NOT NULL").select("instance", F.col("kind").alias("k")).distinct())
+    own = edges.join(seeds, "instance").groupBy("pattern", "k", "n").agg((F.count("*") / F.col("n")).alias("seeded"))
+    own = stored(own)
+    surely = lambda rows: stored(rows.where(F.col("score") >= SURE).select("pattern", "k", "score", F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))).alias("doubt")))
+    sure = surely(own.withColumn("score", F.col("seeded")))
+    n = sure.count()
+    while n:
+        said = edges.join(sure, "pattern").groupBy("instance", "k").agg(F.sum("doubt").alias("together"))
+        said = edges.select("pattern", "instance", "n").join(said.join(seeds, ["instance", "k"], "left_anti"), "instance")
+        said = said.join(sure.select("pattern", "k", "doubt"), ["pattern", "k"], "left")
+        gained = said.groupBy("pattern", "k", "n").agg((F.sum(1 - F.exp(F.col("together") - F.coalesce("doubt", F.lit(0.0)))) / F.col("n")).alias("gained"))
+        both = own.join(gained, ["pattern", "k", "n"], "full")
+        more = surely(both.withColumn("score", F.coalesce("seeded", F.lit(0.0)) + F.coalesce("gained", F.lit(0.0))))
+        before, n, sure = n, more.count(), more
+        if n == before:
             break
-        # An instance is as sure as its patterns together: 1 minus the chance that all of them are wrong.
-        doubt = spread.join(patterns.select("pattern", "k", "score"), ["pattern", "k"]).groupBy("instance", "k").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).alias("doubt"))
-        scored = spread.join(doubt, ["instance", "k"], "left").withColumn("s", F.coalesce("seed", 1 - F.exp("doubt"), F.lit(0.0)))
-    return patterns.where(F.col("score") >= SURE).select("pattern", F.col("k").alias("kind"), "score")
+    return sure.select("pattern", F.col("k").alias("kind"), "score")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -135,7 +144,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     whole texts of any length; an empty table gives an empty result; other columns are not used. Added spans never
     touch base spans.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    tokens = F.when(text.rlike("[0-9@]"), located(text, TOKEN)).otherwise(F.array().cast(TOKENS))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), base_spans(text).alias("base"), tokens.alias("tokens"))
+    rows = stored(rows)  # texts are read once
     found = candidates(rows)
     sure = sure_patterns(found.select("pattern", "instance", "kind"))
     fresh = found.where(F.col("kind").isNull()).drop("kind").join(sure, "pattern")

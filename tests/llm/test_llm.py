@@ -119,6 +119,13 @@ def test_minhash_pairs_in_a_crowd(spark):
     assert got == want
 
 
+def test_minhash_lower_threshold(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(42))), (3, "other words than these here")]
+    want, _ = brute_components(rows, 4, 60)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 60).collect()}
+    assert got == want == {1: 1, 2: 1, 3: 3}
+
+
 def test_minhash_defined_cases(spark):
     got = minhash_dedup.near_duplicates(docs_of(spark)).collect()
     assert len(got) == len(ODD)
@@ -666,6 +673,48 @@ def test_pii_discovers_by_context(spark):
     assert got[101].spans == got[102].spans == ""
 
 
+def test_pii_discovers_over_generations(spark):
+    """What is found behind one pattern makes another sure that has no seed, and that one discovers more."""
+    rows = [(i, f"call tel: +1 (383) 555-{1000 + i} soon") for i in range(90)]
+    rows += [(400 + i, f"call tel: +1 (383) 666-{1000 + i} soon") for i in range(90)]
+    rows += [(100 + i, f"call tel: 0383/{7000 + i} soon") for i in range(8)] + [(200 + i, f"send by fax line 0383/{7000 + i} today") for i in range(8)]
+    rows += [(300, "send by fax line 0999/1234 today"), (301, "in the year 1999 it was"), (302, "in the year 0383/7000 too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(df)).collect()}
+    assert all(got[d].startswith("phone:") for d in (*range(100, 108), *range(200, 208), 300)) and got[301] == got[302] == ""
+
+
+def test_pii_scores_against_plain_graph(spark):
+    rng = np.random.default_rng(14)
+    rows = [(f"p{rng.integers(12)}", f"i{rng.integers(90)}") for _ in range(900)]
+    kind = {f"i{i}": int(i % 2) for i in range(60)}
+    heavy = [("mine", f"i{i}") for i in range(0, 24, 2)] + [("mine", "i70"), ("mine", "i71"), ("next", "i70"), ("next", "i71")] + [("next", f"i{i}") for i in range(0, 30, 2)] + [("mine", "new"), ("next", "other"), ("next", "new")]
+    found = [(p, i, kind.get(i)) for p, i in rows + heavy]
+    edges = collections.defaultdict(set)
+    for p, i, _ in found:
+        edges[p].add(i)
+    edges = {p: x for p, x in edges.items() if len(x) >= pii.SUPPORT}
+    sure = {}
+    while True:
+        scores = {}
+        for p, x in edges.items():
+            for k in (0, 1):
+                w = [1.0 if kind.get(i) == k else 1 - np.prod([max(1e-9, 1 - s) for (q, kk), s in sure.items() if kk == k and q != p and i in edges[q]]) for i in x]
+                scores[p, k] = sum(w) / len(x)
+        more = {pk: s for pk, s in scores.items() if s >= pii.SURE}
+        if len(more) == len(sure):
+            break
+        sure = more
+    got = {(r.pattern, r.kind): r.score for r in pii.sure_patterns(spark.createDataFrame(found, "pattern string, instance string, kind int")).collect()}
+    assert set(got) == set(sure) and len(sure) >= 2
+    assert got == pytest.approx({k: scores[k] for k in sure}, abs=1e-6)
+
+
+def test_pii_runs_no_python(spark):
+    plan = pii.digest(pii.find_personal_data(docs_of(spark)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 # --- shared ---
 
 
