@@ -34,8 +34,10 @@ WORDS_A_VOTE = 6  # words of an item for each vote that it needs
 SIMILARITY = 0.8  # 1 - edit distance / characters of the item
 FEW_WORDS = 8  # items of fewer words are looked up by each of their words
 MAX_ITEM_BYTES = 256 << 20  # of item keys that are sent to every task at a time
-FEW = 64  # candidates that are verified one by one; more are verified side by side
+FEW = 48  # candidates that are verified one by one; more are verified side by side
 SIDE = 512  # candidates that are verified at a time
+COUNTERS = 1 << 20  # of votes, before they are told apart
+TEXTS_AT_A_TIME = 3_000_000  # characters of texts whose votes are counted together, but for longer ones
 CHUNK = 1 << 15  # walks at a time, so that they stay in a core's cache
 
 _rng = np.random.default_rng(6)
@@ -131,7 +133,7 @@ class Items:
         for f in found:
             k = np.concatenate(f) if f else np.zeros((0, 3), np.uint64)
             k = k[np.argsort(k[:, 0], kind="stable")]
-            self.keys.append((k[:, 0].copy(), k[:, 1].astype(np.int64), k[:, 2].astype(np.int64)))
+            self.keys.append((k[:, 0].copy(), k[:, 1].astype(np.int32), k[:, 2].astype(np.int32)))
 
     def place(self, key: np.ndarray) -> np.ndarray:
         return ((key ^ key >> np.uint64(32)) * SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -156,7 +158,7 @@ class Items:
                 at.append(np.repeat(some[which], n))
                 item.append(items[each])
                 place.append(places[each])
-                walk.append(np.full(len(each), r))
+                walk.append(np.full(len(each), r, np.int8))
         if self.short:
             h = np.concatenate([words(t) for t in texts])
             for k in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint64))):
@@ -164,23 +166,32 @@ class Items:
                 at.append(np.full(len(hits), starts[k]))
                 item.append(np.array([i for i, _ in hits]))
                 place.append(np.array([p for _, p in hits]))
-                walk.append(np.full(len(hits), REPEATS))
+                walk.append(np.full(len(hits), REPEATS, np.int8))
         if not at:
             return []
         at, item, place, walk = map(np.concatenate, (at, item, place, walk))
-        text = np.searchsorted(begin, at, "right") - 1
+        text = np.searchsorted(begin, at, "right") - 1  # at is sorted but for each embedding, so this is quick
+        item, place = item.astype(np.int64), place.astype(np.int64)
         # Two votes for one stretch are for places that differ by the edits that the item allows, or less.
         slack = ((1 - similarity) * self.chars).astype(np.int64) + 1
         width = int(begin[-1]) + int(self.chars.max()) + 4
         cell = (at - place + self.chars[item]) // slack[item]
         code = (text * len(self.ids) + item) * width + cell
+        needed = np.where(self.words < FEW_WORDS, 1, np.maximum(VOTES, self.words // WORDS_A_VOTE))
+        # Most votes stay alone. Counters that several stretches share can only count too many, so no candidate goes.
+        slot = (code & (COUNTERS - 1)).astype(np.int32)
+        count = np.bincount(slot, minlength=COUNTERS)
+        most = count + np.maximum(np.roll(count, 1), np.roll(count, -1))
+        some = np.flatnonzero(most[slot] >= needed[item])
+        if not len(some):
+            return []
+        code, at, item, place, walk = (x[some] for x in (code, at, item, place, walk))
         code, votes = np.unique(code, return_inverse=True)
         # A word that is there many times has one vote: the lesser number of different words on either side counts.
         by = [np.bincount(np.unique(votes * span + x * (REPEATS + 1) + walk) // span, minlength=len(code)) for x, span in ((at, (int(begin[-1]) + 1) * (REPEATS + 1)), (place, (int(self.chars.max()) + 1) * (REPEATS + 1)))]
         votes = np.minimum(*by)
         item = code // width % len(self.ids)
         follows = np.append(code[1:] == code[:-1] + 1, False)
-        needed = np.where(self.words < FEW_WORDS, 1, np.maximum(VOTES, self.words // WORDS_A_VOTE))
         enough = votes + np.where(follows, np.append(votes[1:], 0), 0) >= needed[item]
         out = []
         for c, i, two in zip(code[enough], item[enough], follows[enough], strict=True):
@@ -299,9 +310,11 @@ def leaks_in(texts: list[str | None], words: Words, items: Items, similarity: fl
             units = text.encode("utf-16-le", "surrogatepass")
             first, last = (len(units[: 2 * x].decode("utf-16-le", "ignore")) for x in (first, last + 1))
         found.append((k, i, first, text[first:last]))
-    found = sorted((x for x in found if x[3]), key=lambda x: (len(items.texts[x[1]]) // 64, len(x[3])))
-    for at in range(0, len(found), SIDE):
-        some = found[at : at + SIDE]
+    size = lambda x: (len(items.texts[x[1]]) - 1) // 64
+    found = sorted((x for x in found if x[3]), key=lambda x: (size(x), len(x[3])))
+    cuts = [0, *[n for n in range(1, len(found)) if size(found[n]) != size(found[n - 1])], len(found)]
+    for lo, hi in [(at, min(at + SIDE, end)) for start, end in zip(cuts, cuts[1:], strict=False) for at in range(start, end, SIDE)]:
+        some = found[lo:hi]
         if len(some) < FEW:
             results = [fitting_distance(items.texts[i], t) for _, i, _, t in some]
         else:
@@ -339,8 +352,10 @@ def _leaks(docs: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
         words, items = Words(), cloudpickle.loads(shared.value)
         for b in batches:
             ids, texts, rows = list(b["doc_id"]), list(b["text"]), []
-            for at in range(0, len(b), 256):
-                rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at : at + 256], words, items, similarity)]
+            part = np.cumsum([len(t or "") for t in texts]) // TEXTS_AT_A_TIME
+            for n in np.unique(part):
+                at, end = np.searchsorted(part, [n, n + 1])
+                rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at:end], words, items, similarity)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "at_word"])
 
     return docs.select("doc_id", "text").mapInPandas(apply, "doc_id long, item_id long, distance long, at_word long")
