@@ -67,11 +67,11 @@ def turn(edges: DataFrame) -> DataFrame:
     return edges.select(*[F.col(c).alias(swap.get(c, c)) for c in edges.columns])
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """``root``, ``id``, ``depth``, ``pos``: all ids that each root (``id``) reaches, but itself.
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, ordered: bool = False) -> DataFrame:
+    """``root``, ``id`` and ``depth`` (the least number of hops) of all ids that each root (``id``) reaches, but itself.
 
-    ``depth`` is the least number of hops. ``pos`` orders the ids of a depth as a breadth-first search that follows
-    edges in their order would find them.
+    ``ordered`` adds ``pos``, which orders the ids of a depth as a breadth-first search that follows edges in their order
+    would find them; a root's ids of one depth are then sorted together.
     """
     hops = edges.groupBy("source", "target").agg(F.min("edge_seq").alias("edge_seq"))
     start = roots.select(F.col("id").alias("root"), "id").distinct()
@@ -79,14 +79,18 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = front.join(hops, F.col("id") == F.col("source")).groupBy("root", "target").agg(F.min(F.struct("pos", "edge_seq")).alias("_by"))
+        step = front.join(hops, F.col("id") == F.col("source"))
+        if ordered:
+            step = step.groupBy("root", "target").agg(F.min(F.struct("pos", "edge_seq")).alias("_by"))
+        else:
+            step = step.select("root", "target").distinct()
         new = step.withColumnRenamed("target", "id").join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("root").orderBy("_by")).cast("long")
+        place = F.row_number().over(Window.partitionBy("root").orderBy("_by")).cast("long") if ordered else F.lit(0).cast("long")
         front = cut(new.select("root", "id", F.lit(depth).alias("depth"), place.alias("pos")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen.where("depth > 0")
+    return seen.where("depth > 0") if ordered else seen.where("depth > 0").drop("pos")
 
 
 def known_only(found: DataFrame, assets: DataFrame) -> DataFrame:

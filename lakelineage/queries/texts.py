@@ -99,7 +99,7 @@ RELEVANCE = "list_filter(['small','gear','blue','rod'], lambda k: contains(lower
 
 @query(f"""SELECT kind, name, score FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, name) AS place, max(score) OVER (PARTITION BY kind) AS best FROM
  (SELECT DISTINCT CASE p_size % 2 WHEN 0 THEN 'column' ELSE 'measure' END AS kind, p_name || ' ' || p_brand AS name, CAST(len({RELEVANCE}) AS INTEGER) AS score FROM part))
- WHERE place <= CASE kind WHEN 'column' THEN 8 ELSE 10 END AND (score > 0 OR best = 0)""")
+ WHERE place <= CASE kind WHEN 'column' THEN 10 ELSE 8 END AND (score > 0 OR best = 0)""")
 def t_relevance_topk(spark, d):
     keys = text.keywords(F.lit("Please change the small gear, and the blue rod!"))
     keys = F.filter(keys, lambda k: k != "please")
@@ -125,9 +125,10 @@ def t_line_blocks(spark, d):
     return files.blocks(files.lines(docs), "^[A-M]").groupBy("file", "block").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT 'p' || n_nationkey AS p FROM nation) SELECT 'pipeline::' || p AS source, 'pipeline_task::' || p || '::' || t AS target, 'TRIGGERS' AS relationship FROM p, (VALUES ('a'), ('b')) v(t)
+ UNION ALL SELECT 'pipeline_task::' || p || '::a', 'pipeline_task::' || p || '::b', 'TRIGGERS' FROM p UNION ALL SELECT 'pipeline_task::' || p || '::a', 'notebook::nb', 'CALLS' FROM p""")
 def t_workflow_yaml(spark, d):
-    yml = F.format_string("pipeline:\n  name: p%s\n  tasks:\n    - name: a\n      execution_order: 1\n      notebook: /x/nb\n      depends_on: []\n    - name: b\n      depends_on: [a]\n", F.col("n_nationkey"))
+    yml = F.format_string("pipeline:\n  name: p%s\n  tasks:\n    - name: a\n      execution_order: 1\n      notebook: /x/nb/\n      depends_on: []\n    - name: b\n      depends_on: [a]\n", F.col("n_nationkey"))
     docs = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("file"), yml.alias("text"))
     return sources.workflow_graph(sources.workflow_tasks(docs))[1]
 
@@ -141,3 +142,26 @@ def x_event_windows(spark, d):
  WHERE first = 1 GROUP BY 1""")
 def x_event_sessions(spark, d):
     return streams.sessions(read(spark, d, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+MODEL = """format_string('table T%d\\n\\tisHidden\\n\\tlineageTag: t%d\\n\\n\\tmeasure ''Total %d'' = SUM(T%d[Size])\\n\\t\\tformatString: 0\\n\\t\\tannotation Description = \"of %d\"\\n\\n\\tmeasure Twice =\\n\\t\\t\\t[Total %d] * 2\\n\\n\\tcolumn Size\\n\\t\\tdataType: int64\\n\\t\\tlineageTag: c%d\\n\\t\\tvariation V\\n\\t\\t\\tlineageTag: v\\n\\n\\thierarchy H\\n\\t\\tlineageTag: h\\n\\t\\tlevel Year\\n\\t\\t\\tlineageTag: l\\n\\n\\tpartition P = m\\n\\t\\tmode: import\\n', k, k, k, k, k, k, k)"""
+
+
+def model_files(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.expr(MODEL.replace("k, k, k, k, k, k, k", ", ".join(["p_partkey"] * 7))).alias("text"))
+
+
+@query("""SELECT 'T' || p_partkey AS "table", kind, CASE kind WHEN 'table' THEN 'T' || p_partkey WHEN 'measure' THEN 'Total ' || p_partkey ELSE name END AS name, CASE kind WHEN 'table' THEN 't' || p_partkey WHEN 'column' THEN 'c' || p_partkey END AS tag,
+ CASE kind WHEN 'measure' THEN '"of ' || p_partkey || '"' END AS description, CASE kind WHEN 'measure' THEN 'SUM(T' || p_partkey || '[Size])' WHEN 'second' THEN '[Total ' || p_partkey || '] * 2' END AS expression FROM part,
+ (VALUES ('table', NULL), ('measure', NULL), ('second', 'Twice'), ('column', 'Size'), ('partition', 'P')) v(kind, name)""".replace("kind, CASE kind WHEN 'table' THEN 'T' ||", "CASE kind WHEN 'second' THEN 'measure' ELSE kind END AS kind, CASE kind WHEN 'table' THEN 'T' ||"))
+def t_model_objects(spark, d):
+    tag = lambda c, k: F.try_element_at(c, F.lit(k))
+    return semantic_model.objects(model_files(spark, d)).select("table", "kind", "name", tag(F.col("props"), "lineageTag").alias("tag"), tag(F.col("annotations"), "Description").alias("description"), "expression")
+
+
+@query("""SELECT CASE n WHEN 1 THEN 'Total ' || p_partkey ELSE 'Twice' END AS name, 'T' || p_partkey AS "table", CASE n WHEN 1 THEN 'T' || p_partkey ELSE '' END AS tables, CASE n WHEN 1 THEN 'T' || p_partkey || '[Size]' ELSE '' END AS columns,
+ CASE n WHEN 1 THEN '' ELSE 'Total ' || p_partkey END AS measures FROM part, (VALUES (1), (2)) v(n) WHERE p_partkey BETWEEN 1 AND 5 AND (n = 1 OR p_partkey = 1)""")
+def t_model_annotated(spark, d):
+    objs = semantic_model.objects(model_files(spark, d)).where("table IN ('T1','T2','T3','T4','T5') AND (name <> 'Twice' OR table = 'T1')")
+    joined = lambda c, n: F.array_join(c, "|").alias(n)
+    return semantic_model.annotated_measures(objs).select("name", "table", joined("referenced_tables", "tables"), joined("referenced_columns", "columns"), joined("referenced_measures", "measures"))

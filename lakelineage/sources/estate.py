@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelineage.functions.lineage import cut
 from lakelineage.operators import graph
 
 try:
@@ -32,7 +33,7 @@ def workflow_rows(text: str | None) -> list[tuple]:
     for t in pipeline.get("tasks") or []:
         if isinstance(t, dict) and t.get("name"):
             order = t.get("execution_order")
-            rows.append((str(pipeline["name"]), str(t["name"]), order if isinstance(order, int) else None, t.get("notebook"), [str(x) for x in t.get("depends_on") or []]))
+            rows.append((str(pipeline["name"]), str(t["name"]), order if isinstance(order, int) else None, t.get("notebook"), [str(x) for x in waits] if isinstance(waits := t.get("depends_on"), list) else []))
     return rows or [(str(pipeline["name"]), None, None, None, [])]
 
 
@@ -49,13 +50,15 @@ def workflow_tasks(files: DataFrame) -> DataFrame:
 
 
 def workflow_graph(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pipelines and tasks, with CONTAINS, TRIGGERS (from a task to those that wait for it) and CALLS edges."""
+    """Pipelines and tasks, notebooks that they name, with TRIGGERS (to a pipeline's tasks, and from a task to those that wait for it) and CALLS edges."""
     pipeline, task = F.concat(F.lit("pipeline::"), "pipeline"), F.concat_ws("::", F.lit("pipeline_task"), "pipeline", "task")
     some = tasks.where("task IS NOT NULL")
     assets = tasks.select(pipeline.alias("id"), F.col("pipeline").alias("name"), F.lit("pipeline").alias("asset_type")).unionByName(some.select(task.alias("id"), F.col("task").alias("name"), F.lit("pipeline_task").alias("asset_type")))
-    edges = some.select(pipeline.alias("source"), task.alias("target"), F.lit("CONTAINS").alias("relationship"))
+    edges = some.select(pipeline.alias("source"), task.alias("target"), F.lit("TRIGGERS").alias("relationship"))
     waits = some.select("pipeline", task.alias("target"), F.explode("depends_on").alias("d")).select(F.concat_ws("::", F.lit("pipeline_task"), "pipeline", "d").alias("source"), "target", F.lit("TRIGGERS").alias("relationship"))
-    calls = some.where("notebook IS NOT NULL").select(task.alias("source"), F.concat(F.lit("notebook::"), F.element_at(F.split("notebook", "/"), -1)).alias("target"), F.lit("CALLS").alias("relationship"))
+    named = some.withColumn("notebook", F.substring_index(F.regexp_replace("notebook", "^/+|/+$", ""), "/", -1)).where("notebook <> ''")
+    calls = named.select(task.alias("source"), F.concat(F.lit("notebook::"), "notebook").alias("target"), F.lit("CALLS").alias("relationship"))
+    assets = assets.unionByName(named.select(F.concat(F.lit("notebook::"), "notebook").alias("id"), F.col("notebook").alias("name"), F.lit("databricks_notebook").alias("asset_type")))
     return assets.distinct().withColumn("system", F.lit("databricks")), edges.unionByName(waits).unionByName(calls)
 
 
@@ -101,18 +104,27 @@ def descriptor_graph(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return assets.withColumn("system", F.lit({"sql": "sql", "notebook": "databricks"}.get(kind, "pipeline"))), edges
 
 
+def placed(rows: DataFrame, name: str, *by: str) -> Column:
+    """The source's own order; without one, the first eight bytes of the name, so that order is by name at any size."""
+    if name in rows.columns:
+        return F.col(name).cast("long").alias(name)
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.concat_ws(" ", *by), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long").alias(name)
+
+
 def load(sources: dict[str, Callable[[], tuple[DataFrame, DataFrame]]]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """Merged assets and edges of all sources in order, bridged and with reversed edges, and what failed.
 
-    A source that fails is left out and reported; the first of equal assets and edges stays.
+    A source that fails is left out and reported; the first of equal assets and edges stays. A source is written to a
+    table before it is merged, so one that fails on read is left out too, and its rows keep one order: by ``seq`` and
+    ``edge_seq`` if it has them, else by name.
     """
     assets = edges = None
     failed: dict[str, str] = {}
     for rank, (name, source) in enumerate(sources.items()):
         try:
             a, e = source()
-            a = a.select("id", "name", "asset_type", "system", F.lit(rank).alias("source_rank"), F.xxhash64("id").alias("seq"))
-            e = e.select("source", "target", "relationship", F.lit(rank).alias("source_rank"), F.xxhash64("source", "target").alias("edge_seq"))
+            a = cut(a.select("id", "name", "asset_type", "system", F.lit(rank).alias("source_rank"), placed(a, "seq", "id")))
+            e = cut(e.select("source", "target", "relationship", F.lit(rank).alias("source_rank"), placed(e, "edge_seq", "source", "target", "relationship")))
         except Exception as problem:  # noqa: BLE001  what a source raises stays its own
             failed[name] = f"{type(problem).__name__}: {problem}"
             continue

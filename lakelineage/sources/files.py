@@ -7,9 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 
+#: Of files whose names Spark's listing hides; they are read on the driver, so there is a bound.
+MOST_HIDDEN_BYTES = 64 << 20
+
+
+def hidden_texts(spark: SparkSession, *paths: str) -> list[tuple[str, str]]:
+    """Files whose names begin with ``_`` or ``.``, which Spark's readers pass over; small definition files, read here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found, size = [], 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        for status in fs.globStatus(path) or ():
+            for s in fs.listStatus(status.getPath()) if status.isDirectory() else (status,):
+                if s.isFile() and s.getPath().getName()[0] in "_.":
+                    size += s.getLen()
+                    if size > MOST_HIDDEN_BYTES:
+                        raise ValueError(f"files with hidden names have over {MOST_HIDDEN_BYTES} bytes; rename them")
+                    stream = fs.open(s.getPath())
+                    found.append((s.getPath().toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                    stream.close()
+    return found
+
+
 def texts(spark: SparkSession, *paths: str) -> DataFrame:
-    """``file``, ``text``: a row per file, without a leading byte-order mark."""
+    """``file``, ``text``: a row per file, hidden names too, without a leading byte-order mark."""
     rows = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    if hidden := hidden_texts(spark, *paths):
+        rows = rows.unionByName(spark.createDataFrame(hidden, "file string, value string"))
     return rows.select("file", F.regexp_replace("value", "^﻿", "").alias("text"))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelineage.sources.files import blocks, lines
+from lakelineage.sources.files import blocks, lines, texts
 
 INTERNAL = "^(DateTableTemplate_|LocalDateTable_)"
 # Lines of a table file and of a relationships file.
 OBJECT = r"^\t(column|measure|partition)\s+(.+?)\s*$"
-PROPERTY = r"^\t+(\w+):\s+(.+?)\s*$"
+PROPERTY = r"^\t{1,2}(\w+):\s+(.+?)\s*$"
+ANNOTATION = r"^\t+annotation\s+(\w+)\s*=\s*(.+?)\s*$"
 COLUMN_KEYS = ("dataType", "lineageTag", "formatString", "summarizeBy", "displayFolder", "dataCategory", "sortByColumn")
 # References inside an expression.
 COLUMN_REF = r"(?:'([^']+)'|([A-Za-z_]\w*))\[([^\]]+)\]"
@@ -21,29 +22,38 @@ def unquoted(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), "^'(.*)'$", "$1")
 
 
+def first_by_key(entries: Column) -> Column:
+    """A map of an array of (pos, key, value): of each key the value that stands first."""
+    sorted_ = F.array_sort(F.filter(entries, lambda e: e.isNotNull()))
+    keys = F.array_distinct(F.transform(sorted_, lambda e: e["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(sorted_, lambda e: e["k"] == k)[0]["v"]))
+
+
 def objects(files: DataFrame) -> DataFrame:
     """A row per table, column, measure and partition of TMDL table files.
 
-    ``table``, ``kind``, ``name``, ``expression`` (of measures), ``props`` (properties by name), ``is_hidden``. Lines
-    belong to the last header at or above them.
+    ``table``, ``kind``, ``name``, ``expression`` (of measures), ``props`` and ``annotations`` (values by name, the first
+    of each), ``is_hidden``. Lines belong to the last header at or above them; hierarchies and what they hold are left out.
     """
     rows = lines(files)
     table = rows.where(F.col("line").rlike("^table\\s")).groupBy("file").agg(F.min_by(F.regexp_extract("line", r"^table\s+(.+?)\s*$", 1), "pos").alias("table"))
-    rows = blocks(rows, r"^(table\s|\t(column|measure|partition)\s)").where("block IS NOT NULL")
+    rows = blocks(rows, r"^(table\s|\t(column|measure|partition|hierarchy)\s)").where("block IS NOT NULL")
     head = F.col("pos") == F.col("block")
     prop = F.col("line").rlike(PROPERTY) & ~head
     text = F.when(~head & ~prop & F.col("line").rlike(r"^\t\t\t") & ~F.col("line").rlike(r"^\t+annotation\s"), F.struct("pos", F.regexp_replace("line", r"^\t+", "").alias("v")))
+    entry = lambda form: F.struct("pos", F.regexp_extract("line", form, 1).alias("k"), F.regexp_extract("line", form, 2).alias("v"))
     grouped = rows.groupBy("file", "block").agg(
-        F.max(F.when(head, F.col("line"))).alias("head"), F.map_from_entries(F.collect_list(F.when(prop, F.struct(F.regexp_extract("line", PROPERTY, 1), F.regexp_extract("line", PROPERTY, 2))))).alias("props"),
+        F.max(F.when(head, F.col("line"))).alias("head"), F.collect_list(F.when(prop, entry(PROPERTY))).alias("props"), F.collect_list(F.when(F.col("line").rlike(ANNOTATION), entry(ANNOTATION))).alias("annotations"),
         F.max(F.col("line").rlike(r"^\t+isHidden\b")).alias("is_hidden"), F.sort_array(F.collect_list(text)).alias("body"),
     )
+    grouped = grouped.where(~F.col("head").rlike(r"^\thierarchy\s")).withColumns({c: first_by_key(F.col(c)) for c in ("props", "annotations")})
     kind = F.when(F.col("head").rlike("^table"), "table").otherwise(F.regexp_extract("head", OBJECT, 1))
     rest = F.when(F.col("head").rlike("^table"), F.regexp_extract("head", r"^table\s+(.+?)\s*$", 1)).otherwise(F.regexp_extract("head", OBJECT, 2))
     name = F.when(kind.isin("measure", "partition"), F.regexp_extract(rest, r"^('(?:[^']|'')+'|[^=]+?)\s*=", 1)).otherwise(rest)
     own = F.trim(F.regexp_extract(rest, r"=\s*(.*)$", 1))
     expression = F.when(kind == "measure", F.when(own != "", own).otherwise(F.trim(F.array_join(F.transform("body", lambda x: x["v"]), "\n"))))
     source = F.when(kind == "partition", own)
-    out = grouped.select("file", kind.alias("kind"), unquoted(name).alias("name"), expression.alias("expression"), "props", "is_hidden", source.alias("source_type"), F.col("block").alias("pos"))
+    out = grouped.select("file", kind.alias("kind"), unquoted(name).alias("name"), expression.alias("expression"), "props", "annotations", "is_hidden", source.alias("source_type"), F.col("block").alias("pos"))
     return out.join(table.select("file", unquoted(F.col("table")).alias("table")), "file")
 
 
@@ -51,11 +61,11 @@ def relationships(files: DataFrame) -> DataFrame:
     """``relationship_id``, ends, ``is_active``, ``cross_filter`` and ``from_cardinality``, with the defaults of the format."""
     rows = blocks(lines(files), r"^relationship\s").where("block IS NOT NULL")
     get = lambda k: F.max(F.when(F.col("line").rlike(rf"^\t+{k}:"), F.regexp_extract("line", rf"^\t+{k}:\s+(.+?)\s*$", 1)))
-    out = rows.groupBy("file", "block").agg(F.max(F.when(F.col("pos") == F.col("block"), F.regexp_extract("line", r"^relationship\s+(.+?)\s*$", 1))).alias("relationship_id"), get("fromColumn").alias("f"), get("toColumn").alias("t"), get("isActive").alias("a"), get("crossFilteringBehavior").alias("c"), get("fromCardinality").alias("k"))
+    out = rows.groupBy("file", "block").agg(F.max(F.when(F.col("pos") == F.col("block"), F.regexp_extract("line", r"^relationship\s+(.+?)\s*$", 1))).alias("relationship_id"), get("fromColumn").alias("f"), get("toColumn").alias("t"), get("isActive").alias("a"), get("crossFilteringBehavior").alias("c"), get("fromCardinality").alias("k"), get("toCardinality").alias("k2"), get("joinOnDateBehavior").alias("j"))
     end = lambda c, i: unquoted(F.substring_index(c, ".", 1) if i == 0 else F.substring_index(c, ".", -1))
     return out.select(
         "relationship_id", end("f", 0).alias("from_table"), end("f", 1).alias("from_column"), end("t", 0).alias("to_table"), end("t", 1).alias("to_column"), F.coalesce(F.lower("a") == "true", F.lit(True)).alias("is_active"),
-        F.coalesce("c", F.lit("singleDirection")).alias("cross_filter"), F.coalesce("k", F.lit("many")).alias("from_cardinality"),
+        F.coalesce("c", F.lit("singleDirection")).alias("cross_filter"), F.coalesce("k", F.lit("many")).alias("from_cardinality"), F.col("k2").alias("to_cardinality"), F.col("j").alias("join_on_date"),
     )
 
 
@@ -78,6 +88,50 @@ def pages(spark: SparkSession, manifest: str, page_files: str) -> DataFrame:
     return order.join(found, "page")
 
 
+def without_internal(objs: DataFrame) -> DataFrame:
+    """Objects of tables that the modelling tool doesn't make for itself."""
+    return objs.where(~F.col("table").rlike(INTERNAL))
+
+
+def load_model(spark: SparkSession, model: str, report: str, include_internal: bool = False) -> dict[str, DataFrame]:
+    """``objects``, ``relationships``, ``pages``, ``fields`` and ``dependencies`` of a semantic model's and a report's folder."""
+    objs = objects(texts(spark, f"{model}/definition/tables/*.tmdl"))
+    objs = objs if include_internal else without_internal(objs)
+    rels = relationships(texts(spark, f"{model}/definition/relationships.tmdl"))
+    shown = visual_fields(texts(spark, f"{report}/definition/pages/*/visuals/*/visual.json"))
+    shown = shown.withColumn("report", F.regexp_extract("file", "/pages/([^/]+)/visuals/", 1))
+    found = pages(spark, f"{report}/definition/pages/pages.json", f"{report}/definition/pages/*/page.json")
+    return {"objects": objs, "relationships": rels, "pages": found, "fields": shown, "dependencies": dependencies(objs, rels, shown)}
+
+
+def annotated_measures(objs: DataFrame) -> DataFrame:
+    """Measures with ``referenced_tables``, ``referenced_columns`` and ``referenced_measures`` that exist, each in order."""
+    measures = objs.where("kind = 'measure'")
+    columns = objs.where("kind = 'column'").select(F.concat("table", F.lit("["), "name", F.lit("]")).alias("ref"))
+    names = measures.select(F.col("name").alias("ref"))
+    tables = objs.where("kind = 'table'").select(F.col("name").alias("ref"))
+    named = column_refs(F.col("expression"))
+    asked = {"referenced_tables": (F.array_distinct(F.transform(named, lambda c: F.substring_index(c, "[", 1))), tables), "referenced_columns": (named, columns), "referenced_measures": (measure_refs(F.col("expression")), names)}
+    out = measures
+    for column, (refs, there) in asked.items():
+        found = measures.select(F.col("name").alias("_name"), F.explode(refs).alias("ref")).join(there, "ref", "left_semi")
+        found = found.groupBy("_name").agg(F.sort_array(F.collect_set("ref")).alias(column))
+        out = out.join(found, F.col("name") == F.col("_name"), "left").drop("_name").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    return out
+
+
+def annotated_reports(found: DataFrame, fields: DataFrame) -> DataFrame:
+    """Pages (``page``) with the sorted ``used_measures``, ``used_columns`` and ``used_tables`` of their visuals."""
+    sorted_ = lambda when, x, name: F.sort_array(F.collect_set(F.when(when, x))).alias(name)
+    used = fields.groupBy(F.col("report").alias("page")).agg(
+        sorted_(F.col("field_type") == "measure", F.col("property"), "used_measures"),
+        sorted_(F.col("field_type") == "column", F.concat("entity", F.lit("["), "property", F.lit("]")), "used_columns"),
+        sorted_(F.col("entity") != "", F.col("entity"), "used_tables"),
+    )
+    none = F.array().cast("array<string>")
+    return found.join(used, "page", "left").withColumns({c: F.coalesce(c, none) for c in ("used_measures", "used_columns", "used_tables")})
+
+
 def column_refs(expression: Column) -> Column:
     """``table[column]`` of every column that an expression names."""
     whole = F.regexp_extract_all(expression, F.lit(COLUMN_REF), F.lit(0))
@@ -120,14 +174,16 @@ def dependency_lookup(deps: DataFrame, kind: str, name: str) -> DataFrame:
     return deps.where(at("source") | at("target"))
 
 
-def model_graph(objs: DataFrame, deps: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assets and edges of a model: ids by kind and name, the system by how a table is loaded."""
+def model_graph(objs: DataFrame, deps: DataFrame, rels: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Assets and edges of a model and its report pages (``found``): ids by kind and name, the system by how a table is loaded."""
     loaded = objs.where("kind = 'partition'").groupBy("table").agg(F.max(F.col("source_type") == "m").alias("_m"))
     id_ = lambda kind, name: F.when(kind == "column", F.concat(F.lit("column::"), F.substring_index(name, "[", 1), F.lit("::"), F.regexp_extract(name, r"\[(.*)\]$", 1))).otherwise(F.concat(kind, F.lit("::"), name))
     named = objs.where("kind IN ('table','column','measure')").join(loaded, "table", "left")
     name = F.when(F.col("kind") == "column", F.concat("table", F.lit("["), "name", F.lit("]"))).otherwise(F.col("name"))
     system = F.when((F.col("kind") != "measure") & F.coalesce("_m", F.lit(False)), "database").otherwise("powerbi")
     assets = named.select(id_(F.col("kind"), name).alias("id"), "name", F.col("kind").alias("asset_type"), system.alias("system"))
+    if found is not None:
+        assets = assets.unionByName(found.select(F.concat(F.lit("report::"), "page").alias("id"), F.col("display_name").alias("name"), F.lit("report").alias("asset_type"), F.lit("powerbi").alias("system")))
     rel = F.when(F.col("source_type") == "report", F.when(F.col("target_type") == "measure", "DISPLAYS").otherwise("USES")).when((F.col("source_type") == "measure") & (F.col("target_type") == "column"), "USES").otherwise("DEPENDS_ON")
     edges = deps.where("source_type <> 'relationship'").select(id_(F.col("source_type"), F.col("source_name")).alias("source"), id_(F.col("target_type"), F.col("target_name")).alias("target"), rel.alias("relationship"))
     joins = rels.select(F.concat(F.lit("table::"), "from_table").alias("source"), F.concat(F.lit("table::"), "to_table").alias("target"), F.lit("REFERENCES").alias("relationship"))
