@@ -32,6 +32,7 @@ WINDOWS_PER_DOC = 12  # of each of those
 THRESHOLD = 0.3
 FALSE_ALARM = 2  # misses that a false alarm weighs as much as, where the cut is set
 LEAST_CHECKED = 5  # documents of either label for the cut to be set by them
+AT_A_TIME = 512  # windows that the driver scores at a time while it trains, so that it needs little memory
 CACHE = 400_000  # words whose features a task keeps
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -231,8 +232,8 @@ def features_of(bags: list[tuple[list[list[str]], int]]) -> dict[str, tuple[np.n
 
 def window_scores(net: Network, bags: list[tuple[list[list[str]], int]]) -> list[np.ndarray]:
     rows, scores = [w for ws, _ in bags for w in ws], []
-    for at in range(0, len(rows), 2048):
-        words, ids = batch_ids(rows[at : at + 2048])
+    for at in range(0, len(rows), AT_A_TIME):
+        words, ids = batch_ids(rows[at : at + AT_A_TIME])
         x = net.inputs(Features(words))
         scores.append(net.score(net.gates(x, "f"), net.gates(x, "b"), ids))
     return np.split(np.concatenate(scores), np.cumsum([len(ws) for ws, _ in bags])[:-1])
@@ -323,8 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Net
 
     rows = sorted((r.doc_id, r.j, r.words, r.toxic) for r in texts.mapInPandas(cut, "doc_id long, j int, words string, toxic int").collect())
     bags: dict[int, tuple[list[list[str]], int]] = {}
+    same: dict[str, str] = {}  # one string for each word, however often it occurs
     for d, _, words, y in rows:
-        bags.setdefault(d, ([], y))[0].append(words.split(" "))
+        bags.setdefault(d, ([], y))[0].append([same.setdefault(w, w) for w in words.split(" ")])
+    del rows
     return calibrated(list(bags.values()), threshold) if bags else None
 
 
