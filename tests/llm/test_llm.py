@@ -259,6 +259,32 @@ def test_html_boilerplate_and_cases(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_runs_over_the_lots_of_a_host(spark, monkeypatch):
+    menu, note = "home about contact news shop cart login now", "terms of use apply to all who read this"
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    pages = [(i, "http://big.example/x", f"<div>{menu}</div><p>{note + ' ' if i % 300 == 7 else ''}{body(i)}</p>") for i in range(1200)]
+    pages += [(1200 + i, "http://big.example/y", f"<div>{menu}</div><p>{body(5)}</p>") for i in range(4)]  # copies count as one page
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+
+    def plain() -> dict[int, str]:
+        streams = [[w for block in re.findall(r">([^<]+)<", h) for w in block.split()] for _, _, h in pages]
+        seen: dict[tuple, set] = {}
+        for s in streams:
+            for k in range(len(s) - html_extract.LONG + 1):
+                seen.setdefault(tuple(s[k : k + html_extract.LONG]), set()).add(tuple(s))
+        out = {}
+        for (i, _, _), s in zip(pages, streams, strict=True):
+            gone = {k + j for k in range(len(s) - html_extract.LONG + 1) if len(seen[tuple(s[k : k + html_extract.LONG])]) >= html_extract.PAGES for j in range(html_extract.LONG)}
+            out[i] = " ".join(w for k, w in enumerate(s) if k not in gone)
+        return out
+
+    want = plain()
+    assert want[7] == body(7) and want[1203] == body(5)
+    for lot in (html_extract.LOT, 500):  # in one lot and in about 70
+        monkeypatch.setattr(html_extract, "LOT", lot)
+        assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
 # --- decontamination ---
 
 
