@@ -269,10 +269,18 @@ def components(assets: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def disconnected(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """``component``, ``size`` and ``sample`` (its first and last id): all components but the largest."""
-    sized = components(assets, edges).groupBy("component").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("z"))
-    largest = F.row_number().over(Window.orderBy(F.desc("size"), "component"))
-    return sized.withColumn("_nth", largest).where("_nth > 1").select("component", "size", F.array("a", "z").alias("sample"))
+    """``component``, ``size`` and ``sample`` (its first three ids): all components but the largest.
+
+    Of components of one size, that with the smallest id counts as the largest. The window of the sample runs within a
+    component, and Spark keeps three rows of each before it shuffles.
+    """
+    labels = components(assets, edges)
+    sized = labels.groupBy("component").agg(F.count("*").alias("size"))
+    largest = sized.orderBy(F.desc("size"), "component").limit(1).select("component")
+    rest = sized.join(F.broadcast(largest), "component", "left_anti")  # one row
+    nth = F.row_number().over(Window.partitionBy("component").orderBy("id"))
+    first = labels.withColumn("_nth", nth).where("_nth <= 3").groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("sample"))
+    return rest.join(first, "component")
 
 
 # --- impact ---

@@ -245,6 +245,15 @@ def g_components(spark, d):
     return g.components(assets, edges.where("relationship = 'WRITES'"))
 
 
+@plain(f"""WITH RECURSIVE {GRAPH_SQL}, link AS (SELECT source AS a, target AS b FROM edges WHERE relationship = 'WRITES' UNION SELECT target, source FROM edges WHERE relationship = 'WRITES'),
+ r AS (SELECT id, id AS low FROM assets UNION SELECT b, low FROM r JOIN link ON a = r.id), c AS (SELECT id, min(low) AS component FROM r GROUP BY 1),
+ n AS (SELECT component, count(*) AS size, list(id ORDER BY id)[1:3] AS ids FROM c GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS nth FROM n)
+ SELECT component, size, array_to_string(ids, ',') AS sample FROM o WHERE nth > 1""", False)
+def g_disconnected(spark, d):
+    assets, edges = estate(spark, d)
+    return g.disconnected(assets, edges.where("relationship = 'WRITES'")).withColumn("sample", F.array_join("sample", ","))
+
+
 def bucket_sql(buckets, default):
     cases = " ".join(f"WHEN asset_type IN ({', '.join(repr(t) for t in types.split())}) THEN '{b}'" for b, types in buckets.items() if types)
     return f"CASE {cases} ELSE {default} END"
