@@ -305,6 +305,20 @@ def impact_metrics(found: DataFrame, assets: DataFrame, edges: DataFrame) -> Dat
     )
 
 
+def mean_confidence(found: DataFrame) -> DataFrame:
+    """``confidence``: mean of the column of that name in whole percent, halves up; null counts as 1, and no rows give 100."""
+    mean = F.avg(F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)))
+    return found.agg(F.coalesce(F.floor(mean * 100 + 0.5), F.lit(100)).cast("long").alias("confidence"))
+
+
+def artifact_counts(assets: DataFrame, reports: DataFrame) -> DataFrame:
+    """``artifact``, ``n``: assets by type, reports, their pages (one each) and their visuals. ``reports``: ``visuals``, an array."""
+    by_type = assets.groupBy(F.col("asset_type").alias("artifact")).agg(F.count("*").alias("n"))
+    totals = reports.agg(F.count("*").alias("reports"), F.count("*").alias("pages"), F.coalesce(F.sum(F.greatest(F.size("visuals"), F.lit(0)).cast("long")), F.lit(0)).alias("visuals"))
+    stacked = totals.selectExpr("stack(3, 'reports', reports, 'pages', pages, 'visuals', visuals) AS (artifact, n)")
+    return by_type.unionByName(stacked)
+
+
 def path_edges(paths: DataFrame) -> DataFrame:
     """``source``, ``target``: neighbours on any path. ``paths``: ``path``."""
     steps = paths.select(F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("s"), F.slice("path", 2, F.size("path")).alias("t"))).alias("e"))

@@ -254,6 +254,19 @@ def g_disconnected(spark, d):
     return g.disconnected(assets, edges.where("relationship = 'WRITES'")).withColumn("sample", F.array_join("sample", ","))
 
 
+@query("SELECT CAST(floor(avg(CASE WHEN seq % 4 = 0 THEN 1 ELSE (seq % 4) * 0.25 END) * 100 + 0.5) AS BIGINT) AS confidence FROM assets")
+def g_mean_confidence(spark, d):
+    assets, _ = estate(spark, d)
+    return g.mean_confidence(assets.withColumn("confidence", F.when(F.col("seq") % 4 != 0, F.col("seq") % 4 * 0.25)))
+
+
+@query("""SELECT asset_type AS artifact, count(*) AS n FROM assets GROUP BY 1 UNION ALL SELECT 'reports', count(*) FROM customer UNION ALL SELECT 'pages', count(*) FROM customer
+ UNION ALL SELECT 'visuals', CAST(sum(c_custkey % 5) AS BIGINT) FROM customer""")
+def g_artifact_counts(spark, d):
+    visuals = F.when(F.col("c_custkey") % 5 > 0, F.array_repeat(F.lit("card"), (F.col("c_custkey") % 5).cast("int")))
+    return g.artifact_counts(estate(spark, d)[0], read(spark, d, "customer").select(visuals.alias("visuals")))
+
+
 def bucket_sql(buckets, default):
     cases = " ".join(f"WHEN asset_type IN ({', '.join(repr(t) for t in types.split())}) THEN '{b}'" for b, types in buckets.items() if types)
     return f"CASE {cases} ELSE {default} END"
