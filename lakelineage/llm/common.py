@@ -16,18 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in ``spark.checkpoint.dir``, so that a lost executor costs no data.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a local session that names none gets one of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("a cluster session needs spark.checkpoint.dir, a folder that all executors share")
+    return (top or tempfile.mkdtemp(prefix="checkpoint-")).rstrip("/")
 
-    A folder is made only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through :func:`shared_folder`, so that a lost executor costs no data."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def session_path(spark: SparkSession, name: str) -> str:
+    """A path in :func:`shared_folder` that nothing uses yet; what is written there goes when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def parallelism(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
@@ -77,15 +89,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the folder in ``spark.checkpoint.dir``; it goes when the session ends.
+    """Cut the lineage by a Parquet table in :func:`shared_folder`; it goes when the session ends.
 
     Smaller than a checkpoint, and read by column.
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4()}"
+    path = session_path(df.sparkSession, "table")
     df.write.parquet(path)
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
