@@ -1,10 +1,12 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and numbering rows without bringing them together."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +19,23 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("a cluster session needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def cut_counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows (for which ``where`` holds), counted by the job that writes them."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count_if(F.lit(True) if where is None else where).alias("n")))
+    return done, seen.get["n"]
+
+
+def ranks(rows: DataFrame, by: Column, key: Sequence[str]) -> DataFrame:
+    """``key`` columns and ``rank``: as ``rank() OVER (ORDER BY by)`` over all rows, but sorted in many tasks.
+
+    Rows are cut into ranges of ``by`` (equal values stay in one range) and ranked within their range; the number of rows
+    in the ranges before is added. Only a count per range is brought together.
+    """
+    parts = cut(rows.select(*key, by.alias("_by")).repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, F.col("_by").asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row per range
+    within = F.rank().over(Window.partitionBy("_part").orderBy(F.col("_by").asc_nulls_first()))
+    return parts.withColumn("_rank", within).join(F.broadcast(before), "_part").select(*key, (F.col("_rank") + F.col("_before")).cast("int").alias("rank"))

@@ -8,12 +8,11 @@ is new, and cut their lineage at each step; they stop when a step adds nothing.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelineage import schemas
-from lakelineage.functions.lineage import cut
+from lakelineage.functions.lineage import cut, cut_counted
 
 # --- building ---
 
@@ -86,8 +85,8 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, orde
             step = step.select("root", "target").distinct()
         new = step.withColumnRenamed("target", "id").join(seen.select("root", "id"), ["root", "id"], "left_anti")
         place = F.row_number().over(Window.partitionBy("root").orderBy("_by")).cast("long") if ordered else F.lit(0).cast("long")
-        front = cut(new.select("root", "id", F.lit(depth).alias("depth"), place.alias("pos")))
-        if front.isEmpty():
+        front, n = cut_counted(new.select("root", "id", F.lit(depth).alias("depth"), place.alias("pos")))
+        if not n:
             break
         seen = seen.unionByName(front)
     return seen.where("depth > 0") if ordered else seen.where("depth > 0").drop("pos")
@@ -130,34 +129,6 @@ def simple_paths(edges: DataFrame, roots: DataFrame, max_length: int) -> DataFra
     return done
 
 
-def dependency_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``root``, ``path``: a depth-first walk in which an id is gone through once, however many routes lead to it.
-
-    The walk is sequential, so each root's is one task over the edges that the root reaches; roots are walked apart.
-    """
-    found = reach(edges, roots).select("root", "id").unionByName(roots.select(F.col("id").alias("root"), "id")).distinct()
-    parts = found.join(edges.select(F.col("source").alias("id"), "target", "edge_seq"), "id", "left")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        root = part["root"].iloc[0]
-        linked = part.dropna(subset=["target"]).sort_values("edge_seq")
-        after = linked.groupby("id", sort=False)["target"].apply(list).to_dict()
-        gone, paths, todo = {root}, [], [[root]]
-        while todo:
-            path = todo.pop()
-            fresh = []
-            for t in after.get(path[-1], ()):
-                if t not in gone:
-                    gone.add(t)
-                    fresh.append([*path, t])
-            todo += fresh
-            if not fresh:
-                paths.append(path)
-        return pd.DataFrame({"root": root, "path": paths})
-
-    return parts.groupBy("root").applyInPandas(walk, "root string, path array<string>")
-
-
 # --- metrics ---
 
 
@@ -182,53 +153,179 @@ def orphans(assets: DataFrame, edges: DataFrame) -> DataFrame:
     return assets.join(edges.select(F.explode(F.array("source", "target")).alias("id")), "id", "left_anti")
 
 
-def acyclic(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges in and out of the residue that is left when ids without edges into them are taken off again and again,
-    and likewise those without edges out: the residue holds every cycle (and what lies between cycles)."""
-    rest = cut(edges.select("source", "target").distinct())
-    before = rest.count()
-    while before:
-        rest = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        rest = cut(rest.join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        after = rest.count()
-        if after == before:
+def peel(edges: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
+    """Take off ids without edges out of them, again and again.
+
+    Returns ``id`` and ``depth`` of what came off (``depth``: the round, which is the number of hops of the longest path
+    from there), and the distinct edges that are left with their number: those of ids from which a cycle can be reached.
+    """
+    rest, left = cut_counted(edges.select("source", "target").distinct())
+    sinks = cut(rest.select(F.col("target").alias("id")).join(rest.select(F.col("source").alias("id")), "id", "left_anti").distinct())
+    found, depth = sinks.withColumn("depth", F.lit(0)), 0
+    while left:
+        depth += 1
+        kept, n = cut_counted(rest.join(sinks.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"))
+        if n == left:
             break
-        before = after
-    return edges.join(rest, ["source", "target"], "left_anti"), rest
+        sinks = cut(rest.select(F.col("source").alias("id")).distinct().join(kept.select(F.col("source").alias("id")), "id", "left_anti"))
+        found, rest, left = found.unionByName(sinks.withColumn("depth", F.lit(depth))), kept, n
+    return found, rest, left
+
+
+def spread(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``least``: the smallest id from which ``links`` (``source``, ``target``) lead to an id, itself included.
+
+    Labels go along links, and each takes over its own label's label, so that rounds grow with the logarithm of the
+    longest path.
+    """
+    labels = cut(ids.select("id", F.col("id").alias("least")))
+    while True:
+        near = links.join(labels, F.col("source") == F.col("id")).groupBy("target").agg(F.min("least").alias("_near"))
+        low = labels.join(near, F.col("target") == F.col("id"), "left").select("id", "least", F.least("least", "_near").alias("_low"))
+        jump = low.select(F.col("id").alias("_id"), F.col("_low").alias("_over"))
+        low = low.join(jump, F.col("_low") == F.col("_id")).select("id", F.least("_low", "_over").alias("_new"), "least")
+        low, moved = cut_counted(low, F.col("_new") != F.col("least"))
+        labels = low.select("id", F.col("_new").alias("least"))
+        if not moved:
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id``, ``component`` of every id on a cycle: the smallest id of those that it reaches and that reach it.
+
+    Forward-backward colouring, for all components at once: what can't be on a cycle is peeled off from both sides; each
+    id takes the colour of the smallest id that reaches it, then, within its colour, the smallest id that it reaches.
+    Where both agree, the ids are the component of their colour. Those come off, and the rest is coloured again. Ids are
+    compared by a hash before their names: along a chain of components, the number of rounds then grows with the
+    logarithm of its length, whatever the names are.
+    """
+    key = lambda c: F.concat_ws("|", F.hex(F.xxhash64(c)), F.col(c))
+    loops = edges.where("source = target").select(F.col("source").alias("id")).distinct()
+    links = edges.where("source <> target").select(key("source").alias("source"), key("target").alias("target"))
+    found = None
+    while True:
+        _, links, _ = peel(links)
+        _, turned, left = peel(turn(links))
+        if not left:
+            break
+        links = turn(turned)
+        ids = cut(links.select(F.explode(F.array("source", "target")).alias("id")).distinct())
+        colour = spread(links, ids)
+        ends = links
+        for end in ("source", "target"):
+            ends = ends.join(colour.select(F.col("id").alias(end), F.col("least").alias(f"_{end}")), end)
+        back = spread(cut(turn(ends.where("_source = _target").select("source", "target"))), ids)
+        whole = cut(colour.join(back.withColumnRenamed("least", "_back"), "id").where("least = _back").select("id", "least"))
+        found = whole if found is None else found.unionByName(whole)
+        for end in ("source", "target"):
+            links = links.join(whole.select(F.col("id").alias(end)), end, "left_anti")
+    name = lambda c: F.expr(f"substr({c}, instr({c}, '|') + 1)")
+    if found is None:
+        return cut(loops.select("id", F.col("id").alias("component")))
+    named = found.select(name("id").alias("id"), "least")
+    firsts = named.groupBy("least").agg(F.min("id").alias("component"), F.count("*").alias("_n"))
+    many = named.join(firsts.where("_n > 1"), "least").select("id", "component")
+    alone = loops.join(many.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+    return cut(many.unionByName(alone))
+
+
+def condensed(edges: DataFrame, strong: DataFrame) -> DataFrame:
+    """``edges`` with each end on a cycle replaced by its component; edges within a component are left out."""
+    for end in ("source", "target"):
+        names = strong.select(F.col("id").alias(end), F.col("component").alias("_c"))
+        edges = edges.join(names, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    return edges.where("source <> target")
+
+
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """``source``, ``target``: the distinct edges that lie on a cycle, which are those within a strong component."""
+    links = edges.select("source", "target").distinct()
+    strong = strong_components(edges)
+    for end in ("source", "target"):
+        links = links.join(strong.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end)
+    return links.where("_source = _target").select("source", "target")
+
+
+def depths(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``id``, ``depth`` of all ends of edges; the edges that depths go by, distinct; and strong components, if any.
+
+    ``depth``: hops of the longest path downstream in the graph in which each strong component is one node, so ids of a
+    cycle share a depth, and it is 0 for leaves and for cycles that lead nowhere.
+    """
+    found, rest, left = peel(edges)
+    if not left:
+        return found, edges.select("source", "target").distinct(), None
+    strong = strong_components(rest)
+    links = cut(condensed(edges.select("source", "target"), strong).distinct())
+    found, _, _ = peel(links)
+    found = found.join(strong.withColumnRenamed("id", "_id"), F.col("component") == F.col("id"), "left").select(F.coalesce("_id", "id").alias("id"), "depth")
+    lonely = strong.join(found.select("id"), "id", "left_anti").select("id", F.lit(0).alias("depth"))
+    return cut(found.unionByName(lonely)), links, strong
 
 
 def dependency_depth(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id``, ``dependency_depth``: hops of the longest path downstream, over the acyclic part; 0 at leaves and on cycles."""
-    hops = cut(acyclic(edges)[0].select("source", "target").distinct())
-    front, depth = cut(hops.select(F.col("target").alias("id")).distinct()), 0
-    found = front.select("id", F.lit(0).alias("depth"))
-    while not front.isEmpty():  # ids from which a path of this length starts
-        depth += 1
-        front = cut(hops.join(front.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct())
-        found = found.unionByName(front.select("id", F.lit(depth).alias("depth")))
-    longest = found.groupBy("id").agg(F.max("depth").alias("depth"))
-    return assets.select("id", "seq").join(longest, "id", "left").select("id", "seq", F.coalesce("depth", F.lit(0)).alias("dependency_depth"))
+    """``id``, ``seq``, ``dependency_depth`` of each asset, as :func:`depths` has it; 0 for assets without edges."""
+    return assets.select("id", "seq").join(depths(edges)[0], "id", "left").select("id", "seq", F.coalesce("depth", F.lit(0)).alias("dependency_depth"))
 
 
 def critical_path(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """``step``, ``id``: from the first asset of the greatest depth, always to the first neighbour one less deep."""
-    depths = cut(dependency_depth(assets, edges))
-    at = cut(depths.orderBy(F.desc("dependency_depth"), "seq").limit(1).select("id", "dependency_depth", F.lit(0).alias("step")))
-    path, step = at, 0
-    hops = edges.select("source", "target").distinct()
+    """``step``, ``id``: from the first asset of the greatest depth, always to the first neighbour that is one less deep.
+
+    From an asset on a cycle the path may go on from any id of its cycle. Each id's next one is found at once by an
+    aggregate; the path is then put together in rounds that double its length.
+    """
+    found, links, strong = depths(edges)
+    deep = assets.select("id", "seq").join(found, "id", "left").select("id", "seq", F.coalesce("depth", F.lit(0)).alias("depth"))
+    node = deep.withColumn("node", F.col("id"))
+    if strong is not None:
+        node = deep.join(strong, "id", "left").withColumn("node", F.coalesce("component", "id"))
+    node = cut(node.select("id", "seq", "depth", "node"))
+    # Per node: the asset that stands for it (its first one) and the node that follows it.
+    first = node.groupBy("node", "depth").agg(F.min(F.struct("seq", "id")).alias("_first"))
+    onto = links.join(first.select(F.col("node").alias("target"), F.col("depth").alias("_depth"), "_first"), "target").join(first.select(F.col("node").alias("source"), "depth"), "source").where("_depth = depth - 1")
+    jump = cut(onto.groupBy("source").agg(F.min(F.struct(F.col("_first.seq").alias("seq"), F.col("target"))).alias("_n")).select("source", F.col("_n.target").alias("target")))
+    path = cut(first.orderBy(F.desc("depth"), "_first").limit(1).select(F.lit(0).alias("step"), "node"))
+    length = 1
     while True:
-        step += 1
-        near = at.select(F.col("id").alias("source"), (F.col("dependency_depth") - 1).alias("dependency_depth")).join(hops, "source").select(F.col("target").alias("id"), "dependency_depth")
-        at = cut(depths.join(near, ["id", "dependency_depth"]).where("dependency_depth >= 0").orderBy("seq").limit(1).select("id", "dependency_depth", F.lit(step).alias("step")))
-        if at.isEmpty():
-            return path.select("step", "id")
-        path = path.unionByName(at)
+        path, n = cut_counted(path.unionByName(path.join(jump, F.col("node") == F.col("source")).select((F.col("step") + length).alias("step"), F.col("target").alias("node"))))
+        if n < 2 * length:
+            break
+        length *= 2
+        jump = cut(jump.join(jump.select(F.col("source").alias("_s"), F.col("target").alias("_t")), F.col("target") == F.col("_s")).select("source", F.col("_t").alias("target")))
+    return path.join(first, "node").select("step", F.col("_first.id").alias("id"))
 
 
 def blast_radius(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id``, ``blast_radius``: ids that each asset reaches, whether they are assets or not."""
-    counts = reach(edges, assets.select("id")).groupBy("root").agg(F.count("*").alias("n"))
-    return assets.select("id").join(counts, F.col("id") == F.col("root"), "left").select("id", F.coalesce("n", F.lit(0)).alias("blast_radius"))
+    """``id``, ``blast_radius``: number of ids that each asset reaches but itself, whether they are assets or not.
+
+    What a node reaches is kept as words of 64 bits, a bit per id; ids that share a source have neighbouring numbers, so a
+    word stands for up to 64 of them, and no row per pair of ids is made. Nodes (strong components count as one) get
+    their words level by level, from the deepest up: the ``bit_or`` of the words of what they lead to, combined before the
+    shuffle.
+    """
+    found, links, strong = depths(edges)
+    ids = found.join(links.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("_near")), "id", "left").select("id", "depth", "_near")
+    if strong is not None:
+        ids = ids.join(strong, "id", "left").withColumn("node", F.coalesce("component", "id"))
+    else:
+        ids = ids.withColumn("node", F.col("id"))
+    # Numbers are unique, and dense within a task's range; a range starts at a multiple of 64.
+    parts = ids.sparkSession.sparkContext.defaultParallelism
+    numbered = cut(ids.repartitionByRange(parts, "_near", "id").sortWithinPartitions("_near", "id").withColumn("_no", F.monotonically_increasing_id()))
+    word, bit = F.shiftright("_no", 6), F.expr("shiftleft(1L, CAST(_no % 64 AS INT))")
+    own = cut(numbered.groupBy("node", "depth", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    deepest = numbered.agg(F.max("depth")).first()[0] or 0
+    below = own.select("node", "word", "bits")  # of a node itself and all that it reaches
+    level_of = cut(numbered.select("node", "depth").distinct())
+    done = below.join(level_of.where("depth = 0").select("node"), "node", "left_semi")
+    for level in range(1, deepest + 1):
+        here = links.join(level_of.where(F.col("depth") == level).select(F.col("node").alias("source")), "source", "left_semi")
+        gained = here.join(done.withColumnRenamed("node", "target"), "target").select(F.col("source").alias("node"), "word", "bits")
+        mine = own.where(F.col("depth") == level).select("node", "word", "bits")
+        done = done.unionByName(cut(gained.unionByName(mine).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))))
+    sizes = done.groupBy("node").agg((F.sum(F.bit_count("bits")) - 1).alias("n"))
+    counts = numbered.select("id", "node").join(sizes, "node").select("id", "n")
+    return assets.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("blast_radius"))
 
 
 # --- validation ---
@@ -248,24 +345,10 @@ def duplicate_ids(assets: DataFrame) -> DataFrame:
 
 
 def components(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id``, ``component``: the smallest id that an id is connected with, in either direction.
-
-    Labels go along edges and through the labels found so far (a label's own label), so that rounds grow with the
-    logarithm of the longest path.
-    """
+    """``id``, ``component``: the smallest id that an id is connected with, in either direction."""
     ids = assets.select("id").unionByName(edges.select(F.explode(F.array("source", "target")).alias("id"))).distinct()
     links = edges.where("source <> target").select("source", "target")
-    links = cut(links.unionByName(turn(links).select("source", "target")).distinct())
-    labels = cut(ids.select("id", F.col("id").alias("component")))
-    while True:
-        near = links.join(labels, F.col("target") == F.col("id")).groupBy("source").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("id") == F.col("source"), "left").select("id", "component", F.least("component", "near").alias("low"))
-        jump = low.select(F.col("id").alias("_id"), F.col("low").alias("_low"))
-        next_ = low.join(jump, F.col("low") == F.col("_id")).select("id", F.least("low", "_low").alias("component"), (F.least("low", "_low") != F.col("component")).alias("moved"))
-        next_ = cut(next_)
-        labels = next_.select("id", "component")
-        if next_.where("moved").isEmpty():
-            return labels
+    return spread(cut(links.unionByName(turn(links).select("source", "target")).distinct()), ids).withColumnRenamed("least", "component")
 
 
 def disconnected(assets: DataFrame, edges: DataFrame) -> DataFrame:

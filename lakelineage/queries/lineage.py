@@ -32,6 +32,17 @@ assets AS (
 ), looped AS (
   SELECT source, target FROM edges UNION ALL SELECT 'region::' || r_regionkey, 'region::' || (1 - r_regionkey) FROM region WHERE r_regionkey < 2
 )"""
+# Two kinds of cycles with nations in between: the first two regions, and customers with some of their orders.
+KNOTTED_SQL = GRAPH_SQL + """, knotted AS (
+  SELECT source, target, edge_seq FROM edges UNION ALL SELECT 'region::' || r_regionkey, 'region::' || (1 - r_regionkey), 9000000000 + r_regionkey FROM region WHERE r_regionkey < 2
+  UNION ALL SELECT 'order::' || o_orderkey, 'customer::' || o_custkey, 9100000000 + o_orderkey FROM orders WHERE o_orderkey % 50 = 0
+), hop AS (SELECT DISTINCT source, target FROM knotted
+), far AS (SELECT source AS root, target AS id FROM hop UNION SELECT f.root, h.target FROM far f JOIN hop h ON h.source = f.id
+), ring AS (SELECT a.root AS id, min(a.id) AS component FROM far a JOIN far b ON b.root = a.id AND b.id = a.root GROUP BY 1
+), line AS (SELECT DISTINCT coalesce(s.component, source) AS source, coalesce(t.component, target) AS target FROM hop LEFT JOIN ring s ON s.id = source LEFT JOIN ring t ON t.id = target WHERE coalesce(s.component, source) <> coalesce(t.component, target)
+), long AS (SELECT source AS node, target AS id, 1 AS depth FROM line UNION SELECT l.node, e.target, l.depth + 1 FROM long l JOIN line e ON e.source = l.id
+), deep AS (SELECT a.id, a.seq, coalesce(r.component, a.id) AS node, coalesce(m, 0) AS depth FROM assets a LEFT JOIN ring r ON r.id = a.id LEFT JOIN (SELECT node, CAST(max(depth) AS INTEGER) AS m FROM long GROUP BY 1) x ON x.node = coalesce(r.component, a.id)
+)"""
 REACH = """, reach AS (SELECT source AS root, target AS id, 1 AS depth FROM {e} WHERE {where} UNION SELECT r.root, e.target, r.depth + 1 FROM reach r JOIN {e} e ON e.source = r.id WHERE r.depth < 8),
  found AS (SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM reach WHERE id <> root GROUP BY 1, 2)"""
 
@@ -80,6 +91,13 @@ def looped(spark, d, edges):
     return edges.unionByName(loop)
 
 
+def knotted(spark, d, edges):
+    """:func:`looped`, and cycles of customers with some of their orders, so that nations lie between cycles."""
+    back = read(spark, d, "orders").where("o_orderkey % 50 = 0")
+    back = back.selectExpr("'order::' || o_orderkey AS source", "'customer::' || o_custkey AS target", "'FEEDS' AS relationship", "false AS unresolved", "9 AS source_rank", "9100000000 + o_orderkey AS edge_seq")
+    return looped(spark, d, edges).unionByName(back)
+
+
 def some(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
@@ -132,13 +150,6 @@ def g_bidirectional(spark, d):
     return g.bidirectional(looped(spark, d, edges), read(spark, d, "nation").selectExpr("'nation::' || n_nationkey AS id"))
 
 
-@query(None)
-def g_paths(spark, d):
-    _, edges = estate(spark, d)
-    paths = g.dependency_paths(looped(spark, d, edges), regions(spark, d))
-    return paths.select("root", F.concat_ws(">", "path").alias("path"))
-
-
 @plain(f"""WITH RECURSIVE {GRAPH_SQL}, p AS (SELECT 'region::' || r_regionkey AS root, ['region::' || r_regionkey] AS path, 0 AS n FROM region
  UNION ALL SELECT root, list_append(path, e.target), n + 1 FROM p JOIN (SELECT DISTINCT source, target FROM looped) e ON e.source = path[-1] WHERE NOT list_contains(path, e.target) AND n < 3)
  SELECT root, array_to_string(path, '>') AS path FROM p WHERE n = 3 OR NOT EXISTS (SELECT 1 FROM looped e WHERE e.source = path[-1] AND NOT list_contains(path, e.target))""", False)
@@ -187,18 +198,30 @@ def g_assets_by_type(spark, d):
     return g.count_by(estate(spark, d)[0], "asset_type")
 
 
-@query("SELECT a.id, coalesce(m, 0) AS dependency_depth FROM assets a LEFT JOIN (SELECT root, CAST(max(depth) AS INTEGER) AS m FROM reach GROUP BY 1) ON root = a.id", "true", "edges")
+@plain(f"WITH RECURSIVE {KNOTTED_SQL} SELECT id, depth AS dependency_depth FROM deep", False)
 def g_depth(spark, d):
-    return g.dependency_depth(*estate(spark, d)).select("id", "dependency_depth")
+    assets, edges = estate(spark, d)
+    return g.dependency_depth(assets, knotted(spark, d, edges)).select("id", "dependency_depth")
 
 
-@plain(f"""WITH RECURSIVE {GRAPH_SQL}, reach AS (SELECT source AS root, target AS id, 1 AS depth FROM edges UNION SELECT r.root, e.target, r.depth + 1 FROM reach r JOIN edges e ON e.source = r.id WHERE r.depth < 8),
- dd AS (SELECT a.id, a.seq, coalesce(m, 0) AS depth FROM assets a LEFT JOIN (SELECT root, max(depth) AS m FROM reach GROUP BY 1) ON root = a.id),
- walk AS (SELECT 0 AS step, (SELECT id FROM dd ORDER BY depth DESC, seq LIMIT 1) AS id, (SELECT max(depth) FROM dd) AS depth
-  UNION ALL SELECT w.step + 1, (SELECT d.id FROM dd d JOIN edges e ON e.target = d.id WHERE e.source = w.id AND d.depth = w.depth - 1 ORDER BY d.seq LIMIT 1), w.depth - 1 FROM walk w WHERE w.depth > 0 AND w.id IS NOT NULL)
- SELECT CAST(step AS INTEGER) AS step, id FROM walk WHERE id IS NOT NULL""", False)
+@plain(f"""WITH RECURSIVE {KNOTTED_SQL}, lead AS (SELECT node, depth, min(seq) AS seq, arg_min(id, seq) AS id FROM deep GROUP BY 1, 2),
+ walk AS (SELECT 0 AS step, (SELECT node FROM lead ORDER BY depth DESC, seq LIMIT 1) AS node, (SELECT max(depth) FROM lead) AS depth
+  UNION ALL SELECT w.step + 1, (SELECT l.node FROM lead l JOIN line e ON e.target = l.node WHERE e.source = w.node AND l.depth = w.depth - 1 ORDER BY l.seq LIMIT 1), w.depth - 1 FROM walk w WHERE w.depth > 0 AND w.node IS NOT NULL)
+ SELECT CAST(step AS INTEGER) AS step, id FROM walk JOIN lead USING (node)""", False)
 def g_critical_path(spark, d):
-    return g.critical_path(*estate(spark, d))
+    assets, edges = estate(spark, d)
+    return g.critical_path(assets, knotted(spark, d, edges))
+
+
+@plain(f"WITH RECURSIVE {KNOTTED_SQL} SELECT id, component FROM ring", False)
+def g_strong_components(spark, d):
+    return g.strong_components(knotted(spark, d, estate(spark, d)[1]))
+
+
+@plain(f"WITH RECURSIVE {KNOTTED_SQL} SELECT a.id, count(f.id) AS blast_radius FROM assets a LEFT JOIN far f ON f.root = a.id AND f.id <> f.root GROUP BY 1", False)
+def g_blast_radius_cyclic(spark, d):
+    assets, edges = estate(spark, d)
+    return g.blast_radius(assets, knotted(spark, d, edges))
 
 
 @query("SELECT a.id, count(f.id) AS blast_radius FROM assets a LEFT JOIN found f ON f.root = a.id GROUP BY 1", "true")
@@ -222,9 +245,9 @@ def g_orphan(spark, d):
     return g.orphans(*estate(spark, d)).select("id")
 
 
-@query("SELECT source, target FROM looped WHERE source IN ('region::0', 'region::1') AND target IN ('region::0', 'region::1')")
+@plain(f"WITH RECURSIVE {KNOTTED_SQL} SELECT source, target FROM hop WHERE EXISTS (SELECT 1 FROM far WHERE root = target AND id = source)", False)
 def g_cycles(spark, d):
-    return g.acyclic(looped(spark, d, estate(spark, d)[1]))[1]
+    return g.cycle_edges(knotted(spark, d, estate(spark, d)[1]))
 
 
 @query("SELECT 'target' AS \"end\", target AS id, source, target FROM edges WHERE NOT unresolved AND target NOT IN (SELECT id FROM assets) UNION ALL SELECT 'source', source, source, target FROM edges WHERE NOT unresolved AND source NOT IN (SELECT id FROM assets)")
@@ -238,20 +261,29 @@ def g_duplicate_ids(spark, d):
     return g.duplicate_ids(assets.unionByName(assets.where("id LIKE 'nation::%'")))
 
 
-@plain(f"""WITH RECURSIVE {GRAPH_SQL}, link AS (SELECT source AS a, target AS b FROM edges WHERE relationship <> 'CALLS' AND source LIKE 'customer%' UNION SELECT target, source FROM edges WHERE relationship <> 'CALLS' AND source LIKE 'customer%'),
- r AS (SELECT id, id AS low FROM assets UNION SELECT b, low FROM r JOIN link ON a = r.id) SELECT id, min(low) AS component FROM r GROUP BY 1""", False)
-def g_components(spark, d):
+# The estate, and parts in chains of twenty: many components beside the large one.
+CHAINS_SQL = GRAPH_SQL + """, things AS (SELECT id FROM assets UNION ALL SELECT 'part::' || p_partkey FROM part),
+ ties AS (SELECT source, target FROM edges UNION ALL SELECT 'part::' || p_partkey, 'part::' || (p_partkey - 1) FROM part WHERE p_partkey % 20 <> 0),
+ link AS (SELECT source AS a, target AS b FROM ties UNION SELECT target, source FROM ties),
+ r(id, low) USING KEY (id) AS (SELECT id, id FROM (SELECT id FROM things UNION SELECT a FROM link) UNION SELECT b, min(r.low) FROM r JOIN link ON a = r.id JOIN recurring.r AS now ON now.id = b WHERE r.low < now.low GROUP BY b)"""
+
+
+def chains(spark, d):
     assets, edges = estate(spark, d)
-    return g.components(assets, edges.where("relationship = 'WRITES'"))
+    parts = read(spark, d, "part")
+    ties = parts.where("p_partkey % 20 <> 0").selectExpr("'part::' || p_partkey AS source", "'part::' || (p_partkey - 1) AS target")
+    return assets.select("id").unionByName(parts.selectExpr("'part::' || p_partkey AS id")), edges.select("source", "target").unionByName(ties)
 
 
-@plain(f"""WITH RECURSIVE {GRAPH_SQL}, link AS (SELECT source AS a, target AS b FROM edges WHERE relationship = 'WRITES' UNION SELECT target, source FROM edges WHERE relationship = 'WRITES'),
- r AS (SELECT id, id AS low FROM assets UNION SELECT b, low FROM r JOIN link ON a = r.id), c AS (SELECT id, min(low) AS component FROM r GROUP BY 1),
- n AS (SELECT component, count(*) AS size, list(id ORDER BY id)[1:3] AS ids FROM c GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS nth FROM n)
+@plain(f"WITH RECURSIVE {CHAINS_SQL} SELECT id, low AS component FROM r", False)
+def g_components(spark, d):
+    return g.components(*chains(spark, d))
+
+
+@plain(f"""WITH RECURSIVE {CHAINS_SQL}, n AS (SELECT low AS component, count(*) AS size, list(id ORDER BY id)[1:3] AS ids FROM r GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS nth FROM n)
  SELECT component, size, array_to_string(ids, ',') AS sample FROM o WHERE nth > 1""", False)
 def g_disconnected(spark, d):
-    assets, edges = estate(spark, d)
-    return g.disconnected(assets, edges.where("relationship = 'WRITES'")).withColumn("sample", F.array_join("sample", ","))
+    return g.disconnected(*chains(spark, d)).withColumn("sample", F.array_join("sample", ","))
 
 
 @query("SELECT CAST(floor(avg(CASE WHEN seq % 4 = 0 THEN 1 ELSE (seq % 4) * 0.25 END) * 100 + 0.5) AS BIGINT) AS confidence FROM assets")
@@ -302,10 +334,9 @@ def g_impact_metrics(spark, d):
     return g.impact_metrics(g.bidirectional(edges, read(spark, d, "nation").selectExpr("'nation::' || n_nationkey AS id")), assets, edges)
 
 
-@query("SELECT DISTINCT source, target FROM edges WHERE relationship IN ('CONTAINS', 'FEEDS', 'USES', 'WRITES')")
+@query("SELECT DISTINCT source, target FROM edges")
 def g_path_edges(spark, d):
-    _, edges = estate(spark, d)
-    return g.path_edges(g.simple_paths(edges.where("relationship <> 'CALLS'"), regions(spark, d), 3))
+    return g.path_edges(g.simple_paths(estate(spark, d)[1], regions(spark, d), 3))
 
 
 STAGE_SQL = " ".join(f"WHEN bucket IN ({', '.join(repr(b) for b in bs.split())}) THEN '{s}'" for s, bs in g.STAGES.items())
