@@ -28,14 +28,25 @@ def cut_counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame,
     return done, seen.get["n"]
 
 
-def ranks(rows: DataFrame, by: Column, key: Sequence[str]) -> DataFrame:
-    """``key`` columns and ``rank``: as ``rank() OVER (ORDER BY by)`` over all rows, but sorted in many tasks.
+def ranks(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct values of ``column`` with ``rank`` and ``dense_rank``: as over all rows, largest first and nulls last.
 
-    Rows are cut into ranges of ``by`` (equal values stay in one range) and ranked within their range; the number of rows
-    in the ranges before is added. Only a count per range is brought together.
+    Values are counted first, so that equal ones never meet in one task, then cut into ranges and numbered within their
+    range; what is in the ranges before is added. Only two numbers per range are brought together.
     """
-    parts = cut(rows.select(*key, by.alias("_by")).repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, F.col("_by").asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row per range
-    within = F.rank().over(Window.partitionBy("_part").orderBy(F.col("_by").asc_nulls_first()))
-    return parts.withColumn("_rank", within).join(F.broadcast(before), "_part").select(*key, (F.col("_rank") + F.col("_before")).cast("int").alias("rank"))
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    order = F.col(column).desc_nulls_last()
+    values = rows.groupBy(column).agg(F.count("*").alias("_n"))
+    parts = cut(values.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    sizes = parts.groupBy("_part").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"))
+    before = sizes.select("_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_values").over(ahead), F.lit(0)).alias("_values"))
+    within = Window.partitionBy("_part").orderBy(order)
+    placed = parts.withColumn("_upto", F.sum("_n").over(within)).withColumn("_nth", F.row_number().over(within)).join(F.broadcast(before), "_part")
+    return placed.select(column, (F.col("_rows") + F.col("_upto") - F.col("_n") + 1).cast("int").alias("rank"), (F.col("_values") + F.col("_nth")).cast("int").alias("dense_rank"))
+
+
+def ranked(rows: DataFrame, column: str, name: str, dense: bool = False) -> DataFrame:
+    """``rows`` with their rank by ``column`` as ``name``, as :func:`ranks` has it."""
+    found = ranks(rows, column).select(F.col(column).alias("_value"), F.col("dense_rank" if dense else "rank").alias(name))
+    return rows.join(found, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")

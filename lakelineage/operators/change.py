@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakelineage import schemas
 from lakelineage.operators import graph
+from lakelineage.operators.resolver import norm, resolve  # noqa: F401  part of this module's functions
 
 # Forms of requests in the order in which they are tried. Groups: target, then table or new name.
 _NEW = r"to\s+(\w[\w\s]*?)(?:\s+(?:in|from|within|of)\s+\w+)?\s*$"
@@ -32,11 +29,6 @@ SYSTEM_HINTS = (
 )
 STOPWORDS = "the a an column table field attribute in from within of".split()
 TABLE_HINT = r"(?i)\b(?:in|from|within|of)\s+(?:the\s+)?(\w+)"
-CLOSE_MATCH = 0.6
-
-
-def norm(x: Column) -> Column:
-    return F.lower(F.regexp_replace(x, r"[\s_\-]+", ""))
 
 
 def clean(x: Column) -> Column:
@@ -67,53 +59,6 @@ def parse(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"change_type": kind, "target_name": target, "new_name": new, "table_name": F.coalesce(table, F.try_element_at(hints, F.lit(1))), "system": system})
 
 
-def resolve(requests: DataFrame, assets: DataFrame) -> DataFrame:
-    """Parsed requests with ``asset_id``, ``asset_type`` and ``tier`` of the asset that each is about; null if there is none.
-
-    Tiers: 1 the same name, in the hinted table; 2 the same name; 3 one name within the other; 4 a close name. The
-    first tier with candidates decides; among those, the hinted system and the kind of change decide, then order. The
-    first two tiers are joins on the name; only requests that they leave over are held against all names, distinct ones,
-    in blocks of requests.
-    """
-    wanted = F.when(F.col("change_type").startswith("TABLE"), "table").when(F.col("change_type").startswith("COLUMN"), "column")
-    asked = requests.where("target_name IS NOT NULL").withColumns({"_n": norm(F.col("target_name")), "_want": wanted, "_hint": norm(F.coalesce("table_name", F.lit("")))})
-    names = assets.select("id", "asset_type", F.col("system").alias("asset_system"), "seq", norm(F.col("name")).alias("_name"), norm(F.regexp_replace("id", r"::[^:]*$", "")).alias("_place"))
-    exact = asked.join(names, F.col("_n") == F.col("_name"))
-    in_table = (F.col("_hint") != "") & F.col("_place").endswith(F.col("_hint"))
-    exact = exact.withColumn("tier", F.when(in_table, 1).otherwise(2)).withColumn("close", F.lit(1.0))
-
-    rest = asked.join(exact.select("request_id"), "request_id", "left_anti")
-    distinct = names.select("_name").distinct()
-    blocks = rest.groupBy((F.pmod(F.xxhash64("request_id"), F.lit(16))).alias("_block")).agg(F.collect_list(F.struct("request_id", "_n")).alias("_asked"))
-    # A stated set of left-over requests against distinct names, block by block.
-    tried = distinct.crossJoin(F.broadcast(blocks)).select("_name", "_asked")
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for name, asked_ in zip(b["_name"], b["_asked"], strict=True):
-                for q in asked_:
-                    n = q["_n"]
-                    if n and name and (n in name or name in n):
-                        rows.append((q["request_id"], name, 3, 1.0))
-                    elif n and name:
-                        m = SequenceMatcher(None, name, n)
-                        if m.real_quick_ratio() >= CLOSE_MATCH and m.quick_ratio() >= CLOSE_MATCH and (x := m.ratio()) >= CLOSE_MATCH:
-                            rows.append((q["request_id"], name, 4, x))
-            yield pd.DataFrame(rows, columns=["request_id", "_name", "tier", "close"])
-
-    kind = requests.schema["request_id"].dataType.simpleString()
-    near = tried.mapInPandas(match, f"request_id {kind}, _name string, tier int, close double")
-    near = rest.join(near, "request_id").join(names, "_name")
-    found = exact.select("request_id", "id", "asset_type", "tier", "close", "seq", "asset_system", "system", "_want", "_place", "_hint").unionByName(near.select("request_id", "id", "asset_type", "tier", "close", "seq", "asset_system", "system", "_want", "_place", "_hint"))
-    by_system, by_type = F.col("asset_system") == F.col("system"), F.col("asset_type") == F.col("_want")
-    prefer = F.when(by_system & by_type, 0).when(by_type, 1).when(by_system, 2).otherwise(3)
-    hinted = F.when((F.col("_hint") != "") & F.col("_place").contains(F.col("_hint")), 0).otherwise(1)
-    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("tier", hinted, prefer, F.desc("close"), "seq"))
-    best = found.withColumn("_nth", nth).where("_nth = 1").select("request_id", F.col("id").alias("asset_id"), "asset_type", "tier")
-    return requests.join(best, "request_id", "left")
-
-
 def corrected(resolved: DataFrame) -> DataFrame:
     """``change_type`` made to fit the asset: deletions and renames of tables and columns."""
     kind = F.upper("asset_type")

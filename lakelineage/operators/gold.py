@@ -1,12 +1,14 @@
-"""Silver to gold: the ten published tables, each one lazy plan without driver round trips."""
+"""Silver to gold: the ten published tables. Each is one lazy plan, but for product ranks, which are sorted in ranges."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakelineage.functions.lineage import cut, ranked
+
 # Lifetime revenue from which a customer is of a tier, and the order of tiers.
 TIERS = {"Platinum": 10000, "Gold": 5000, "Silver": 1000, "Bronze": None}
 HIGH_VALUE = 5000
@@ -67,25 +69,27 @@ def customer_360(s: Star) -> DataFrame:
 
 
 def product_performance(s: Star) -> DataFrame:
-    """Ranks run over one row per product. The first tenth of the products that were sold are top performers."""
+    """Ranks are found in ranges of products, in many tasks. The first tenth of the products that were sold are top performers."""
     sold = s.sales.groupBy("ProductKey").agg(
         rounded(F.sum("Revenue")).alias("TotalRevenue"), rounded(F.sum("Profit")).alias("TotalProfit"), F.sum("OrderQuantity").alias("UnitsSold"), rounded(F.avg("Revenue")).alias("AvgSellingPrice")
     )
     all_ = s.product.select("ProductID", "ProductName").join(sold, F.col("ProductID") == F.col("ProductKey"), "left")
-    rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc_nulls_last()))
-    top = F.greatest(F.lit(1), F.floor(F.count("ProductKey").over(Window.partitionBy()) * TOP_SHARE))
-    return all_.select(
+    all_ = cut(all_)
+    placed = ranked(ranked(all_, "TotalRevenue", "RevenueRank"), "TotalProfit", "ProfitRank")
+    top = F.greatest(F.lit(1), F.floor(all_.agg(F.count("ProductKey")).scalar() * TOP_SHARE))
+    return placed.select(
         "ProductID", "ProductName", "TotalRevenue", "TotalProfit", percent(F.col("TotalProfit"), F.col("TotalRevenue")).alias("ProductProfitMargin"), "UnitsSold", "AvgSellingPrice",
-        rank("TotalRevenue").alias("RevenueRank"), rank("TotalProfit").alias("ProfitRank"), (rank("TotalRevenue") <= top).alias("TopPerformer"),
+        "RevenueRank", "ProfitRank", (F.col("RevenueRank") <= top).alias("TopPerformer"),
     )
 
 
 def territory_performance(s: Star) -> DataFrame:
     sold = s.sales.groupBy("SalesTerritoryKey").agg(rounded(F.sum("Revenue")).alias("TotalRevenue"), rounded(F.sum("Profit")).alias("TotalProfit"), F.countDistinct("CustomerKey").alias("CustomerCount"))
+    most = sold.join(s.territory, F.col("TerritoryID") == F.col("SalesTerritoryKey"), "left_semi").agg(F.max("TotalRevenue"))
     all_ = s.territory.join(sold, F.col("TerritoryID") == F.col("SalesTerritoryKey"), "left")
     return all_.select(
         "Country", "Region", "TerritoryGroup", "TotalRevenue", "TotalProfit", "CustomerCount", F.round(F.try_divide("TotalRevenue", "CustomerCount"), 2).alias("AvgRevenuePerCustomer"),
-        (F.rank().over(Window.orderBy(F.col("TotalRevenue").desc_nulls_last())) == 1).alias("TopTerritory"),
+        F.col("TotalRevenue").eqNullSafe(most.scalar()).alias("TopTerritory"),
     )
 
 
@@ -98,27 +102,47 @@ def monthly_sales(s: Star) -> DataFrame:
     )
 
 
-def best(rows: DataFrame, name: str) -> Column:
-    """Expression over (``name``, ``_total``) rows: the name of the largest total, the smallest name among equals."""
-    return F.min_by(name, F.struct(-F.col("_total"), F.col(name)))
-
-
-def leaders(s: Star) -> DataFrame:
-    """One row: the territory and the product of the most revenue."""
-    of = lambda dim, key, own, name: s.sales.join(dim.select(key, name), F.col(own) == F.col(key), "left").groupBy(name).agg(F.sum("Revenue").alias("_total"))
-    country = of(s.territory, "TerritoryID", "SalesTerritoryKey", "Country")
-    product = of(s.product, "ProductID", "ProductKey", "ProductName")
-    return country.agg(best(country, "Country").alias("HighestRevenueTerritory")).crossJoin(product.agg(best(product, "ProductName").alias("HighestRevenueProduct")))  # one row each
+def executive_totals(s: Star) -> DataFrame:
+    """One row of totals, distinct counts and leaders, from one scan of the sales.
+
+    Sales are grouped by each of five keys at once (GROUPING SETS). A distinct count is the number of groups of its key;
+    revenue by product, territory and day carries the leaders. Groups of customers and orders are then only counted, so
+    the rows that meet the dimensions are as few as products, territories and days. Of equal leaders, that with the
+    smallest name counts.
+    """
+    keys = ("CustomerKey", "OrderNumber", "ProductKey", "SalesTerritoryKey", "OrderDateKey")
+    sets = s.sales.select(*keys, "Revenue", "Profit").groupingSets([[k] for k in keys], *keys)
+    groups = sets.agg(F.grouping_id().alias("_set"), F.sum("Revenue").alias("_total"), F.sum("Profit").alias("_profit"), F.count("Revenue").alias("_n"))
+    of = {k: F.col("_set") == (31 ^ (16 >> i)) for i, k in enumerate(keys)}  # a bit is set for each key that is not in the set
+    small = [F.when(of[k], F.col(k)).alias(k) for k in keys[2:]]
+    few = groups.groupBy("_set", *small).agg(
+        F.sum("_total").alias("_total"), F.sum("_profit").alias("_profit"), F.sum("_n").alias("_n"), *[F.count(F.when(of[k], F.col(k))).alias(f"_{k}") for k in keys[:3]]
+    )
+    days = s.calendar.select("CalendarKey", F.col("YearMonth").alias("_month"), F.concat_ws("-Q", F.col("CalendarYear").cast("string"), F.col("Quarter").cast("string")).alias("_quarter"))
+    known = few.join(s.product.select("ProductID", F.col("ProductName").alias("_product")), F.col("ProductKey") == F.col("ProductID"), "left")
+    known = known.join(s.territory.select("TerritoryID", F.col("Country").alias("_country")), F.col("SalesTerritoryKey") == F.col("TerritoryID"), "left").join(days, F.col("OrderDateKey") == F.col("CalendarKey"), "left")
+    named = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"))
+    labels = F.when(of["ProductKey"], F.array(named("product", "_product"))).when(of["SalesTerritoryKey"], F.array(named("territory", "_country"))).when(of["OrderDateKey"], F.array(named("month", "_month"), named("quarter", "_quarter")))
+    labels = F.coalesce(labels, F.array(F.struct(F.lit("counts").alias("kind"), F.lit(None).cast("string").alias("name"))))
+    rows = known.withColumn("_label", F.explode(labels)).groupBy("_label.kind", "_label.name").agg(
+        F.sum("_total").alias("_total"), F.sum("_profit").alias("_profit"), F.sum("_n").alias("_n"), *[F.sum(f"_{k}").alias(f"_{k}") for k in keys[:3]]
+    )
+    best = lambda kind: F.min_by("name", F.when(F.col("kind") == kind, F.struct(-F.col("_total"), F.col("name"))))
+    month = lambda c: F.sum(F.when(F.col("kind") == "month", F.col(c)))  # noqa: E731  a sale is in one month
+    revenue, profit = month("_total"), month("_profit")
+    count = lambda k: F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(k)
+    return rows.agg(
+        rounded(revenue).alias("TotalRevenue"), rounded(profit).alias("TotalProfit"), percent(profit, revenue).alias("ProfitMargin"), count("CustomerKey"), count("ProductKey"), count("OrderNumber"),
+        rounded(F.try_divide(revenue, month("_n"))).alias("AvgOrderValue"), best("territory").alias("Territory"), best("product").alias("Product"), best("month").alias("Month"), best("quarter").alias("Quarter"),
+    )
 
 
 def executive_kpi(s: Star) -> DataFrame:
-    """One row of totals. Two one-row results meet, so nothing is fetched between jobs."""
-    totals = s.sales.agg(
-        rounded(F.sum("Revenue")).alias("TotalRevenue"), rounded(F.sum("Profit")).alias("TotalProfit"), percent(F.sum("Profit"), F.sum("Revenue")).alias("ProfitMargin"), F.countDistinct("CustomerKey").alias("TotalCustomers"),
-        F.countDistinct("ProductKey").alias("TotalProducts"), F.countDistinct("OrderNumber").alias("TotalOrders"), rounded(F.avg("Revenue")).alias("AvgOrderValue"),
+    """One row of totals and leaders."""
+    return executive_totals(s).select(
+        "TotalRevenue", "TotalProfit", "ProfitMargin", F.col("CustomerKey").alias("TotalCustomers"), F.col("ProductKey").alias("TotalProducts"), F.col("OrderNumber").alias("TotalOrders"), "AvgOrderValue",
+        F.round(F.try_divide("TotalRevenue", "CustomerKey"), 2).alias("AvgCustomerRevenue"), F.col("Territory").alias("HighestRevenueTerritory"), F.col("Product").alias("HighestRevenueProduct"),
     )
-    totals = totals.withColumn("AvgCustomerRevenue", F.round(F.try_divide("TotalRevenue", "TotalCustomers"), 2))
-    return totals.crossJoin(leaders(s))
 
 
 def customer_segmentation(s: Star) -> DataFrame:
@@ -137,13 +161,10 @@ def sales_forecasting_base(s: Star) -> DataFrame:
 
 def executive_summary(s: Star) -> DataFrame:
     """One row: totals, the leading territory and product, and the best month and quarter."""
-    days = s.calendar.select("CalendarKey", "YearMonth", F.concat_ws("-Q", F.col("CalendarYear").cast("string"), F.col("Quarter").cast("string")).alias("YearQuarter"))
-    dated = s.sales.join(days, F.col("OrderDateKey") == F.col("CalendarKey"), "left")
-    by = lambda c: dated.groupBy(c).agg(F.sum("Revenue").alias("_total"))
-    month, quarter = by("YearMonth"), by("YearQuarter")
-    totals = s.sales.agg(rounded(F.sum("Revenue")).alias("TotalRevenue"), rounded(F.sum("Profit")).alias("TotalProfit"), F.countDistinct("CustomerKey").alias("CustomerCount"), F.countDistinct("ProductKey").alias("ProductCount"))
-    out = totals.crossJoin(leaders(s).withColumnsRenamed({"HighestRevenueTerritory": "TopTerritory", "HighestRevenueProduct": "TopProduct"}))
-    return out.crossJoin(month.agg(best(month, "YearMonth").alias("HighestRevenueMonth"))).crossJoin(quarter.agg(best(quarter, "YearQuarter").alias("HighestRevenueQuarter")))
+    return executive_totals(s).select(
+        "TotalRevenue", "TotalProfit", F.col("CustomerKey").alias("CustomerCount"), F.col("ProductKey").alias("ProductCount"), F.col("Territory").alias("TopTerritory"), F.col("Product").alias("TopProduct"),
+        F.col("Month").alias("HighestRevenueMonth"), F.col("Quarter").alias("HighestRevenueQuarter"),
+    )
 
 
 # Domain, key, sources and classification of each published table.

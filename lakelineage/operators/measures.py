@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakelineage.functions.lineage import cut, ranked
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -136,28 +138,41 @@ def share_of_total(rows: DataFrame, by: list[str], over: str, name: str, value:
     return rows.groupBy(*by).agg((revenue() if value is None else value).alias("_v")).withColumn(name, ratio(F.col("_v"), F.sum("_v").over(Window.partitionBy(*rest)))).drop("_v")
 
 
-def top_n_revenue(rows: DataFrame, by: list[str], of: str, n: int, name: str) -> DataFrame:
-    """Revenue of the ``n`` values of ``of`` with the most revenue, ties at the end included, and its share of all.
+def reaching(each: DataFrame, by: list[str], n: int) -> DataFrame:
+    """``each`` (``by``, ``_r``) with ``_in``: whether a row is among the first ``n`` of its group by ``_r``, ties at the end included.
 
-    Values are counted out by rank within a group, over one row per value.
+    The ``n``-th value of a group is found first: over all rows by a limit, of which each task keeps ``n``; within groups
+    by a window of which Spark keeps ``n`` rows before the shuffle. Rows are then compared with it.
     """
+    if not by:
+        least = each.orderBy(F.desc_nulls_last("_r")).limit(n).agg(F.when(F.count("_r") == F.count("*"), F.min("_r")))
+        return each.withColumn("_least", least.scalar()).withColumn("_in", F.coalesce(F.col("_r") >= F.col("_least"), F.col("_least").isNull())).drop("_least")
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("_r")))
+    least = each.withColumn("_nth", nth).where(F.col("_nth") <= n).groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_n"), F.min("_r").alias("_m"), F.count("_r").alias("_known"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    found = each.join(least, same).withColumn("_in", (F.col("_known") < F.col("_n")) | (F.col("_r") >= F.col("_m")))
+    return found.drop("_n", "_m", "_known", *[f"_by_{c}" for c in by])
+
+
+def top_n_revenue(rows: DataFrame, by: list[str], of: str, n: int, name: str) -> DataFrame:
+    """Revenue of the ``n`` values of ``of`` with the most revenue, ties at the end included, and its share of all."""
     each = rows.groupBy(*by, of).agg(F.sum("Revenue").alias("_r"))
-    ranked = each.withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("_r"))))
-    top = F.sum(F.when(F.col("_rank") <= n, F.col("_r"))).cast("double")
-    return ranked.groupBy(*by).agg(top.alias(name), ratio(top, F.sum("_r")).alias(f"{name} share"))
+    top = F.sum(F.when(F.col("_in"), F.col("_r"))).cast("double")
+    return reaching(each, by, n).groupBy(*by).agg(top.alias(name), ratio(top, F.sum("_r")).alias(f"{name} share"))
 
 
 def top_name(rows: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
     """The value of ``of`` with the most revenue; null if several have it."""
     each = rows.groupBy(*by, of).agg(F.sum("Revenue").alias("_r"))
-    ranked = each.withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("_r")))).where("_rank = 1")
-    return ranked.groupBy(*by).agg(F.when(F.count("*") == 1, F.max(of)).alias(name))
+    return reaching(each, by, 1).where("_in").groupBy(*by).agg(F.when(F.count("*") == 1, F.max(of)).alias(name))
 
 
 def dense_revenue_rank(rows: DataFrame, of: str) -> DataFrame:
     """Territory Revenue Rank: dense, most revenue first."""
-    each = rows.groupBy(of).agg(F.sum("Revenue").alias("_r"))
-    return each.select(of, F.dense_rank().over(Window.orderBy(F.desc("_r"))).alias("Territory Revenue Rank"))
+    each = cut(rows.groupBy(of).agg(F.sum("Revenue").alias("_r")))
+    return ranked(each, "_r", "Territory Revenue Rank", dense=True).select(of, "Territory Revenue Rank")
 
 
 # --- time ---

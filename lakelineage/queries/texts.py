@@ -88,10 +88,40 @@ def t_resolve_tiers(spark, d):
     return change.resolve(change.parse(asked), estate(spark, d)[0]).select("request_id", "asset_id", "tier")
 
 
-@query(None)
+# Parts as assets beside the estate: columns and tables of their brands, by turns, under their names.
+PARTS_SQL = f"""WITH {GRAPH_SQL}, things AS (SELECT id, name, asset_type, system, seq FROM assets UNION ALL
+ SELECT CASE p_partkey % 2 WHEN 0 THEN 'table' ELSE 'column' END || '::' || replace(p_brand, '#', '') || '::' || p_partkey, p_name, CASE p_partkey % 2 WHEN 0 THEN 'table' ELSE 'column' END, CASE p_partkey % 3 WHEN 0 THEN 'sql' ELSE 'powerbi' END, 5000000000 + p_partkey FROM part),
+ n AS (SELECT *, lower(regexp_replace(name, '[_ -]+', '', 'g')) AS n, lower(regexp_replace(id, '[_ -]+', '', 'g')) AS i FROM things WHERE name IS NOT NULL)"""
+
+
+def parts_and_estate(spark, d):
+    kind = "CASE p_partkey % 2 WHEN 0 THEN 'table' ELSE 'column' END"
+    parts = read(spark, d, "part").selectExpr(f"{kind} || '::' || replace(p_brand, '#', '') || '::' || p_partkey AS id", "p_name AS name", f"{kind} AS asset_type", "CASE p_partkey % 3 WHEN 0 THEN 'sql' ELSE 'powerbi' END AS system", "5000000000 + p_partkey AS seq")
+    return estate(spark, d)[0].select("id", "name", "asset_type", "system", "seq").unionByName(parts)
+
+
+# Every part's name with a z in its last word, which no name contains: its own name is the closest one.
+@plain(PARTS_SQL + """, own AS (SELECT n, asset_type, arg_min(id, seq) AS id FROM n WHERE i LIKE 'table::%' OR i LIKE 'column::%' GROUP BY 1, 2)
+ SELECT p_partkey AS request_id, o.id AS asset_id, 4 AS tier FROM part JOIN own o ON o.n = lower(replace(p_name, ' ', '')) AND o.asset_type = CASE p_partkey % 2 WHEN 0 THEN 'table' ELSE 'column' END""", False)
 def t_fuzzy(spark, d):
-    asked = read(spark, d, "region").select(F.col("r_regionkey").alias("request_id"), F.concat(F.lit("Drop the x"), F.substring("r_name", 2, 20), F.lit(" table")).alias("request"))
-    return change.resolve(change.parse(asked), estate(spark, d)[0].where("source_rank < 2")).select("request_id", "asset_id", "tier")
+    name = F.regexp_replace(F.replace("p_name", F.lit(" "), F.lit("_")), "_(.)", "_$1z")
+    asked = read(spark, d, "part").select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("Drop the "), name, F.when(F.col("p_partkey") % 2 == 0, " table").otherwise(" column")).alias("request"))
+    return change.resolve(change.parse(asked), parts_and_estate(spark, d)).select("request_id", "asset_id", "tier")
+
+
+# Requests of the first three tiers, by turns: a part's name in its brand, in a brand that may have it, and its name with a word before it.
+PREFER = "CASE WHEN asset_type IN ('column', 'database_column') THEN 1 ELSE 3 END"
+
+
+@plain(PARTS_SQL + f""", q AS (SELECT p_partkey AS request_id, p_partkey % 3 AS form, lower(replace(p_name, ' ', '')) AS q, lower(CASE p_partkey % 3 WHEN 0 THEN replace(p_brand, '#', '') WHEN 1 THEN 'Brand' ELSE '' END) AS hint FROM part),
+ c AS (SELECT request_id, id, CASE WHEN form = 0 AND lower(split_part(id, '::', 2)) = hint AND len(string_split(id, '::')) > 2 THEN 1 ELSE 2 END AS tier, CASE WHEN form < 2 AND NOT contains(i, hint) THEN 1 ELSE 0 END AS away, {PREFER} AS prefer, seq FROM q JOIN n ON n.n = q.q WHERE form < 2
+  UNION ALL SELECT request_id, id, 3, 0, {PREFER}, seq FROM q JOIN (SELECT DISTINCT ON (n, asset_type) * FROM n ORDER BY seq) n ON contains('extra' || q.q, n.n) OR contains(n.n, 'extra' || q.q) WHERE form = 2)
+ SELECT request_id, id AS asset_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY tier, away, prefer, seq) AS nth FROM c) WHERE nth = 1""", False)
+def t_resolve_forms(spark, d):
+    bare = "replace(p_name, ' ', '_')"
+    text = f"CASE p_partkey % 3 WHEN 0 THEN 'Drop the ' || {bare} || ' column from ' || replace(p_brand, '#', '') WHEN 1 THEN 'Drop the ' || {bare} || ' column of Brand' ELSE 'Drop the extra_' || {bare} || ' column' END"
+    asked = read(spark, d, "part").select(F.col("p_partkey").alias("request_id"), F.expr(text).alias("request"))
+    return change.resolve(change.parse(asked), parts_and_estate(spark, d)).select("request_id", "asset_id", "tier")
 
 
 RELEVANCE = "list_filter(['small','gear','blue','rod'], lambda k: contains(lower(p_name), k))"
