@@ -73,12 +73,12 @@ VISUAL = "visual struct<visualType:string,query:struct<queryState:map<string,str
 
 
 def visual_fields(visuals: DataFrame) -> DataFrame:
-    """``file``, ``visual_type``, ``role``, ``entity``, ``property``, ``field_type`` of every projection. ``visuals``: ``file``, ``text``."""
+    """``file``, ``visual_type``, ``role``, ``place`` in it, ``entity``, ``property``, ``field_type`` of every projection. ``visuals``: ``file``, ``text``."""
     parsed = visuals.select("file", F.from_json("text", VISUAL).alias("j")).select("file", F.col("j.visual.visualType").alias("visual_type"), F.explode("j.visual.query.queryState").alias("role", "state"))
-    fields = parsed.select("file", "visual_type", "role", F.explode("state.projections").alias("p"))
+    fields = parsed.select("file", "visual_type", "role", F.posexplode("state.projections").alias("place", "p"))
     pick = lambda k: F.coalesce(F.col(f"p.field.Column.{k}"), F.col(f"p.field.Measure.{k}"))
     kind = F.when(F.col("p.field.Measure").isNotNull(), "measure").when(F.col("p.field.Column").isNotNull(), "column").otherwise("unknown")
-    return fields.select("file", "visual_type", "role", pick("Expression.SourceRef.Entity").alias("entity"), pick("Property").alias("property"), kind.alias("field_type"))
+    return fields.select("file", "visual_type", "role", "place", pick("Expression.SourceRef.Entity").alias("entity"), pick("Property").alias("property"), kind.alias("field_type"))
 
 
 def pages(spark: SparkSession, manifest: str, page_files: str) -> DataFrame:
