@@ -51,14 +51,61 @@ def most_relevant(artifacts: DataFrame, kept: dict[str, int] | None = None) -> D
     return ranked.where((F.col("place") <= F.try_element_at(limit, F.col("kind"))) & ((F.col("score") > 0) | (F.col("_best") == 0))).drop("_best")
 
 
+# Words by which a text speaks of the assets of a bucket.
+BUCKET_WORDS = {
+    "database_tables": ("database table", "sql table", "db table"),
+    "views": ("view", "sql view", "db view"),
+    "materialized_views": ("materialized view", "materialised view"),
+    "stored_procedures": ("stored procedure", "stored proc", "sproc"),
+    "functions": ("udf", "user-defined function", "sql function"),
+    "databricks_notebooks": ("databricks notebook", "notebook", "databricks"),
+    "spark_jobs": ("spark job", "spark cluster", "spark submit"),
+    "delta_live_tables": ("delta live", "dlt pipeline", "delta live table"),
+    "unity_catalog": ("unity catalog", "unity catalogue"),
+    "pipelines": ("pipeline", "etl pipeline", "data pipeline"),
+    "data_factory": ("data factory", "adf", "azure data factory"),
+    "airflow": ("airflow", "dag ", "airflow dag"),
+    "fabric_pipelines": ("fabric pipeline", "microsoft fabric"),
+    "semantic_models": ("semantic model", "dataset", "tabular model"),
+    "powerbi_reports": ("power bi report", "powerbi report", "pbi report", "report page"),
+    "dashboards": ("dashboard",),
+    "apis": (" api ", "rest api", "web api", "api endpoint"),
+    "external_consumers": ("external consumer", "downstream consumer"),
+}
+
+
+def words_of_buckets(buckets: Column) -> Column:
+    """Words of all buckets in an array of their names; buckets without words add none."""
+    words = F.create_map(*[x for b, ws in BUCKET_WORDS.items() for x in (F.lit(b), F.array(*map(F.lit, ws)))])
+    return F.flatten(F.transform(buckets, lambda b: F.coalesce(F.try_element_at(words, b), F.array().cast("array<string>"))))
+
+
+def scrubbed(rows: DataFrame, lists: tuple[str, ...] = ("deployment_plan", "validation_checklist", "rollback_plan")) -> DataFrame:
+    """``rows`` whose ``lists`` lose items that speak of a bucket in ``empty_buckets``, and ``removed``: those items, in order."""
+    rows = rows.withColumn("_words", words_of_buckets(F.coalesce("empty_buckets", F.array().cast("array<string>"))))
+    kept = {c: scrub(F.coalesce(c, F.array().cast("array<string>")), F.col("_words")) for c in lists}
+    gone = F.concat(*[F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda i: F.exists("_words", lambda w: F.contains(F.lower(i), F.lower(w)))) for c in lists])
+    return rows.withColumn("removed", gone).withColumns(kept).drop("_words")
+
+
 def scrub(items: Column, empty_words: Column) -> Column:
     """Items of a list that mention none of the words (of empty buckets), in any case."""
     return F.filter(items, lambda i: ~F.exists(empty_words, lambda w: F.contains(F.lower(i), F.lower(w))))
 
 
+LISTS = ("deployment_plan", "validation_checklist", "rollback_plan")
 TRAILING_COMMA = re.compile(r",(?=\s*[}\]])")
 
 
+def _listed(found: object) -> object:
+    """An object whose plans are lists: a text becomes a list of it, unless it is blank; what else isn't a list goes."""
+    if isinstance(found, dict):
+        for c in LISTS:
+            x = found.get(c)
+            found[c] = x if isinstance(x, list) else [x] if isinstance(x, str) and x.strip() else []
+    return found
+
+
 def json_of(text: str | None) -> str | None:
     """The JSON object in a model's response: the first of a code fence, else of the text; trailing commas are left out."""
     text = text or ""
@@ -66,7 +113,7 @@ def json_of(text: str | None) -> str | None:
     for start in [m for m in (fenced.end() if fenced else -1, text.find("{")) if m >= 0]:
         for candidate in (text[start:], TRAILING_COMMA.sub("", text[start:])):
             try:
-                return json.dumps(json.JSONDecoder().raw_decode(candidate)[0], ensure_ascii=False)
+                return json.dumps(_listed(json.JSONDecoder().raw_decode(candidate)[0]), ensure_ascii=False)
             except ValueError:
                 continue
     return None
@@ -87,7 +134,7 @@ def responses(rows: DataFrame) -> DataFrame:
             yield b.assign(_json=[json_of(t) for t in b["response"]])
 
     parsed = rows.mapInPandas(take, schema).withColumn("_r", F.from_json("_json", RESPONSE))
-    lists = {c: F.coalesce(f"_r.{c}", F.array().cast("array<string>")) for c in ("deployment_plan", "validation_checklist", "rollback_plan")}
+    lists = {c: F.coalesce(f"_r.{c}", F.array().cast("array<string>")) for c in LISTS}
     given = {"executive_summary": F.col("_r.executive_summary"), "risk_level": F.lower("_r.risk_level"), "risk_rationale": F.col("_r.risk_rationale")}
     plain = {c: F.when(F.col("_json").isNull(), UNREADABLE[c]).otherwise(F.coalesce(x, F.lit(LACKING[c]))) for c, x in given.items()}
     return parsed.withColumns(plain | lists).drop("_r", "_json")

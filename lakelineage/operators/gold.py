@@ -11,6 +11,7 @@ from lakelineage.functions.lineage import cut, ranked
 
 # Lifetime revenue from which a customer is of a tier, and the order of tiers.
 TIERS = {"Platinum": 10000, "Gold": 5000, "Silver": 1000, "Bronze": None}
+TIER_ORDER = {"Platinum": 1, "Gold": 2, "Silver": 3, "Bronze": 4}
 HIGH_VALUE = 5000
 TOP_SHARE = 0.10
 
@@ -147,9 +148,11 @@ def executive_kpi(s: Star) -> DataFrame:
 
 def customer_segmentation(s: Star) -> DataFrame:
     life = s.sales.groupBy("CustomerKey").agg(rounded(F.sum("Revenue")).cast("decimal(18,2)").alias("life"), F.round(F.avg("Revenue"), 2).cast("decimal(18,2)").alias("order"), F.round(F.avg("Profit"), 2).cast("decimal(18,2)").alias("profit"))
-    return life.groupBy(tier(F.col("life")).alias("Segment")).agg(
+    place = F.create_map(*[F.lit(x) for kv in TIER_ORDER.items() for x in kv])
+    segments = life.groupBy(tier(F.col("life")).alias("Segment")).agg(
         F.count("CustomerKey").alias("CustomerCount"), rounded(F.sum("life")).alias("TotalRevenue"), rounded(F.avg("order")).alias("AvgOrderValue"), rounded(F.avg("profit")).alias("AvgProfit")
     )
+    return segments.orderBy(F.element_at(place, F.col("Segment")))  # four rows
 
 
 def sales_forecasting_base(s: Star) -> DataFrame:

@@ -42,8 +42,8 @@ def bridge_edges(assets: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reverse_feeds(assets: DataFrame, edges: DataFrame) -> DataFrame:
     """FEEDS edges against the direction of dependencies, between assets of reversible types, where there is none yet."""
-    ok = assets.where(F.col("asset_type").isin(schemas.REVERSIBLE_TYPES)).select("id").distinct()
-    turned = edges.where(F.col("relationship").isin(schemas.REVERSIBLE_EDGES)).select(F.col("target").alias("source"), F.col("source").alias("target"))
+    ok = assets.where(F.col("asset_type").isin(*schemas.REVERSIBLE_TYPES)).select("id").distinct()
+    turned = edges.where(F.col("relationship").isin(*schemas.REVERSIBLE_EDGES)).select(F.col("target").alias("source"), F.col("source").alias("target"))
     for end in ("source", "target"):
         turned = turned.join(ok.withColumnRenamed("id", end), end, "left_semi")
     known = edges.where("relationship = 'FEEDS'").select("source", "target")
@@ -366,10 +366,50 @@ def disconnected(assets: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.join(first, "component")
 
 
+def findings(assets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``check``, ``message``: all warnings about a graph; a row each."""
+    quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    said = lambda rows, check, *parts: rows.select(F.lit(check).alias("check"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("message"))
+    broken = broken_references(assets, edges)
+    there = F.when(F.col("end") == "source", F.concat(F.lit("→ "), quoted("target"))).otherwise(F.concat(quoted("source"), F.lit(" →")))
+    apart = disconnected(assets, edges)
+    return (
+        said(cycle_edges(edges), "cycles", "Cycle detected: ", quoted("source"), " → ", quoted("target"))
+        .unionByName(said(broken, "broken_references", "Broken reference: ", F.col("end"), " ", quoted("id"), " does not exist (in relationship ", there, ")"))
+        .unionByName(said(duplicate_ids(assets), "duplicate_ids", "Duplicate asset id: ", quoted("id")))
+        .unionByName(said(orphans(assets, edges), "dangling_assets", "Dangling asset: ", quoted("id"), " (", F.col("asset_type"), ", ", F.col("system"), ") has no edges"))
+        .unionByName(said(apart, "disconnected_subgraphs", "Disconnected subgraph: ", F.col("size").cast("string"), " assets, such as ", F.array_join("sample", ", ")))
+    )
+
+
+CHECKS = {"cycles": "cycles", "broken_references": "broken_refs", "duplicate_ids": "duplicates", "dangling_assets": "dangling", "disconnected_subgraphs": "disconnected_subgraphs"}
+
+
+def findings_summary(found: DataFrame) -> DataFrame:
+    """One row: ``has_warnings`` and ``summary``, the number of warnings of each check. ``found``: of :func:`findings`."""
+    parts = [F.concat(F.lit(f"{label}="), F.count_if(F.col("check") == check).cast("string")) for check, label in CHECKS.items()]
+    return found.agg((F.count("*") > 0).alias("has_warnings"), F.concat_ws(", ", *parts).alias("summary"))
+
+
+def metrics(assets: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Every metric of a graph by name; totals as one row."""
+    return {
+        "totals": assets.agg(F.count("*").alias("total_assets")).withColumn("total_relationships", edges.agg(F.count("*")).scalar()),
+        "assets_by_system": count_by(assets, "system"),
+        "assets_by_type": count_by(assets, "asset_type"),
+        "dependency_depth": dependency_depth(assets, edges),
+        "critical_path": critical_path(assets, edges),
+        "blast_radius": blast_radius(assets, edges),
+        "top_connected_assets": top_connected(assets, edges),
+        "leaf_assets": leaves(assets, edges),
+        "orphan_assets": orphans(assets, edges),
+    }
+
+
 # --- impact ---
 
 
-def by_bucket(found: DataFrame, assets: DataFrame, buckets: dict[str, str], default: str | None = None) -> DataFrame:
+def by_bucket(found: DataFrame, assets: DataFrame, buckets: dict[str, tuple[str, ...]], default: str | None = None) -> DataFrame:
     """``root``, ``bucket``, ``n``: assets reached, by bucket; every bucket has a row for every root."""
     counted = known_only(found, assets).withColumn("bucket", schemas.bucket(F.col("asset_type"), buckets, default)).where("bucket IS NOT NULL").groupBy("root", "bucket").agg(F.count("*").alias("n"))
     every = found.select("root").distinct().select("root", F.explode(F.array(*map(F.lit, buckets))).alias("bucket"))
@@ -382,7 +422,7 @@ def impact_metrics(found: DataFrame, assets: DataFrame, edges: DataFrame) -> Dat
     goes_on = edges.select(F.col("source").alias("id")).distinct().withColumn("_on", F.lit(True))
     rows = known_only(found, assets).join(goes_on, "id", "left")
     return rows.groupBy("root").agg(
-        F.count("*").alias("total_assets"), F.count_if(F.col("asset_type").isin(schemas.CRITICAL_TYPES)).alias("critical_assets"), F.max("depth").alias("max_depth"), F.countDistinct("system").alias("systems_impacted"),
+        F.count("*").alias("total_assets"), F.count_if(F.col("asset_type").isin(*schemas.CRITICAL_TYPES)).alias("critical_assets"), F.max("depth").alias("max_depth"), F.countDistinct("system").alias("systems_impacted"),
         F.countDistinct(fine).alias("buckets_impacted"), F.count_if(F.col("_on").isNull()).alias("leaf_assets"), F.count_if(F.col("direction") == "upstream").alias("upstream_assets"),
         F.count_if(F.col("direction") == "downstream").alias("downstream_assets"),
     )
@@ -410,11 +450,11 @@ def path_edges(paths: DataFrame) -> DataFrame:
 
 # Stage that each estate bucket is shown in. What is shown before the first is the source of the change.
 STAGES = {
-    "database": "database_tables views materialized_views stored_procedures functions",
-    "etl": "databricks_notebooks spark_jobs delta_live_tables unity_catalog pipelines data_factory airflow fabric_pipelines adls_files apis external_consumers",
-    "semantic": "semantic_models",
-    "reports": "powerbi_reports",
-    "dash": "dashboards",
+    "database": ("database_tables", "views", "materialized_views", "stored_procedures", "functions"),
+    "etl": ("databricks_notebooks", "spark_jobs", "delta_live_tables", "unity_catalog", "pipelines", "data_factory", "airflow", "fabric_pipelines", "adls_files", "apis", "external_consumers"),
+    "semantic": ("semantic_models",),
+    "reports": ("powerbi_reports",),
+    "dash": ("dashboards",),
 }
 
 

@@ -40,25 +40,31 @@ def grams(x: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(x, i, F.lit(size))))
 
 
+def holding(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """``q`` and the columns of ``texts`` but ``text``, distinct: texts that hold a question (distinct, not empty).
+
+    A text is looked up by the question's rarest gram, and not at all if a gram of the question is in no text.
+    """
+    sizes = [r[0] for r in questions.select(F.least(F.lit(GRAM), F.length("q"))).distinct().collect()]  # 1 to GRAM
+    asked = questions.select("q", F.explode(F.coalesce(*[F.when(F.least(F.lit(GRAM), F.length("q")) == n, grams(F.col("q"), n)) for n in sizes or [1]])).alias("gram"))
+    keys = [c for c in texts.columns if c != "text"]
+    listed = texts.select(*keys, "text", F.explode(F.flatten(F.array(*[grams(F.col("text"), n) for n in sizes or [1]]))).alias("gram"))
+    often = listed.join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(often, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"), F.count_if(F.col("_n").isNull()).alias("_gone")).where("_gone = 0")
+    return listed.join(rarest.select("q", "gram"), "gram").where(F.contains("text", "q")).select("q", *keys).distinct()
+
+
 def contained(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``q``, ``name``: pairs of which one is a substring of the other. ``questions``: ``q``, ``names``: ``name``; distinct, not empty.
 
-    A name within a question equals one of its substrings (of a length that some name has). A question within a name
-    shares all its grams with it, so the name is looked up by the question's rarest one, and not at all if a gram of the
-    question is in no name.
+    A name within a question equals one of its substrings (of a length that some name has); for the others see :func:`holding`.
     """
     lengths = names.select(F.length("name").alias("_l")).distinct()
     parts = questions.select("q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("_l")).join(lengths, "_l")
     parts = parts.select("q", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("_l") + 1)).alias("_i"), "_l")
     within = parts.select("q", F.substring(F.col("q"), F.col("_i"), F.col("_l")).alias("name")).distinct().join(names, "name").select("q", "name")
 
-    sizes = [r[0] for r in questions.select(F.least(F.lit(GRAM), F.length("q"))).distinct().collect()]  # 1 to GRAM
-    asked = questions.select("q", F.explode(F.coalesce(*[F.when(F.least(F.lit(GRAM), F.length("q")) == n, grams(F.col("q"), n)) for n in sizes or [1]])).alias("gram"))
-    listed = names.select("name", F.explode(F.flatten(F.array(*[grams(F.col("name"), n) for n in sizes or [1]]))).alias("gram"))
-    often = listed.join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("_n"))
-    rarest = asked.join(often, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"), F.count_if(F.col("_n").isNull()).alias("_gone")).where("_gone = 0")
-    around = listed.join(rarest.select("q", "gram"), "gram").where(F.contains("name", "q")).select("q", "name")
-    return within.unionByName(around).distinct()
+    return within.unionByName(holding(questions, names.select("name", F.col("name").alias("text"))).select("q", "name")).distinct()
 
 
 def counted(x: Column) -> Column:

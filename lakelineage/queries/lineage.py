@@ -255,6 +255,18 @@ def g_broken_refs(spark, d):
     return g.broken_references(*estate(spark, d))
 
 
+def quoted(c):
+    return f"chr(39) || {c} || chr(39)"
+
+
+@plain(f"""WITH RECURSIVE {KNOTTED_SQL} SELECT 'cycles' AS "check", 'Cycle detected: ' || {quoted('source')} || ' → ' || {quoted('target')} AS message FROM hop WHERE EXISTS (SELECT 1 FROM far WHERE root = target AND id = source)
+ UNION ALL SELECT 'broken_references', 'Broken reference: target ' || {quoted('target')} || ' does not exist (in relationship ' || {quoted('source')} || ' →)' FROM edges WHERE NOT unresolved AND target NOT IN (SELECT id FROM assets)
+ UNION ALL SELECT 'dangling_assets', 'Dangling asset: ' || {quoted('id')} || ' (' || asset_type || ', ' || system || ') has no edges' FROM assets WHERE id NOT IN (SELECT source FROM knotted) AND id NOT IN (SELECT target FROM knotted)""", False)
+def g_findings(spark, d):
+    assets, edges = estate(spark, d)
+    return g.findings(assets, knotted(spark, d, edges))
+
+
 @query(f"SELECT id, count(*) AS n FROM {TWICE} GROUP BY 1 HAVING count(*) > 1")
 def g_duplicate_ids(spark, d):
     assets, _ = estate(spark, d)
@@ -300,7 +312,7 @@ def g_artifact_counts(spark, d):
 
 
 def bucket_sql(buckets, default):
-    cases = " ".join(f"WHEN asset_type IN ({', '.join(repr(t) for t in types.split())}) THEN '{b}'" for b, types in buckets.items() if types)
+    cases = " ".join(f"WHEN asset_type IN ({', '.join(repr(t) for t in types)}) THEN '{b}'" for b, types in buckets.items() if types)
     return f"CASE {cases} ELSE {default} END"
 
 
@@ -339,10 +351,10 @@ def g_path_edges(spark, d):
     return g.path_edges(g.simple_paths(estate(spark, d)[1], regions(spark, d), 3))
 
 
-STAGE_SQL = " ".join(f"WHEN bucket IN ({', '.join(repr(b) for b in bs.split())}) THEN '{s}'" for s, bs in g.STAGES.items())
+STAGE_SQL = " ".join(f"WHEN bucket IN ({', '.join(repr(b) for b in bs)}) THEN '{s}'" for s, bs in g.STAGES.items())
 
 
-@query(f"""SELECT CASE WHEN id = 'region::0' THEN 'source' WHEN system = 'powerbi' AND bucket IN ({', '.join(repr(b) for b in g.STAGES['database'].split())}) THEN 'semantic' {STAGE_SQL} ELSE 'unclassified' END AS stage, asset_type, count(*) AS n
+@query(f"""SELECT CASE WHEN id = 'region::0' THEN 'source' WHEN system = 'powerbi' AND bucket IN ({', '.join(repr(b) for b in g.STAGES['database'])}) THEN 'semantic' {STAGE_SQL} ELSE 'unclassified' END AS stage, asset_type, count(*) AS n
  FROM (SELECT *, {bucket_sql(schemas.ESTATE_BUCKETS, "'external_consumers'")} AS bucket FROM assets) GROUP BY 1, 2""")
 def g_stages(spark, d):
     return g.stages(estate(spark, d)[0], "region::0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakelineage.functions import text
-from lakelineage.operators import change
+from lakelineage.operators import change, snapshot
 from lakelineage.queries.lineage import GRAPH_SQL, estate
 from lakelineage.queries.star import read, registry
 from lakelineage.sources import estate as sources
@@ -137,6 +137,59 @@ def t_relevance_topk(spark, d):
     return text.most_relevant(rows).select("kind", "name", "score")
 
 
+# A model made of the tables: nations as tables, parts as columns, suppliers as measures, customers as report pages.
+REQUESTS = "CASE c_custkey % 4 WHEN 0 THEN 'Please drop the gear columns of NATION_' || c_nationkey WHEN 1 THEN 'PROMO (Brand#1' || c_custkey % 10 || ') of nation_' || c_nationkey WHEN 2 THEN 'Rename Supplier#00000000' || c_custkey % 10 || ' and [small]' ELSE 'hello' END"
+STOPS = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+MODEL_SQL = f"""WITH req AS (SELECT c_custkey AS request_id, {REQUESTS} AS request FROM customer),
+ k AS (SELECT request_id, unnest(list_distinct(list_filter(string_split_regex(lower(request), '[\\s,.\\-/\\\\()\\[\\]"'']+'), lambda w: length(w) >= 3 AND w NOT IN ({STOPS})))) AS q FROM req),
+ t AS (SELECT CAST(n_nationkey AS BIGINT) AS seq, n_name AS name, lower(n_name || ' ' || r_name || ' import') AS txt FROM nation JOIN region ON n_regionkey = r_regionkey),
+ m AS (SELECT s_suppkey AS seq, s_name AS name, lower(s_name || ' SUM(NATION_' || s_nationkey || '[x]) NATION_' || s_nationkey) AS txt FROM supplier),
+ c AS (SELECT p_partkey AS seq, p_name AS name, 'NATION_' || p_partkey % 25 AS tab, lower(p_name || ' ' || p_type || ' ' || p_brand) AS txt FROM part),
+ ts AS (SELECT request_id, seq, name, count(*) AS score FROM k JOIN t ON contains(txt, q) GROUP BY ALL), ms AS (SELECT request_id, seq, name, count(*) AS score FROM k JOIN m ON contains(txt, q) GROUP BY ALL),
+ tt AS (SELECT request_id, seq, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, name, seq) AS place FROM ts QUALIFY place <= 5
+  UNION ALL SELECT request_id, seq, place FROM req, (SELECT seq, row_number() OVER (ORDER BY name, seq) AS place FROM t) WHERE place <= 5 AND request_id NOT IN (SELECT request_id FROM ts)),
+ mm AS (SELECT request_id, seq, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, name, seq) AS place FROM ms QUALIFY place <= 8
+  UNION ALL SELECT request_id, seq, place FROM req, (SELECT seq, row_number() OVER (ORDER BY name, seq) AS place FROM m) WHERE place <= 8 AND request_id NOT IN (SELECT request_id FROM ms)),
+ cs AS (SELECT request_id, seq, sum(n) AS score FROM (SELECT request_id, seq, 1 AS n FROM k JOIN c ON contains(txt, q) UNION ALL SELECT request_id, c.seq, 1 FROM tt JOIN t USING (seq) JOIN c ON c.tab = t.name) GROUP BY ALL),
+ cc AS (SELECT request_id, seq, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, name, seq) AS place FROM cs JOIN c USING (seq) QUALIFY place <= 10),
+ near AS (SELECT request_id, name FROM tt JOIN t USING (seq)),
+ rr AS (SELECT request_id, seq, row_number() OVER (PARTITION BY request_id ORDER BY seq) AS place FROM (SELECT DISTINCT request_id, CAST(n_nationkey AS BIGINT) AS seq FROM nation JOIN near ON name IN (n_name, 'NATION_' || (n_nationkey + 7) % 25)) QUALIFY place <= 5),
+ pp AS (SELECT request_id, seq, row_number() OVER (PARTITION BY request_id ORDER BY seq) AS place FROM (
+   SELECT request_id, c_custkey AS seq FROM customer JOIN near ON name = 'NATION_' || c_nationkey UNION SELECT request_id, c_custkey FROM customer JOIN (SELECT request_id, name FROM mm JOIN m USING (seq)) x ON x.name = 'Supplier#' || lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0')) QUALIFY place <= 4),
+ found AS (SELECT request_id, 'table' AS kind, seq, place FROM tt UNION ALL SELECT request_id, 'measure', seq, place FROM mm UNION ALL SELECT request_id, 'column', seq, place FROM cc
+  UNION ALL SELECT request_id, 'relationship', seq, place FROM rr UNION ALL SELECT request_id, 'report', seq, place FROM pp)"""
+
+
+def model_of(spark, d):
+    region = read(spark, d, "region")
+    nation = read(spark, d, "nation")
+    return snapshot.snapshot({
+        "table": nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("cast(n_nationkey AS bigint) AS seq", "n_name AS name", "r_name AS description", "'import' AS source_type"),
+        "column": read(spark, d, "part").selectExpr("p_partkey AS seq", "'NATION_' || p_partkey % 25 AS table_name", "p_name AS name", "p_type AS data_type", "p_brand AS description"),
+        "measure": read(spark, d, "supplier").selectExpr("s_suppkey AS seq", "'M' AS table_name", "s_name AS name", "'SUM(NATION_' || s_nationkey || '[x])' AS expression", "array('NATION_' || s_nationkey) AS referenced_tables"),
+        "relationship": nation.selectExpr("cast(n_nationkey AS bigint) AS seq", "n_name AS from_table", "'id' AS from_column", "'NATION_' || (n_nationkey + 7) % 25 AS to_table", "'id' AS to_column"),
+        "report": read(spark, d, "customer").selectExpr("c_custkey AS seq", "c_name AS page_name", "c_name AS display_name", "array('Supplier#' || lpad(cast(c_custkey % 100 AS string), 9, '0')) AS used_measures", "array('NATION_' || c_nationkey) AS used_tables"),
+    })
+
+
+def requests_of(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.expr(REQUESTS).alias("request"))
+
+
+@query(MODEL_SQL + " SELECT request_id, kind, seq, CAST(place AS INTEGER) AS place FROM found")
+def t_snapshot(spark, d):
+    return snapshot.relevant(requests_of(spark, d), model_of(spark, d))
+
+
+@query(MODEL_SQL + """, shown AS (SELECT request_id, kind, place, 1 AS words FROM found WHERE kind IN ('table', 'relationship') UNION ALL SELECT request_id, kind, place, len(string_split(name, ' ')) FROM found JOIN c USING (seq) WHERE kind = 'column'
+ UNION ALL SELECT request_id, kind, place, 3 FROM found WHERE kind = 'measure' UNION ALL SELECT request_id, kind, place, 2 FROM found WHERE kind = 'report')
+ SELECT request_id, count(*) AS lines, CAST(max(spent) AS BIGINT) AS spent FROM (SELECT request_id, sum(CAST(floor(words * 1.3) AS INTEGER)) OVER (PARTITION BY request_id ORDER BY list_position(['table', 'relationship', 'column', 'measure', 'report'], kind), place) AS spent FROM shown) WHERE spent <= 40 GROUP BY 1""")
+def t_budget(spark, d):
+    shot, asked = model_of(spark, d), requests_of(spark, d)
+    lines = snapshot.within_budget(snapshot.shown(snapshot.relevant(asked, shot), shot), 40)
+    return lines.groupBy("request_id").agg(F.count("*").alias("lines"), F.max("spent").alias("spent"))
+
+
 @query("SELECT p_partkey, array_to_string(list_filter([p_name || ' View', 'Notebook ' || p_brand, p_type], lambda i: NOT contains(lower(i), 'view') AND NOT contains(lower(i), 'gear')), '|') AS kept FROM part")
 def t_scrub(spark, d):
     items = F.array(F.concat("p_name", F.lit(" View")), F.concat(F.lit("Notebook "), "p_brand"), F.col("p_type"))
@@ -190,8 +243,8 @@ def t_model_objects(spark, d):
 
 
 @query("""SELECT CASE n WHEN 1 THEN 'Total ' || p_partkey ELSE 'Twice' END AS name, 'T' || p_partkey AS "table", CASE n WHEN 1 THEN 'T' || p_partkey ELSE '' END AS tables, CASE n WHEN 1 THEN 'T' || p_partkey || '[Size]' ELSE '' END AS columns,
- CASE n WHEN 1 THEN '' ELSE 'Total ' || p_partkey END AS measures FROM part, (VALUES (1), (2)) v(n) WHERE p_partkey BETWEEN 1 AND 5 AND (n = 1 OR p_partkey = 1)""")
+ CASE n WHEN 1 THEN '' ELSE 'Total ' || p_partkey END AS measures FROM part, (VALUES (1), (2)) v(n)""")
 def t_model_annotated(spark, d):
-    objs = semantic_model.objects(model_files(spark, d)).where("table IN ('T1','T2','T3','T4','T5') AND (name <> 'Twice' OR table = 'T1')")
+    objs = semantic_model.objects(model_files(spark, d))
     joined = lambda c, n: F.array_join(c, "|").alias(n)
     return semantic_model.annotated_measures(objs).select("name", "table", joined("referenced_tables", "tables"), joined("referenced_columns", "columns"), joined("referenced_measures", "measures"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,14 @@ except ImportError:  # workflows can't be read then
     yaml = None
 
 # Names of inventory columns, in lower case.
-INVENTORY = {"filename": "file_name", "container": "container", "folder": "folder", "format": "format", "description": "description", "bronzetable": "target"}
+INVENTORY = {
+    "file_name": ("filename", "file_name"),
+    "container": ("container",),
+    "folder": ("folder",),
+    "format": ("format",),
+    "description": ("description",),
+    "target": ("bronzetable", "bronze_table", "target", "target_table"),
+}
 
 
 def workflow_rows(text: str | None) -> list[tuple]:
@@ -66,7 +74,8 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a file inventory; headers in any case, further columns left out, blank file names too."""
     raw = spark.read.csv(path, header=True)
     named = {c.strip().lower(): c for c in raw.columns}
-    rows = raw.select(*[F.nullif(F.trim(F.col(f"`{named[k]}`")), F.lit("")).alias(v) if k in named else F.lit(None).cast("string").alias(v) for k, v in INVENTORY.items()])
+    last = {v: [c for k, c in named.items() if k in names][-1:] for v, names in INVENTORY.items()}  # of several names for one field the last column counts
+    rows = raw.select(*[F.nullif(F.trim(F.col(f"`{c[0]}`")), F.lit("")).alias(v) if c else F.lit(None).cast("string").alias(v) for v, c in last.items()])
     return rows.where("file_name IS NOT NULL")
 
 
@@ -111,26 +120,36 @@ def placed(rows: DataFrame, name: str, *by: str) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(F.encode(F.concat_ws(" ", *by), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long").alias(name)
 
 
-def load(sources: dict[str, Callable[[], tuple[DataFrame, DataFrame]]]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+def load(sources: dict[str, Callable[[], tuple[DataFrame, DataFrame]]], registry: bool = False) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """Merged assets and edges of all sources in order, bridged and with reversed edges, and what failed.
 
     A source that fails is left out and reported; the first of equal assets and edges stays. A source is written to a
     table before it is merged, so one that fails on read is left out too, and its rows keep one order: by ``seq`` and
-    ``edge_seq`` if it has them, else by name.
+    ``edge_seq`` if it has them, else by name. As a ``registry``, all edges stay as they are, repeated ones too, and none is
+    added. A source whose frames lack columns raises, since that is no fault of its data.
     """
     assets = edges = None
     failed: dict[str, str] = {}
     for rank, (name, source) in enumerate(sources.items()):
         try:
             a, e = source()
-            a = cut(a.select("id", "name", "asset_type", "system", F.lit(rank).alias("source_rank"), placed(a, "seq", "id")))
-            e = cut(e.select("source", "target", "relationship", F.lit(rank).alias("source_rank"), placed(e, "edge_seq", "source", "target", "relationship")))
         except Exception as problem:  # noqa: BLE001  what a source raises stays its own
             failed[name] = f"{type(problem).__name__}: {problem}"
             continue
+        a = a.select("id", "name", "asset_type", "system", F.lit(rank).alias("source_rank"), placed(a, "seq", "id"))
+        e = e.select("source", "target", "relationship", F.lit(rank).alias("source_rank"), placed(e, "edge_seq", "source", "target", "relationship"))
+        try:
+            a, e = cut(a), cut(e)
+        except AnalysisException:  # of the plans above, not of a source
+            raise
+        except Exception as problem:  # noqa: BLE001
+            failed[name] = f"{type(problem).__name__}: {problem}"
+            continue
         assets, edges = (a, e) if assets is None else (assets.unionByName(a), edges.unionByName(e))
     if assets is None:
         raise ValueError(f"no source could be read: {failed}")
+    if registry:
+        return graph.dedup_assets(assets), edges, failed
     assets, edges = graph.dedup_assets(assets), graph.dedup_edges(edges)
     for made in (graph.bridge_edges, graph.reverse_feeds):
         edges = edges.unionByName(made(assets, edges).withColumns({"source_rank": F.lit(99), "edge_seq": F.xxhash64("source", "target")}))

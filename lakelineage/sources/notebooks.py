@@ -34,7 +34,12 @@ WRITES = (
     r"(?i)\bINSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?(\w[\w.]*\w)",
 )
 IMPORT_LINE = r"(?im)^[ \t]*(?:from\s+[\w.]+\s+import\b|import\s+[\w, .]+).*$"
-KEYWORDS = "select where join inner left right outer full cross on group order having limit union except intersect with as values set using lateral tablesample unnest pivot unpivot qualify import".split()
+KEYWORDS = (
+    "select", "where", "join", "inner", "left", "right", "outer", "full", "cross",
+    "on", "group", "order", "having", "limit", "union", "except", "intersect", "with",
+    "as", "values", "set", "using", "lateral", "tablesample", "unnest", "pivot", "unpivot",
+    "qualify", "import",
+)
 
 
 def headers(files: DataFrame, merge_blocks: bool = False) -> DataFrame:
@@ -75,7 +80,7 @@ def header_edges(found: DataFrame) -> DataFrame:
 def _tables(source: Column, patterns: tuple[str, ...]) -> Column:
     clean = F.regexp_replace(source, IMPORT_LINE, "")
     all_ = F.flatten(F.array(*[F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in patterns]))
-    return F.array_distinct(F.filter(all_, lambda t: ~F.lower(t).isin(KEYWORDS)))
+    return F.array_distinct(F.filter(all_, lambda t: ~F.lower(t).isin(*KEYWORDS)))
 
 
 def reads(source: Column) -> Column:

@@ -114,9 +114,9 @@ def annotated_measures(objs: DataFrame) -> DataFrame:
     asked = {"referenced_tables": (F.array_distinct(F.transform(named, lambda c: F.substring_index(c, "[", 1))), tables), "referenced_columns": (named, columns), "referenced_measures": (measure_refs(F.col("expression")), names)}
     out = measures
     for column, (refs, there) in asked.items():
-        found = measures.select(F.col("name").alias("_name"), F.explode(refs).alias("ref")).join(there, "ref", "left_semi")
-        found = found.groupBy("_name").agg(F.sort_array(F.collect_set("ref")).alias(column))
-        out = out.join(found, F.col("name") == F.col("_name"), "left").drop("_name").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+        found = measures.select(F.col("table").alias("_table"), F.col("name").alias("_name"), F.explode(refs).alias("ref")).join(there, "ref", "left_semi")
+        found = found.groupBy("_table", "_name").agg(F.sort_array(F.collect_set("ref")).alias(column))
+        out = out.join(found, (F.col("name") == F.col("_name")) & F.col("table").eqNullSafe(F.col("_table")), "left").drop("_name", "_table").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
     return out
 
 
