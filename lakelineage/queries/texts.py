@@ -248,3 +248,17 @@ def t_model_annotated(spark, d):
     objs = semantic_model.objects(model_files(spark, d))
     joined = lambda c, n: F.array_join(c, "|").alias(n)
     return semantic_model.annotated_measures(objs).select("name", "table", joined("referenced_tables", "tables"), joined("referenced_columns", "columns"), joined("referenced_measures", "measures"))
+
+
+# A partition for every part: three ways of opening its table, by turns, with commas in texts and steps that lead nowhere.
+OPENED = """CASE p_partkey % 3 WHEN 0 THEN format_string('let\n    Source = Databricks.Catalogs("host, %d", "/w", [A=null, B="x"]),\n    db_Database = Source{[Name="ws",Kind="Database"]}[Data],\n    g = db_Database{[Name="gold",Kind="Schema"]}[Data],\n    Unused = Source{[Name="no",Kind="Table"]}[Data],\n    T = g{[Name="t%d",Kind="Table"]}[Data]\nin\n    T', p_partkey, p_partkey)
+ WHEN 1 THEN format_string('let\n    Source = Sql.Database("server", "db"),\n    #"Opened it" = Source{[Schema="dbo",Item="t%d"]}[Data], // a, comment\n    Kept = Table.SelectRows(#"Opened it", each [Size] > 1)\nin\n    Kept', p_partkey)
+ ELSE 'Csv.Document(File.Contents("a,b.csv"))' END"""
+
+
+@query("""SELECT 'T' || p_partkey AS "table", CASE p_partkey % 3 WHEN 0 THEN 'Databricks.Catalogs' WHEN 1 THEN 'Sql.Database' ELSE 'Csv.Document' END AS connector, CASE p_partkey % 3 WHEN 0 THEN 'ws' END AS database,
+ CASE p_partkey % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'dbo' END AS schema, CASE WHEN p_partkey % 3 < 2 THEN 't' || p_partkey END AS item, CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END + CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS steps FROM part""")
+def t_m_sources(spark, d):
+    text_ = F.concat(F.format_string("table T%d\n\tlineageTag: x\n\n\tpartition P = m\n\t\tmode: import\n\t\tsource =\n", F.col("p_partkey")), F.concat(F.lit("\t\t\t\t"), F.replace(F.expr(OPENED), F.lit("\n"), F.lit("\n\t\t\t\t"))), F.lit("\n"))
+    docs = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), text_.alias("text"))
+    return semantic_model.m_sources(semantic_model.objects(docs)).drop("file")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakelineage.functions.lineage import cut
+from lakelineage.operators import graph
 from lakelineage.sources.files import blocks, lines, texts
 
 INTERNAL = "^(DateTableTemplate_|LocalDateTable_)"
@@ -32,7 +34,7 @@ def first_by_key(entries: Column) -> Column:
 def objects(files: DataFrame) -> DataFrame:
     """A row per table, column, measure and partition of TMDL table files.
 
-    ``table``, ``kind``, ``name``, ``expression`` (of measures), ``props`` and ``annotations`` (values by name, the first
+    ``table``, ``kind``, ``name``, ``expression`` (of measures and partitions), ``props`` and ``annotations`` (values by name, the first
     of each), ``is_hidden``. Lines belong to the last header at or above them; hierarchies and what they hold are left out.
     """
     rows = lines(files)
@@ -52,6 +54,7 @@ def objects(files: DataFrame) -> DataFrame:
     name = F.when(kind.isin("measure", "partition"), F.regexp_extract(rest, r"^('(?:[^']|'')+'|[^=]+?)\s*=", 1)).otherwise(rest)
     own = F.trim(F.regexp_extract(rest, r"=\s*(.*)$", 1))
     expression = F.when(kind == "measure", F.when(own != "", own).otherwise(F.trim(F.array_join(F.transform("body", lambda x: x["v"]), "\n"))))
+    expression = F.when(kind == "partition", F.nullif(F.array_join(F.transform("body", lambda x: x["v"]), "\n"), F.lit(""))).otherwise(expression)
     source = F.when(kind == "partition", own)
     out = grouped.select("file", kind.alias("kind"), unquoted(name).alias("name"), expression.alias("expression"), "props", "annotations", "is_hidden", source.alias("source_type"), F.col("block").alias("pos"))
     return out.join(table.select("file", unquoted(F.col("table")).alias("table")), "file")
@@ -120,6 +123,63 @@ def annotated_measures(objs: DataFrame) -> DataFrame:
     return out
 
 
+# Tokens of an M expression: texts, quoted names, brackets, commas, signs, names and the rest.
+M_TOKEN = r"\"(?:[^\"]|\"\")*\"|#\"(?:[^\"]|\"\")*\"|//[^\n]*|=>|[\[\]{}(),=]|[\w.]+|[^\s\w]"
+
+
+def m_steps(objs: DataFrame) -> DataFrame:
+    """``file``, ``table``, ``name``, ``step`` (its number), ``body`` (its text) and ``is_result`` of each step of a partition's ``let``.
+
+    The expression is cut into tokens, a row each; commas outside all brackets end a step, and ``in`` ends the steps.
+    Windows run over one expression. A partition without ``let`` is one step, its result.
+    """
+    rows = objs.where("kind = 'partition' AND expression IS NOT NULL").select("file", "table", F.posexplode(F.regexp_extract_all("expression", F.lit(M_TOKEN), F.lit(0))).alias("pos", "t"))
+    each = Window.partitionBy("file", "table").orderBy("pos")
+    move = F.when(F.col("t").isin("[", "{", "("), 1).when(F.col("t").isin("]", "}", ")"), -1).otherwise(0)
+    rows = rows.where(~F.col("t").startswith("//")).withColumn("depth", F.sum(move).over(each)).withColumn("top", (F.col("depth") == 0) & (move == 0))
+    opens, ends = F.col("top") & (F.col("t") == "let"), F.col("top") & (F.col("t") == "in")
+    cut_ = F.when(F.col("top") & (F.col("t") == ","), 1).when(ends, 1).otherwise(0)
+    rows = rows.withColumns({"step": F.sum(cut_).over(each), "is_result": F.max(F.when(ends, 1).otherwise(0)).over(each) == 1}).where(~(opens | ends | (F.col("top") & (F.col("t") == ","))))
+    first_sign = F.min(F.when(F.col("top") & (F.col("t") == "="), F.col("pos"))).over(Window.partitionBy("file", "table", "step"))
+    rows = rows.withColumn("_sign", first_sign).groupBy("file", "table", "step").agg(
+        F.max("is_result").alias("is_result"), F.min(F.when(F.col("pos") < F.col("_sign"), F.col("t"))).alias("name"),
+        F.sort_array(F.collect_list(F.when(F.col("_sign").isNull() | (F.col("pos") > F.col("_sign")), F.struct("pos", "t")))).alias("_tokens"),
+    )
+    lone = F.max(F.col("is_result").cast("int")).over(Window.partitionBy("file", "table")) == 0  # no let
+    return rows.select("file", "table", "step", F.coalesce("name", F.lit("in")).alias("name"), F.transform("_tokens", lambda x: x["t"]).alias("tokens"), (F.col("is_result") | lone).alias("is_result"))
+
+
+def m_sources(objs: DataFrame) -> DataFrame:
+    """``file``, ``table``, ``connector``, ``database``, ``schema``, ``item`` and ``steps`` of each partition: where its rows come from.
+
+    References between steps are followed from the result to the source, over all partitions at once; each step that
+    navigates names what it opens (``{[Name="x",Kind="Table"]}``).
+    """
+    steps = cut(m_steps(objs))
+    key = lambda name: F.concat_ws("\u0001", "file", "table", name)
+    known = steps.where("name <> 'in'").select("file", "table", F.col("name").alias("ref"))
+    refs = steps.select("file", "table", "name", F.explode(F.array_distinct("tokens")).alias("ref")).where("name <> ref").join(known, ["file", "table", "ref"])
+    edges = refs.select(key("name").alias("source"), key("ref").alias("target"), F.lit(0).cast("long").alias("edge_seq"))
+    results = steps.where("is_result").select(key("name").alias("id"))
+    used = graph.reach(edges, results).select("root", "id").unionByName(results.select(F.col("id").alias("root"), "id"))
+    text = F.array_join("tokens", "")
+    inside = lambda field: F.nullif(F.regexp_replace(F.regexp_extract(text, rf'\{{\[(?:.*,)?{field}=("(?:[^"]|"")*")', 1), '^"|"$', ""), F.lit(""))
+    call = F.nullif(F.regexp_extract(text, r"^([A-Z]\w*\.\w+)\(", 1), F.lit(""))
+    parts = steps.select("file", "table", key("name").alias("id"), F.coalesce(inside("Name"), inside("Item")).alias("_name"), F.coalesce(F.lower(inside("Kind")), F.when(inside("Item").isNotNull(), F.lit("table"))).alias("_kind"), inside("Schema").alias("_schema"), call.alias("_call"))
+    goes_on = edges.select(F.col("source").alias("id")).distinct().withColumn("_on", F.lit(True))
+    parts = parts.join(goes_on, "id", "left").withColumn("_call", F.when(F.col("_on").isNull(), F.col("_call")))  # a connector refers to no step
+    of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_name")))
+    return used.join(parts, "id").groupBy("file", "table", "root").agg(
+        F.max("_call").alias("connector"), of("database").alias("database"), F.coalesce(of("schema"), F.max("_schema")).alias("schema"), F.coalesce(of("table"), of("view")).alias("item"), F.count("*").alias("steps")
+    ).drop("root")
+
+
+def m_edges(sources: DataFrame) -> DataFrame:
+    """READS edges from model tables to the tables that their partitions open. ``sources``: of :func:`m_sources`."""
+    there = F.concat(F.lit("delta_table::"), F.concat_ws(".", "schema", "item"))
+    return sources.where("item IS NOT NULL").select(F.concat(F.lit("table::"), "table").alias("source"), there.alias("target"), F.lit("READS").alias("relationship")).distinct()
+
+
 def annotated_reports(found: DataFrame, fields: DataFrame) -> DataFrame:
     """Pages (``page``) with the sorted ``used_measures``, ``used_columns`` and ``used_tables`` of their visuals."""
     sorted_ = lambda when, x, name: F.sort_array(F.collect_set(F.when(when, x))).alias(name)
