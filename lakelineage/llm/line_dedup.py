@@ -54,20 +54,19 @@ def segment(length: Column, i: int | Column, segments: int) -> tuple[Column, Col
     return base * i + F.greatest(F.lit(0), i - short), base + (i >= short).cast("int")
 
 
-def entries(edits: int) -> tuple[Column, Column]:
-    """Index keys and probe keys of ``line``, as arrays."""
+def entries(edits: int) -> tuple[list[Column], list[int]]:
+    """Probe keys of ``line``, and which of them are its index keys as well: its own segments, by its own length."""
     n = F.length("line")
-    key = lambda size, i, start, width: F.xxhash64(size, F.lit(i), F.substring("line", start + 1, width))
-    own = F.array(*[key(n, i, *segment(n, i, edits + 1)) for i in range(edits + 1)])
-    probes = []
+    probes, own = [], []
     for less in range(edits + 1):  # the indexed line is shorter by so much, or as long
         size = n - less
         for i in range(edits + 1):
             start, width = segment(size, i, edits + 1)
             before, after = i, edits - i  # edits that can lie before the segment, and after it
             for shift in range(max(-before, less - after), min(before, less + after) + 1):
-                probes.append(key(size, i, start + shift, width))
-    return own, F.array(*probes)
+                own += [len(probes)] * (less == 0 and shift == 0)
+                probes.append(F.xxhash64(size, F.lit(i), F.substring("line", start + shift + 1, width)))
+    return probes, own
 
 
 def rest(s: Column, start: Column) -> Column:
@@ -206,16 +205,24 @@ def near_at_hot(hot: DataFrame, edits: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found).where("a <> b").distinct()
 
 
-def mostly_there(a: Column, b: Column, edits: int, segments: int) -> Column:
-    """Whether the longer text has all but ``edits`` of the shorter one's segments near their places."""
-    longer = F.when(F.length(a) >= F.length(b), a).otherwise(b)
-    shorter = F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    n, there = F.length(shorter), F.lit(0)
+def by_length(a: str, b: str) -> dict[str, Column]:
+    """``_longer`` and ``_shorter`` of two texts, computed once for what follows."""
+    first = F.length(a) >= F.length(b)
+    return {"_longer": F.when(first, F.col(a)).otherwise(F.col(b)), "_shorter": F.when(first, F.col(b)).otherwise(F.col(a))}
+
+
+def mostly_there(edits: int, segments: int) -> Column:
+    """Whether ``_longer`` has all but ``edits`` of the ``segments`` of ``_shorter`` (of ``_n`` code points) near their places.
+
+    Half of them are looked for first, which tells most pairs off.
+    """
+    found = []
     for i in range(segments):
-        start, width = segment(n, i, segments)
+        start, width = segment(F.col("_n"), i, segments)
         first = F.greatest(F.lit(0), start - edits)
-        there = there + F.contains(F.substring(longer, first + 1, start - first + width + edits), F.substring(shorter, start + 1, width)).cast("int")
-    return there >= segments - edits
+        found.append(F.contains(F.substring("_longer", first + 1, start - first + width + edits), F.substring("_shorter", start + 1, width)).cast("int"))
+    half = found[::2]
+    return (reduce(Column.__add__, half) >= len(half) - edits) & (reduce(Column.__add__, found) >= segments - edits)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -273,13 +280,14 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     if edits not in (0, 1, 2):
         raise ValueError("lines are compared within 0, 1 or 2 edits")
     lines = lines_of(docs, least)
-    own, probed = entries(edits)
-    # What is shuffled of a line are its keys; equal lines have equal ones.
-    keyed = lines.select("id", own.alias("own"), probed.alias("probed")).groupBy("id").agg(F.any_value("own").alias("own"), F.any_value("probed").alias("probed"))
+    probes, own = entries(edits)
+    # What is shuffled of a line are its keys, as numbers; equal lines have equal ones.
+    names = [f"k{i}" for i in range(len(probes))]
+    keyed = stored(lines.select("id", *[k.alias(c) for k, c in zip(probes, names, strict=True)]).groupBy("id").agg(*[F.min(c).alias(c) for c in names]))
     each = Window.partitionBy("key")
-    index = keyed.select(F.col("id").alias("a"), F.explode("own").alias("key")).withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
+    index = keyed.select(F.col("id").alias("a"), F.explode(F.array(*[names[i] for i in own])).alias("key")).withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
     index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
-    probes = keyed.select(F.col("id").alias("b"), F.explode("probed").alias("key"))
+    probes = keyed.select(F.col("id").alias("b"), F.explode(F.array(*names)).alias("key"))
     # Every line probes its own segments too, so a line with a hot segment shows up as the one that probes it.
     met = index.join(probes, "key").where("hot OR a <> b")
     met = met.select(F.when(F.col("hot"), F.col("b")).otherwise(F.least("a", "b")).alias("a"), F.when(~F.col("hot"), F.greatest("a", "b")).alias("b"))
@@ -296,7 +304,7 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
     pairs = met.where("b IS NOT NULL")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.where(mostly_there(F.col("la"), F.col("lb"), edits, CHECKED))
+    both = both.withColumns(by_length("la", "lb")).withColumn("_n", F.length("_shorter")).where(mostly_there(edits, CHECKED))
     links = stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
     hot = met.where("b IS NULL").select(F.col("a").alias("id"))
     if not edits or hot.isEmpty():

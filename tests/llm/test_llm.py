@@ -563,12 +563,13 @@ def test_banded_distance_and_segments(spark):
     for e in (1, 2):
         assert pairs.where(line_dedup.within(F.col("a"), F.col("b"), e) != (F.col("d") <= e)).count() == 0
         near = [(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and lev(a, b) <= e and min(len(a), len(b)) > e]
-        own, probed = line_dedup.entries(e)
-        index, probes = lines.select(F.col("id").alias("a"), F.explode(own).alias("key")), lines.select(F.col("id").alias("b"), F.explode(probed).alias("key"))
+        keys, own = line_dedup.entries(e)
+        index, probes = lines.select(F.col("id").alias("a"), F.explode(F.array(*[keys[i] for i in own])).alias("key")), lines.select(F.col("id").alias("b"), F.explode(F.array(*keys)).alias("key"))
         met = {(r.a, r.b) for r in index.join(probes, "key").select("a", "b").collect()}
         assert near and all((i, j) in met or (j, i) in met for i, j in near)
         k = e + 2
-        assert pairs.where((F.col("d") <= e) & (F.least(F.length("a"), F.length("b")) >= k) & ~line_dedup.mostly_there(F.col("a"), F.col("b"), e, k)).count() == 0
+        ordered = pairs.withColumns(line_dedup.by_length("a", "b")).withColumn("_n", F.length("_shorter"))
+        assert ordered.where((F.col("d") <= e) & (F.col("_n") >= k) & ~line_dedup.mostly_there(e, k)).count() == 0
 
 
 @pytest.mark.parametrize("edits,small,short", [(1, 2, 3), (2, 2, 3)])
