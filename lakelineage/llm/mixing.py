@@ -3,8 +3,9 @@
 Each source has a target in words. A document of a source whose target is ``m`` times its size goes in ``floor(m)``
 times for certain; for the rest of the target, each document has an inclusion probability, in proportion to a weight
 (the square root of its size by default, so that long documents are preferred but don't fill the mix), such that the
-expected words are the rest. Documents are ranked by ``u / (1 - u)`` divided by the odds of their probability (Pareto
-order sampling), and taken in that order until the rest is reached.
+expected words are the rest. Where that gives a probability of 1 or more, the document is taken for certain and what is
+left is shared anew among the others, until no probability reaches 1. Documents are ranked by ``u / (1 - u)`` divided by
+the odds of their probability (Pareto order sampling), and taken in that order until the rest is reached.
 """
 
 from __future__ import annotations
@@ -42,6 +43,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return leveled.withColumn("_final", final).select("source", "source_size", target.alias("target"))
 
 
+def certain(steps: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` (``source``, ``_rest``) with ``_sure``, the least weight of documents taken for certain, and what the others share.
+
+    ``steps``: ``source``, ``_weight``, ``_words``, ``_mass`` (words times weight), a row per source and distinct weight, which are
+    as many as distinct sizes by default. From the largest weight down, a weight is certain while its share of what is
+    left, ``left * weight / mass left``, is 1 or more; that is the set that taking and sharing anew, again and again, ends at.
+    """
+    rows = steps.join(targets.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    down = Window.partitionBy("source").orderBy(F.desc("_weight"))
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("source")
+    left = F.col("_rest") - (F.sum("_words").over(upto) - F.col("_words"))
+    mass = (F.sum("_mass").over(whole) - F.sum("_mass").over(upto) + F.col("_mass")).cast("double")
+    here = (F.col("_weight") > 0) & (left > 0) & (left * F.col("_weight") >= mass)
+    rows = rows.withColumn("_here", here).withColumn("_in", F.min(F.col("_here").cast("int")).over(upto) == 1)
+    out = rows.groupBy("source").agg(
+        F.min(F.when(F.col("_in"), F.col("_weight"))).alias("_sure"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("_words"))), F.lit(0)).alias("_taken"),
+        F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_words"))), F.lit(0)).alias("_open"), F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_mass"))).cast("double"), F.lit(0.0)).alias("_total"),
+    )
+    both = targets.join(out.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    return both.withColumn("_rest", F.col("_rest") - F.col("_taken")).drop("_taken")
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, inclusion: Column | None = None
 ) -> DataFrame:
@@ -62,13 +86,13 @@ def mix(
     weight = F.sqrt("size") if inclusion is None else F.greatest(F.lit(0.0), F.coalesce(inclusion.cast("double"), F.lit(1.0)))
     rows = rows.withColumn("size", word_count("text")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_u", u).withColumn("_weight", weight)
     # Sums of weights as decimals, so that no order of adding changes them.
-    sizes = checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") * F.col("_weight")).cast("decimal(38,6)")).cast("double").alias("_total")))
-    totals = sizes.select(F.col("source").alias("_s"), "_total")
-    targets = source_targets(sizes.drop("_total"), weights, share, most)
-    targets = checkpoint(targets.join(totals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))  # one row per source
+    steps = checkpoint(rows.groupBy("source", "_weight").agg(F.sum("size").alias("_words"), F.sum((F.col("size") * F.col("_weight")).cast("decimal(38,6)")).alias("_mass")))
+    sizes = checkpoint(steps.groupBy("source").agg(F.sum("_words").alias("source_size")))
+    targets = source_targets(sizes, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    targets = targets.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(F.lit(0.0)))
+    targets = certain(steps, targets).withColumn("_p", F.when(F.col("_open") > 0, F.col("_rest") / F.col("_open")).otherwise(F.lit(0.0))).drop("_open")
+    targets = checkpoint(targets)  # one row per source
 
     # The rank: random odds over inclusion odds. q / (1 + q) lies in (0, 1), in the same order, and is easy to bin.
     bounded = lambda p: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
@@ -82,6 +106,8 @@ def mix(
         .withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_q") / (F.col("_q") + (1 - F.col("_q")) * (1 - p) / p) * BINS)).cast("int"))
     )
     # Words before each bin of a source: a histogram, so that no source's documents meet in one task.
+    taken = ranked.where(F.col("_weight") >= F.col("_sure")).withColumns({"_before": F.lit(0).cast("long"), "_in": F.lit(True), "_out": F.lit(False), "_more": F.lit(True)})
+    ranked = ranked.where(F.coalesce(F.col("_weight") < F.col("_sure"), F.lit(True)))
     bins = ranked.groupBy("source", "_bin", "_rest").agg(F.sum("size").alias("_words"))
     upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_bin"))
     bins = bins.withColumn("_before", upto - F.col("_words")).select(
@@ -92,8 +118,8 @@ def mix(
     sure = binned.where(~edge).withColumn("_more", F.col("_in"))
     ahead = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_q", "_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     near = binned.where(edge).withColumn("_more", F.col("_before") + F.coalesce(ahead, F.lit(0)) + F.col("size") / 2 <= F.col("_rest"))
-    out = sure.unionByName(near).withColumn("taken", (F.col("size") * (F.col("_whole") + F.col("_more").cast("long"))).cast("long"))
-    return out.drop("_h", "_u", "_weight", "_total", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_in", "_out", "_more")
+    out = taken.unionByName(sure).unionByName(near).withColumn("taken", (F.col("size") * (F.col("_whole") + F.col("_more").cast("long"))).cast("long"))
+    return out.drop("_h", "_u", "_weight", "_total", "_sure", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_in", "_out", "_more")
 
 
 def copies(mixed: DataFrame) -> DataFrame:
