@@ -1,11 +1,14 @@
 r"""Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
-Regular forms (e-mail, IP, card and phone numbers) are the seeds. The words before a seed are a lexical pattern; so is
-what stands before any other token that holds a digit or ``@``. Patterns and the instances (tokens) that they introduce
+Regular forms (e-mail, IP, card and phone numbers) are the seeds; so are long tokens of letters and digits, as secrets.
+The two words before a seed, the word before it and the word after it are lexical patterns, from rare to general; so is
+what stands around any other token that holds a digit or ``@``. Patterns and the instances (tokens) that they introduce
 form a bipartite graph, which is scored in rounds: a pattern is as sure of a kind as the mean of its instances; a seed is
 wholly sure, another instance as the sure patterns that introduce it together, leaving out the pattern that is scored.
 Rounds go on until no further pattern becomes sure, so what one pattern discovers makes others sure, seeds or not. Sure
-patterns with enough support add the unseen tokens that they introduce.
+patterns with enough support add the unseen tokens that they introduce, and secrets, which count as personal data only where a sure pattern
+introduces them. Where patterns disagree, the surest one says what a token is. Of the words around a token, those within
+CONTEXT code points are read; a pattern needs SUPPORT distinct instances.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from lakelineage.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)  # the kind of spans that only context adds
+NAMES = (*KINDS, "secret")
 #: The given forms. Where a match can't begin in the middle of a run, that is said, so that no run is read twice; groups
 #: are possessive, which changes no match (what follows a group can't be in it) and needs no stack.
 FORMS = {
@@ -31,7 +36,7 @@ CONTEXT = 60  # code points before a token in which its pattern's words are read
 SUPPORT = 5  # distinct instances that a pattern has at least
 SURE = 0.8  # mean score of a pattern that adds spans
 SPAN = "array<struct<kind:int,start:bigint,end:bigint>>"
-TOKENS = "array<struct<match:string,start:bigint,end:bigint,before:string>>"
+TOKENS = "array<struct<match:string,start:bigint,end:bigint,before:string,after:string>>"
 FOUND = "array<struct<kind:int,start:bigint,end:bigint,match:string>>"
 
 
@@ -58,7 +63,7 @@ def holds(kind: str, match: Column) -> Column:
 
 
 def located(text: Column, form: str) -> Column:
-    """Array of (match, start, end, before) of all matches of ``form``: what stands between them tells where they are."""
+    """Array of (match, start, end, before, after) of all matches of ``form``: what stands between them tells where they are."""
     between = F.split(text, form, -1)
     matches = F.regexp_extract_all(text, F.lit(form), F.lit(0))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TOKENS).alias("found"))
@@ -66,10 +71,10 @@ def located(text: Column, form: str) -> Column:
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["b"])
         end = start + F.length(x["m"])
-        span = F.struct(x["m"].alias("match"), start.alias("start"), end.alias("end"), F.substring(x["b"], -CONTEXT, CONTEXT).alias("before"))
+        span = F.struct(x["m"].alias("match"), start.alias("start"), end.alias("end"), F.substring(x["b"], -CONTEXT, CONTEXT).alias("before"), F.substring(x["a"], 1, CONTEXT).alias("after"))
         return F.struct(end.alias("at"), F.concat(s["found"], F.array(span)).alias("found"))
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("b"), matches.alias("m"))
+    pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("b"), matches.alias("m"), F.slice(between, 2, F.size(matches)).alias("a"))
     return F.aggregate(pairs, empty, add, lambda s: s["found"])
 
 
@@ -85,28 +90,38 @@ def base_spans(text: Column) -> Column:
 
 
 def written(spans: Column) -> Column:
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    name = lambda k: F.element_at(F.array(*map(F.lit, NAMES)), k + 1)
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def secret(token: Column) -> Column:
+    """Whether a token is a long run of letters and digits, several of each."""
+    count = lambda kind: F.length(F.regexp_replace(token, f"[^{kind}]", ""))
+    return token.rlike("^[A-Za-z0-9_-]{16,}$") & (count("0-9") >= 4) & (count("A-Za-z") >= 4)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """Tokens with a digit or ``@``: ``key``, ``start``, ``end``, ``instance``, ``pattern`` and the ``kind`` of the base span there, if any.
+    """Tokens with a digit or ``@``, a row per pattern: ``key``, ``start``, ``end``, ``instance``, ``pattern``, ``kind`` of the seed there, if any, ``is_base``.
 
     ``rows``: ``key``, ``base``, ``tokens``. A token's edges lose punctuation. A base span of several tokens counts once,
-    by the first; a token that touches spans of several kinds counts for the first kind. The pattern is the word or two
-    before the token, in lower case.
+    by the first; a token that touches spans of several kinds counts for the first kind. Patterns are in lower case and
+    begin with ``2`` (two words before), ``1`` (one) or ``+`` (the word after).
     """
     some = rows.select("key", "base", F.explode("tokens").alias("t"))
     lead = F.length(F.regexp_extract("t.match", r"^[^A-Za-z0-9@+_]*", 0))
     core = F.regexp_extract("t.match", r"^[^A-Za-z0-9@+_]*(.*?)[^A-Za-z0-9]*$", 1)
-    some = some.select("key", "base", F.col("t.before").alias("before"), (F.col("t.start") + lead).alias("start"), core.alias("token"))
+    some = some.select("key", "base", F.lower("t.before").alias("before"), F.lower("t.after").alias("after"), (F.col("t.start") + lead).alias("start"), core.alias("token"))
     some = some.where(F.length("token") > 0).withColumn("end", F.col("start") + F.length("token"))
     inside = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     some = some.withColumn("span", F.try_element_at(inside, F.lit(1)))
     some = some.where(F.col("span").isNull() | (F.col("span.start") >= F.col("start") - 1))
-    pattern = F.lower(F.regexp_extract("before", r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    pattern = F.regexp_replace(pattern, r"[\x20\x09-\x0D]+", " ")
-    return some.select("key", "start", "end", F.lower(F.coalesce("span.match", "token")).alias("instance"), pattern.alias("pattern"), F.col("span.kind").alias("kind")).where(F.length("pattern") > 0)
+    one = F.regexp_extract("before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+    two = F.regexp_replace(F.regexp_extract("before", r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1), r"[\x20\x09-\x0D]+", " ")
+    next_ = F.regexp_extract("after", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
+    shapes = F.array(*[F.when(words != "", F.concat(F.lit(mark), words)) for mark, words in (("2", two), ("1", one), ("+", next_))])
+    kind = F.coalesce(F.col("span.kind"), F.when(secret(F.col("token")), SECRET))
+    some = some.select("key", "start", "end", F.lower(F.coalesce("span.match", "token")).alias("instance"), kind.alias("kind"), F.col("span").isNotNull().alias("is_base"), F.explode(F.array_compact(shapes)).alias("pattern"))
+    return some
 
 
 def sure_patterns(found: DataFrame) -> DataFrame:
@@ -138,7 +153,7 @@ def sure_patterns(found: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``base`` and ``added``: spans (kind by its place in KINDS, start, end in code points) of each row.
+    """``doc_id``, ``base`` and ``added``: spans (kind by its place in NAMES, start, end in code points) of each row.
 
     Defined cases: null and empty texts have no spans; rows equal in id and text have equal results; offsets are of
     whole texts of any length; an empty table gives an empty result; other columns are not used. Added spans never
@@ -150,7 +165,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = stored(rows)  # texts are read once
     found = candidates(rows)
     sure = sure_patterns(found.select("pattern", "instance", "kind"))
-    fresh = found.where(F.col("kind").isNull()).drop("kind").join(sure, "pattern")
+    fresh = found.where(~F.col("is_base")).drop("kind").join(sure, "pattern")
+    fresh = fresh.groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     spans = fresh.select("key", F.struct(F.col("kind").cast("int").alias("kind"), "start", "end").alias("s")).groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("added"))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     done = rows.select("doc_id", "key", plain.alias("base")).join(spans, "key", "left")
@@ -160,4 +176,4 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
     both = F.array_sort(F.concat("base", "added"))
-    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(both).alias("spans"))
+    return found.select("doc_id", *map(count, range(len(KINDS))), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(both).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(both).cast("long").alias("n_spans"))
