@@ -7,8 +7,11 @@ distance. In each of REPEATS embeddings every word of an item, and of a document
 SAMPLES of its STEPS outputs. A document's key that is one of an item's is a vote for the item, at the place at which it
 would begin. Votes are counted over item-sized windows: those for one place, give or take the edits that the item allows.
 VOTES of them make a candidate, which is verified by the exact edit distance between the item and the best-fitting
-stretch of the document. Items of fewer than FEW_WORDS words, which have few walks, need one vote and are looked up by
-each of their words as well.
+stretch of the document.
+
+Items of fewer than FEW_CHARS characters have too few walks for that. All their grams of GRAM characters (2 for the
+shortest) vote instead, counted over the same windows: k edits change k * GRAM grams at most, so a stretch within them
+has the others, and none is missed.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,11 @@ CHECKED = (4, 6, 8)  # sampled positions after which walks that are no item's ar
 VOTES = 2  # of an item's walks, for a candidate, at least
 WORDS_A_VOTE = 6  # words of an item for each vote that it needs
 SIMILARITY = 0.8  # 1 - edit distance / characters of the item
-FEW_WORDS = 8  # items of fewer words are looked up by each of their words
-MAX_ITEM_BYTES = 256 << 20  # of item keys that are sent to every task at a time
+FEW_CHARS = 100  # items of fewer characters are found by their grams
+GRAM, LEAST_CHARS = 3, 20  # characters of a gram; of items for which grams of 2 are too many to be changed by their edits
+MAX_ITEM_BYTES = 256 << 20  # of keys, maps and texts of items that are sent to every task at a time
+MOST_BITS = 22  # of the places in a map of key prefixes
+BYTES_A_CHAR = 64  # of an item's keys and texts, at most
 FEW = 48  # candidates that are verified one by one; more are verified side by side
 SIDE = 512  # candidates that are verified at a time
 COUNTERS = 1 << 20  # of votes, before they are told apart
@@ -58,24 +63,21 @@ def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (units ^ (units >> 8)).astype(np.uint8), np.concatenate(([0], starts)) if len(units) else starts
 
 
-class Words:
-    """64-bit hashes of the lower-case words of texts."""
+def edits(chars: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Edits that an item of so many characters allows; a tenth is a tenth, whatever its binary form."""
+    return np.floor((1 - similarity) * chars + 1e-9).astype(np.int64)
+
+
+def gram_size(chars: int) -> int:
+    return min(chars, 2 if chars < LEAST_CHARS else GRAM)
 
-    def __init__(self, most: int = 300_000) -> None:
-        self.known, self.most = {}, most
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(text.lower()) if text else []
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1  # 0 pads
-            return np.array([known[w] for w in words], np.uint64)
+def grams_of(chars: np.ndarray, size: int) -> np.ndarray:
+    """A number for each stretch of ``size`` units of a coded text."""
+    code = np.full(max(0, len(chars) - size + 1), size, np.int64)
+    for k in range(size):
+        code = code << 8 | chars[k : len(chars) - size + 1 + k]
+    return code
 
 
 def walk_keys(chars: np.ndarray, starts: np.ndarray, repeat: int, keep=None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +106,23 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.ids, self.texts = [r[0] for r in rows], [plain(r[1]) for r in rows]
-        self.bits = min(26, max(18, 4 + sum(map(len, self.texts)).bit_length()))
+        self.bits = min(MOST_BITS, max(18, 4 + sum(map(len, self.texts)).bit_length()))
         self.stages = {j: n for n, j in enumerate((*CHECKED, SAMPLES))}
         self.maps = np.zeros((REPEATS, len(self.stages), 1 << self.bits), bool)
         self.chars = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in self.texts], np.int64)
         self.words = np.array([len(t.split()) for t in self.texts], np.int64)
         self.letters, self.rows = self.alphabet() if self.texts else np.zeros(0, np.uint32), {}
-        self.short: dict[int, list[tuple[int, int]]] = {}
+        self.few = (self.chars > 0) & (self.chars < FEW_CHARS)
+        short: dict[int, list[np.ndarray]] = {}  # code, item and place of each gram, by the size of grams
         found: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
-        words = Words()
         for i, t in enumerate(self.texts):
             if not t:
                 continue
             chars, starts = coded(t)
-            if len(starts) < FEW_WORDS:
-                for h, at in zip(words(t), starts, strict=True):
-                    self.short.setdefault(int(h), []).append((i, int(at)))
+            if self.few[i]:
+                code = grams_of(chars, gram_size(len(chars)))
+                short.setdefault(gram_size(len(chars)), []).append(np.stack([code, np.full(len(code), i), np.arange(len(code))], 1))
+                continue
             padded = np.concatenate([chars, np.zeros(STEPS, np.uint8)])
             for r in range(REPEATS):
 
@@ -135,10 +138,18 @@ class Items:
             k = k[np.argsort(k[:, 0], kind="stable")]
             self.keys.append((k[:, 0].copy(), k[:, 1].astype(np.int32), k[:, 2].astype(np.int32)))
 
+        self.short = {size: (x := np.concatenate(rows))[np.argsort(x[:, 0], kind="stable")] for size, rows in short.items()}
+
+    def needed(self, similarity: float) -> np.ndarray:
+        """Votes that a candidate of each item has at least."""
+        size = np.array([gram_size(int(n)) for n in self.chars], np.int64)
+        grams = self.chars - size + 1 - size * edits(self.chars, similarity)
+        return np.where(self.few, np.maximum(1, grams), np.maximum(VOTES, self.words // WORDS_A_VOTE))
+
     def place(self, key: np.ndarray) -> np.ndarray:
         return ((key ^ key >> np.uint64(32)) * SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def candidates(self, texts: list[str], words: Words, similarity: float) -> list[tuple[int, int, int, int]]:
+    def candidates(self, texts: list[str], similarity: float) -> list[tuple[int, int, int, int]]:
         """(text, item, first and last unit) of the stretches of plain texts in which items may be."""
         both = [coded(t) for t in texts]
         gap = np.zeros(STEPS, np.uint8)
@@ -159,25 +170,28 @@ class Items:
                 item.append(items[each])
                 place.append(places[each])
                 walk.append(np.full(len(each), r, np.int8))
-        if self.short:
-            h = np.concatenate([words(t) for t in texts])
-            for k in np.flatnonzero(np.isin(h, np.array(list(self.short), np.uint64))):
-                hits = self.short[int(h[k])]
-                at.append(np.full(len(hits), starts[k]))
-                item.append(np.array([i for i, _ in hits]))
-                place.append(np.array([p for _, p in hits]))
-                walk.append(np.full(len(hits), REPEATS, np.int8))
+        for size, rows in self.short.items():
+            code = grams_of(chars, size)
+            first, n = np.searchsorted(rows[:, 0], code, "left"), np.searchsorted(rows[:, 0], code, "right")
+            n = n - first
+            where = np.flatnonzero(n)
+            first, n = first[where], n[where]
+            each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at.append(np.repeat(where, n))
+            item.append(rows[each, 1])
+            place.append(rows[each, 2])
+            walk.append(np.full(len(each), REPEATS, np.int8))
         if not at:
             return []
         at, item, place, walk = map(np.concatenate, (at, item, place, walk))
         text = np.searchsorted(begin, at, "right") - 1  # at is sorted but for each embedding, so this is quick
         item, place = item.astype(np.int64), place.astype(np.int64)
         # Two votes for one stretch are for places that differ by the edits that the item allows, or less.
-        slack = ((1 - similarity) * self.chars).astype(np.int64) + 1
+        slack = edits(self.chars, similarity) + 1
         width = int(begin[-1]) + int(self.chars.max()) + 4
         cell = (at - place + self.chars[item]) // slack[item]
         code = (text * len(self.ids) + item) * width + cell
-        needed = np.where(self.words < FEW_WORDS, 1, np.maximum(VOTES, self.words // WORDS_A_VOTE))
+        needed = self.needed(similarity)
         # Most votes stay alone. Counters that several stretches share can only count too many, so no candidate goes.
         slot = (code & (COUNTERS - 1)).astype(np.int32)
         count = np.bincount(slot, minlength=COUNTERS)
@@ -300,11 +314,11 @@ def fitting_distances(items: Items, which: list[int], stretches: list[str]) -> l
     return list(zip(best.tolist(), end.tolist(), strict=True))
 
 
-def leaks_in(texts: list[str | None], words: Words, items: Items, similarity: float) -> list[tuple[int, int, int, int]]:
+def leaks_in(texts: list[str | None], items: Items, similarity: float) -> list[tuple[int, int, int, int]]:
     """(text, item, edit distance, word at which it begins, roughly) of each item that each text holds."""
     plain_, best = [plain(t) for t in texts], {}
     found = []
-    for k, i, first, last in items.candidates(plain_, words, similarity) if items.ids and texts else ():
+    for k, i, first, last in items.candidates(plain_, similarity) if items.ids and texts else ():
         text, first, last = plain_[k], max(0, first), max(0, last)
         if not text.isascii() and max(text) > "\uffff":  # units aren't characters
             units = text.encode("utf-16-le", "surrogatepass")
@@ -321,7 +335,7 @@ def leaks_in(texts: list[str | None], words: Words, items: Items, similarity: fl
             results = fitting_distances(items, [i for _, i, _, _ in some], [t for _, _, _, t in some])
         for (k, i, first, _), (d, end) in zip(some, results, strict=True):
             place = max(0, first + end - len(items.texts[i]))
-            if d <= (1 - similarity) * len(items.texts[i]) and (d, place) < best.get((k, i), (d + 1, 0)):
+            if d <= edits(len(items.texts[i]), similarity) and (d, place) < best.get((k, i), (d + 1, 0)):
                 best[k, i] = (d, place)
     return [(k, i, d, plain_[k].count(" ", 0, p)) for (k, i), (d, p) in sorted(best.items())]
 
@@ -334,12 +348,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     Defined cases: null, empty and wordless texts hold nothing, and such items are held by nothing; repeated rows give
     repeated results; items with one text are all reported; empty tables give an empty result; other columns are not
-    used. Items of any length are compared whole. What goes to every task are at most MAX_ITEM_BYTES of keys; a larger
-    benchmark is looked up in parts, each over all documents.
+    used. Items of any length are compared whole. What goes to every task are at most MAX_ITEM_BYTES, maps of key prefixes
+    included; a larger benchmark is looked up in parts, each over all documents.
     """
     items_ = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     (chars,) = items_.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(1, -(-chars * REPEATS * 24 // 4 // MAX_ITEM_BYTES))
+    maps = REPEATS * (len(CHECKED) + 1) << MOST_BITS
+    parts = max(1, -(-chars * BYTES_A_CHAR // (MAX_ITEM_BYTES - maps)))
     some = [items_.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
     return reduce(DataFrame.unionByName, [_leaks(docs, part, similarity) for part in some])
 
@@ -349,13 +364,13 @@ def _leaks(docs: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(items))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, items = Words(), cloudpickle.loads(shared.value)
+        items = cloudpickle.loads(shared.value)
         for b in batches:
             ids, texts, rows = list(b["doc_id"]), list(b["text"]), []
             part = np.cumsum([len(t or "") for t in texts]) // TEXTS_AT_A_TIME
             for n in np.unique(part):
                 at, end = np.searchsorted(part, [n, n + 1])
-                rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at:end], words, items, similarity)]
+                rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at:end], items, similarity)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "at_word"])
 
     return docs.select("doc_id", "text").mapInPandas(apply, "doc_id long, item_id long, distance long, at_word long")
