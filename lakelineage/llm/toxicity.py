@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 FALSE_ALARM = 2  # misses that a false alarm weighs as much as, where the cut is set
 LEAST_CHECKED = 5  # documents of either label for the cut to be set by them
 AT_A_TIME = 512  # windows that the driver scores at a time while it trains, so that it needs little memory
-CACHE = 400_000  # words whose features a task keeps
+CACHE = 100_000  # words whose features a task keeps
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
