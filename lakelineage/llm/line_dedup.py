@@ -35,6 +35,7 @@ BLOCKS = 8  # of a part in which one edit is looked for
 SMALL = 32  # lines of a group that gives its pairs, at most
 SHORT = 8  # code points of a part that isn't cut again
 CHECKED = 12  # segments by which a pair is told off before its distance is computed
+STEPS = tuple(1 << k for k in range(12, -1, -1))  # code points by which common ends of two lines are looked for
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 25  # of the map of lines that met, which is sent to every task
 BLANKS = " \t\r"
 
@@ -211,6 +212,20 @@ def by_length(a: str, b: str) -> dict[str, Column]:
     return {"_longer": F.when(first, F.col(a)).otherwise(F.col(b)), "_shorter": F.when(first, F.col(b)).otherwise(F.col(a))}
 
 
+def cores() -> list[dict[str, Column]]:
+    """``_longer`` and ``_shorter`` without what both begin and end with, step by step of columns; edits lie in the rest alone.
+
+    The common part is found by halves of STEPS, so of longer ones a piece may stay, which changes no distance.
+    """
+    steps = F.array(*[F.lit(k) for k in STEPS])
+    more = lambda at, k, ok: F.when(ok, at + k).otherwise(at)
+    long_, short, m, n = F.col("_longer"), F.col("_shorter"), F.col("_m"), F.col("_n")
+    ahead = F.aggregate(steps, F.lit(0), lambda p, k: more(p, k, (p + k <= n) & (F.substring(long_, p + 1, k) == F.substring(short, p + 1, k))))
+    behind = F.aggregate(steps, F.lit(0), lambda q, k: more(q, k, (q + k <= n - F.col("_ahead")) & (F.substring(long_, m - q - k + 1, k) == F.substring(short, n - q - k + 1, k))))
+    core = lambda text, size: F.substring(text, F.col("_ahead") + 1, size - F.col("_ahead") - F.col("_behind"))
+    return [{"_m": F.length("_longer"), "_n": F.length("_shorter")}, {"_ahead": ahead}, {"_behind": behind}, {"_longer": core(long_, m), "_shorter": core(short, n), "_n": n - F.col("_ahead") - F.col("_behind")}]
+
+
 def mostly_there(edits: int, segments: int) -> Column:
     """Whether ``_longer`` has all but ``edits`` of the ``segments`` of ``_shorter`` (of ``_n`` code points) near their places.
 
@@ -304,8 +319,12 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
     pairs = met.where("b IS NOT NULL")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.withColumns(by_length("la", "lb")).withColumn("_n", F.length("_shorter")).where(mostly_there(edits, CHECKED))
-    links = stored(both.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
+    for columns in (by_length("la", "lb"), *cores()):
+        both = both.withColumns(columns)
+    # Behind a generator, so that no condition is moved below and computes the columns again.
+    both = both.select("a", "b", F.explode(F.array(F.struct("_longer", "_shorter", "_n"))).alias("c")).select("a", "b", "c.*")
+    both = both.where((F.length("_longer") - F.col("_n") <= edits) & mostly_there(edits, CHECKED))
+    links = stored(both.where((F.col("_n") == 0) | within(F.col("_longer"), F.col("_shorter"), edits)).select("a", "b"))
     hot = met.where("b IS NULL").select(F.col("a").alias("id"))
     if not edits or hot.isEmpty():
         return links
