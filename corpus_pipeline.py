@@ -7,14 +7,11 @@ again, so that the next stage starts from files and a lost executor costs no ear
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelineage.llm import decontaminate, line_dedup, minhash_dedup, mixing, toxicity
-from lakelineage.llm.common import table
+from lakelineage.llm.common import session_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,11 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each writes goes to the folder in ``spark.checkpoint.dir``."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")).rstrip("/")
+    """All stages over ``documents``; what each writes goes to the folder in ``spark.checkpoint.dir``, until the session ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{top}/{name}-{uuid.uuid4()}"
+        path = session_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
