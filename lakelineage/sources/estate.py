@@ -113,6 +113,13 @@ def descriptor_graph(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return assets.withColumn("system", F.lit({"sql": "sql", "notebook": "databricks"}.get(kind, "pipeline"))), edges
 
 
+def owned(assets: DataFrame, source: str, owner: str | None = None, criticality: str = "medium") -> DataFrame:
+    """``assets`` of a source with ``owner``, ``criticality`` and ``source_file`` where they have none of their own; ``medium`` counts as none."""
+    known = lambda c: F.col(c).cast("string") if c in assets.columns else F.lit(None).cast("string")
+    mine = F.nullif(known("criticality"), F.lit("medium"))
+    return assets.withColumns({"owner": F.coalesce(F.nullif(known("owner"), F.lit("")), F.lit(owner).cast("string")), "criticality": F.coalesce(mine, F.lit(criticality)), "source_file": F.coalesce(F.nullif(known("source_file"), F.lit("")), F.lit(source))})
+
+
 def placed(rows: DataFrame, name: str, *by: str) -> Column:
     """The source's own order; without one, the first eight bytes of the name, so that order is by name at any size."""
     if name in rows.columns:

@@ -77,6 +77,18 @@ def header_edges(found: DataFrame) -> DataFrame:
     return reads.unionByName(found.select(id_.alias("source"), F.explode("write_tables").alias("t")).select("source", table.alias("target"), F.lit("WRITES").alias("relationship")))
 
 
+def header_graph(found: DataFrame, stubs: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Assets and edges of notebooks with headers: the notebooks, and, as ``stubs``, each table that any of them names, once."""
+    id_ = F.coalesce("notebook_name", F.element_at(F.split("file", "/"), -1), F.lit("unknown_notebook"))
+    assets = found.select(F.concat(F.lit("notebook::"), id_).alias("id"), id_.alias("name"), F.lit("databricks_notebook").alias("asset_type"), F.lit("databricks").alias("system"))
+    edges = header_edges(found)
+    if stubs:
+        named = found.select(F.explode(F.array_distinct(F.concat("read_tables", "write_tables"))).alias("t")).distinct()
+        tables = named.select(F.concat(F.lit("delta_table::"), "t").alias("id"), F.element_at(F.split("t", r"\."), -1).alias("name"), F.lit("delta_table").alias("asset_type"), F.lit("delta_lake").alias("system"))
+        assets = assets.unionByName(tables)
+    return assets, edges
+
+
 def _tables(source: Column, patterns: tuple[str, ...]) -> Column:
     clean = F.regexp_replace(source, IMPORT_LINE, "")
     all_ = F.flatten(F.array(*[F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in patterns]))

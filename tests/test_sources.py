@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakelineage.functions import text
 from lakelineage.operators import graph
-from lakelineage.sources import estate, semantic_model, sql_ddl
+from lakelineage.sources import estate, notebooks, semantic_model, sql_ddl
 
 
 @pytest.fixture
@@ -113,3 +113,32 @@ def test_reach_in_order_and_without(spark):
         assert [(r.id, r.depth) for r in got if r.root == root] == [(x, seen[x]) for x in line[1:]]
     plain = graph.reach(df, roots)
     assert plain.columns == ["root", "id", "depth"] and {tuple(r) for r in plain.collect()} == {(r.root, r.id, r.depth) for r in got}
+
+
+def test_header_graph_with_stub_tables(spark):
+    found = spark.createDataFrame([("/x/a.py", "load", ["b.t", "b.u"], ["s.t"]), ("/x/c.py", None, ["s.t"], [])], "file string, notebook_name string, read_tables array<string>, write_tables array<string>")
+    assets, edges = notebooks.header_graph(found)
+    assert {tuple(r) for r in assets.collect()} == {
+        ("notebook::load", "load", "databricks_notebook", "databricks"), ("notebook::c.py", "c.py", "databricks_notebook", "databricks"),
+        ("delta_table::b.t", "t", "delta_table", "delta_lake"), ("delta_table::b.u", "u", "delta_table", "delta_lake"), ("delta_table::s.t", "t", "delta_table", "delta_lake"),
+    }
+    assert {tuple(r) for r in edges.collect()} == {("delta_table::b.t", "notebook::load", "READS"), ("delta_table::b.u", "notebook::load", "READS"), ("delta_table::s.t", "notebook::c.py", "READS"), ("notebook::load", "delta_table::s.t", "WRITES")}
+    assert notebooks.header_graph(found, stubs=False)[0].count() == 2
+
+
+def test_order_of_scripts(spark):
+    files_ = spark.createDataFrame([(f,) for f in ("/d/a.sql", "/d/functions.sql", "/d/Tables.sql", "/d/procedures.sql", "/d/views.sql", "/d/B.sql")], "file string")
+    assert [r.file[3:] for r in files_.orderBy(sql_ddl.file_order(F.col("file"))).collect()] == ["Tables.sql", "views.sql", "procedures.sql", "functions.sql", "a.sql", "B.sql"]
+
+
+def test_owners_of_a_source(spark):
+    rows = spark.createDataFrame([("a", "", "medium"), ("b", "me", "high")], "id string, owner string, criticality string")
+    assert [tuple(r) for r in estate.owned(rows, "powerbi", "team", "low").orderBy("id").collect()] == [("a", "team", "low", "powerbi"), ("b", "me", "high", "powerbi")]
+    assert tuple(estate.owned(rows.select("id"), "api").where("id = 'a'").first()) == ("a", None, "medium", "api")
+
+
+def test_source_scan_helpers(spark):
+    rows = spark.createDataFrame([("/a/02_load.py", [("code", "x = 1"), ("markdown", "no"), ("CODE", "y = 2")])], "path string, cells array<struct<cell_type:string,source:string>>")
+    assert tuple(rows.select(notebooks.execution_order(F.col("path")), notebooks.code_of(F.col("cells"))).first()) == (2, "x = 1\ny = 2")
+    edges = notebooks.source_edges(spark.createDataFrame([("/n", 'spark.table("a.b"); df.write.saveAsTable("c.d")')], "path string, source string"))
+    assert {tuple(r) for r in edges.collect()} == {("notebook::/n", "delta_table::a.b", "READS"), ("notebook::/n", "delta_table::c.d", "WRITES")}
