@@ -351,6 +351,18 @@ def g_path_edges(spark, d):
     return g.path_edges(g.simple_paths(estate(spark, d)[1], regions(spark, d), 3))
 
 
+PATHS_SQL = """, p AS (SELECT ['region::' || r_regionkey] AS path, 0 AS n FROM region UNION ALL SELECT list_append(path, e.target), n + 1 FROM p JOIN (SELECT DISTINCT source, target FROM edges) e ON e.source = path[-1] WHERE NOT list_contains(path, e.target) AND n < 3)"""
+
+
+@plain(f"""WITH RECURSIVE {GRAPH_SQL}{PATHS_SQL}, step AS (SELECT DISTINCT path[-1] AS id, n AS depth FROM p), far AS (SELECT source AS root, target AS id FROM edges UNION SELECT f.root, e.target FROM far f JOIN edges e ON e.source = f.id)
+ SELECT id, CAST(min(depth) AS INTEGER) AS depth, coalesce(max(name), string_split(id, '::')[-1]) AS name, coalesce(max(asset_type), 'unknown') AS asset_type, max((SELECT count(*) FROM far WHERE far.root = step.id)) AS downstream FROM step LEFT JOIN assets a USING (id) GROUP BY id""", False)
+def g_path_graph(spark, d):
+    assets, edges = estate(spark, d)
+    paths = g.simple_paths(edges, regions(spark, d), 3)
+    nodes, links = g.path_graph(paths, assets.withColumn("bucket", F.lit("")))
+    return nodes.join(g.downstream_counts(nodes, links), "id").select("id", "depth", "name", "asset_type", "downstream")
+
+
 STAGE_SQL = " ".join(f"WHEN bucket IN ({', '.join(repr(b) for b in bs)}) THEN '{s}'" for s, bs in g.STAGES.items())
 
 

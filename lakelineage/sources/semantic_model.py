@@ -107,6 +107,18 @@ def load_model(spark: SparkSession, model: str, report: str, include_internal: b
     return {"objects": objs, "relationships": rels, "pages": found, "fields": shown, "dependencies": dependencies(objs, rels, shown)}
 
 
+def payload(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables, columns, measures, relationships, reports and dependencies of a loaded model, each with the fields that it is asked for by."""
+    objs = model["objects"]
+    prop, note = (lambda k: F.try_element_at("props", F.lit(k))), (lambda k: F.try_element_at("annotations", F.lit(k)))
+    common = (prop("lineageTag").alias("lineage_tag"), F.coalesce("is_hidden", F.lit(False)).alias("is_hidden"), prop("displayFolder").alias("display_folder"), note("Description").alias("description"), "annotations")
+    kinds = objs.where("kind = 'partition'").groupBy("table").agg(F.min("source_type").alias("_type"))
+    tables = objs.where("kind = 'table'").join(kinds, "table", "left").select("name", F.coalesce("_type", F.lit("unknown")).alias("source_type"), F.col("table").rlike(INTERNAL).alias("is_date_table"), *common)
+    columns = objs.where("kind = 'column'").select(F.col("table").alias("table_name"), "name", prop("dataType").alias("data_type"), prop("summarizeBy").alias("summarize_by"), prop("dataCategory").alias("data_category"), prop("sortByColumn").alias("sort_by_column"), *common)
+    measures = annotated_measures(objs).select(F.col("table").alias("table_name"), "name", "expression", prop("formatString").alias("format_string"), "referenced_tables", "referenced_columns", "referenced_measures", *common)
+    return {"tables": tables, "columns": columns, "measures": measures, "relationships": model["relationships"], "reports": annotated_reports(model["pages"], model["fields"]), "dependencies": model["dependencies"]}
+
+
 def annotated_measures(objs: DataFrame) -> DataFrame:
     """Measures with ``referenced_tables``, ``referenced_columns`` and ``referenced_measures`` that exist, each in order."""
     measures = objs.where("kind = 'measure'")

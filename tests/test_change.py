@@ -71,3 +71,12 @@ def test_registry_keeps_repeated_edges(spark):
 def test_json_rows(spark):
     rows = spark.createDataFrame([(1, None, ["x"], {"k": "v"})], "i int, s string, a array<string>, m map<string,string>")
     assert json.loads(schemas.as_json(rows).first().json) == {"i": 1, "s": None, "a": ["x"], "m": {"k": "v"}}
+
+
+def test_path_graph(spark):
+    paths = spark.createDataFrame([(["t::a", "table::LocalDateTable_1", "m::b", "r::c"],), (["t::a", "r::c"],), (["r::c"],)], "path array<string>")
+    found = spark.createDataFrame([("m::b", "B", "measure", "powerbi", "semantic_models"), ("x::y", "Y", "view", "sql", "views"), ("table::DateTableTemplate_2", "D", "table", "powerbi", "database_tables")], "id string, name string, asset_type string, system string, bucket string")
+    nodes, edges = g.path_graph(paths, found, "t::a")
+    assert {tuple(r) for r in nodes.collect()} == {("t::a", 0, "a", "unknown", "unknown", ""), ("m::b", 1, "B", "measure", "powerbi", "semantic_models"), ("r::c", 0, "c", "unknown", "unknown", ""), ("x::y", 1, "Y", "view", "sql", "views")}
+    assert {tuple(r) for r in edges.collect()} == {("t::a", "m::b"), ("m::b", "r::c"), ("t::a", "r::c")}
+    assert {tuple(r) for r in g.downstream_counts(nodes, edges).collect()} == {("t::a", 2), ("m::b", 1), ("r::c", 0), ("x::y", 0)}

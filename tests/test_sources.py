@@ -37,6 +37,9 @@ def test_model_with_hidden_file_and_internal_table(spark, model):
     assert every.where("table = 'LocalDateTable_1' AND kind = 'column'").first().props == {"lineageTag": "d"}
     rel = found["relationships"].first()
     assert (rel.is_active, rel.join_on_date, rel.to_cardinality, rel.from_cardinality) == (False, "datePartOnly", None, "many")
+    views = semantic_model.payload(found)
+    assert set(views) == {"tables", "columns", "measures", "relationships", "reports", "dependencies"} and {"name", "source_type", "is_date_table", "lineage_tag"} <= set(views["tables"].columns)
+    assert {(r.name, r.source_type) for r in views["tables"].collect()} >= {("sales", "m")} and {(r.table_name, r.name, r.data_type) for r in views["columns"].collect()} >= {("sales", "Amount", "int64")}
     shown = semantic_model.annotated_reports(found["pages"], found["fields"]).collect()
     assert [(r.page, r.used_measures, r.used_columns, r.used_tables) for r in shown] == [("p1", ["Total"], [], ["_Measures"])]
     measures = {r.name: r for r in semantic_model.annotated_measures(found["objects"]).collect()}
