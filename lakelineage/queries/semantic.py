@@ -92,6 +92,12 @@ def m_topn(spark, d):
     return named(m.top_n_revenue(dash(spark, d), ["Region"], "ProductID", 10, "top"), top10="top", top10_share="top share")
 
 
+@query(f"""SELECT CAST(sum(CASE WHEN k <= 10 THEN r END) AS DOUBLE) AS top10, CAST(sum(CASE WHEN k <= 10 THEN r END) AS DOUBLE) / CAST(sum(r) AS DOUBLE) AS top10_share
+ FROM (SELECT ProductKey, sum(Revenue) AS r, rank() OVER (ORDER BY sum(Revenue) DESC) AS k FROM {DASH} GROUP BY 1)""")
+def m_topn_overall(spark, d):
+    return named(m.top_n_revenue(dash(spark, d), [], "ProductID", 10, "top"), top10="top", top10_share="top share")
+
+
 @query(f"""SELECT Region, CASE WHEN count(*) = 1 THEN max(Country) END AS top_country FROM (SELECT Region, Country, rank() OVER (PARTITION BY Region ORDER BY sum(Revenue) DESC) AS k FROM {DASH} GROUP BY 1, 2) WHERE k = 1 GROUP BY 1""")
 def m_top_name(spark, d):
     return m.top_name(dash(spark, d), ["Region"], "Country", "top_country")
