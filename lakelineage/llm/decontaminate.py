@@ -34,7 +34,7 @@ CHECKED = (4, 6, 8)  # sampled positions after which walks that are no item's ar
 VOTES = 2  # of an item's walks, for a candidate, at least
 WORDS_A_VOTE = 6  # words of an item for each vote that it needs
 SIMILARITY = 0.8  # 1 - edit distance / characters of the item
-FEW_CHARS = 100  # items of fewer characters are found by their grams
+FEW_CHARS = 72  # items of fewer characters are found by their grams
 GRAM, LEAST_CHARS = 3, 20  # characters of a gram; of items for which grams of 2 are too many to be changed by their edits
 MAX_ITEM_BYTES = 256 << 20  # of keys, maps and texts of items that are sent to every task at a time
 MOST_BITS = 22  # of the places in a map of key prefixes
@@ -43,6 +43,7 @@ FEW = 48  # candidates that are verified one by one; more are verified side by s
 SIDE = 512  # candidates that are verified at a time
 COUNTERS = 1 << 20  # of votes, before they are told apart
 TEXTS_AT_A_TIME = 3_000_000  # characters of texts whose votes are counted together, but for longer ones
+WITH_GRAMS = 300_000  # the same where grams vote, of which there are many
 CHUNK = 1 << 15  # walks at a time, so that they stay in a core's cache
 
 _rng = np.random.default_rng(6)
@@ -367,7 +368,7 @@ def _leaks(docs: DataFrame, part: DataFrame, similarity: float) -> DataFrame:
         items = cloudpickle.loads(shared.value)
         for b in batches:
             ids, texts, rows = list(b["doc_id"]), list(b["text"]), []
-            part = np.cumsum([len(t or "") for t in texts]) // TEXTS_AT_A_TIME
+            part = np.cumsum([len(t or "") for t in texts]) // (WITH_GRAMS if items.short else TEXTS_AT_A_TIME)
             for n in np.unique(part):
                 at, end = np.searchsorted(part, [n, n + 1])
                 rows += [(ids[at + k], items.ids[i], d, p) for k, i, d, p in leaks_in(texts[at:end], items, similarity)]
