@@ -15,7 +15,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local["):
+        if not shared and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("a cluster session needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

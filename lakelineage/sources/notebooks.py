@@ -118,3 +118,23 @@ def source_edges(notebooks: DataFrame) -> DataFrame:
 def execution_order(path: Column) -> Column:
     """Number that a notebook's name begins with, before an underscore."""
     return F.nullif(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(\d+)_", 1), F.lit("")).cast("int")
+
+
+def notebook_name(name: Column, path: Column) -> Column:
+    """The given name, else the last part of the path without a notebook's extension."""
+    last = F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1), r"(?i)\.(py|scala|r|sql|ipynb)$", "")
+    return F.coalesce(F.nullif(name, F.lit("")), F.nullif(last, F.lit("")), F.lit("unknown_notebook"))
+
+
+def workspace_folder(folder: Column, path: Column) -> Column:
+    """The given folder, else that of the path; null for a path without one."""
+    above = F.regexp_replace(F.regexp_replace(path, "/+$", ""), "/[^/]*$", "")
+    return F.coalesce(F.nullif(folder, F.lit("")), F.when(F.contains(path, F.lit("/")), F.when(above == "", "/").otherwise(above)))
+
+
+def catalogs_and_schemas(tables: Column) -> tuple[Column, Column]:
+    """Sorted catalogs and schemas (with their catalog, if any) of table references of two parts or more."""
+    parts = F.transform(tables, lambda t: F.split(t, r"\."))
+    full, short = F.filter(parts, lambda p: F.size(p) >= 3), F.filter(parts, lambda p: F.size(p) == 2)
+    schemas = F.concat(F.transform(full, lambda p: F.concat_ws(".", p[0], p[1])), F.transform(short, lambda p: p[0]))
+    return F.sort_array(F.array_distinct(F.transform(full, lambda p: p[0]))), F.sort_array(F.array_distinct(schemas))

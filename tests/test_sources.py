@@ -145,3 +145,10 @@ def test_source_scan_helpers(spark):
     assert tuple(rows.select(notebooks.execution_order(F.col("path")), notebooks.code_of(F.col("cells"))).first()) == (2, "x = 1\ny = 2")
     edges = notebooks.source_edges(spark.createDataFrame([("/n", 'spark.table("a.b"); df.write.saveAsTable("c.d")')], "path string, source string"))
     assert {tuple(r) for r in edges.collect()} == {("notebook::/n", "delta_table::a.b", "READS"), ("notebook::/n", "delta_table::c.d", "WRITES")}
+
+
+def test_names_folders_and_schemas_of_notebooks(spark):
+    rows = spark.createDataFrame([(1, "n", "/x/y.py", "", ["c.s.t", "s.u", "bare", "c.r.t"]), (2, "", "/x/Load.IPYNB/", None, []), (3, None, "alone.sql", "/w", ["/delta/a"]), (4, None, "/top", None, None)], "i int, name string, path string, folder string, tables array<string>")
+    catalogs, schemas_ = notebooks.catalogs_and_schemas(F.coalesce("tables", F.array().cast("array<string>")))
+    got = rows.orderBy("i").select(notebooks.notebook_name(F.col("name"), F.col("path")), notebooks.workspace_folder(F.col("folder"), F.col("path")), catalogs, schemas_).collect()
+    assert [tuple(r) for r in got] == [("n", "/x", ["c"], ["c.r", "c.s", "s"]), ("Load", "/x", [], []), ("alone", "/w", [], []), ("top", "/", [], [])]
