@@ -106,19 +106,19 @@ def mix(
         .withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_q") / (F.col("_q") + (1 - F.col("_q")) * (1 - p) / p) * BINS)).cast("int"))
     )
     # Words before each bin of a source: a histogram, so that no source's documents meet in one task.
-    taken = ranked.where(F.col("_weight") >= F.col("_sure")).withColumns({"_before": F.lit(0).cast("long"), "_in": F.lit(True), "_out": F.lit(False), "_more": F.lit(True)})
-    ranked = ranked.where(F.coalesce(F.col("_weight") < F.col("_sure"), F.lit(True)))
-    bins = ranked.groupBy("source", "_bin", "_rest").agg(F.sum("size").alias("_words"))
+    # Documents taken for certain have a bin of their own before the others, whose words don't count.
+    ranked = ranked.withColumn("_bin", F.when(F.col("_weight") >= F.col("_sure"), -1).otherwise(F.col("_bin")))
+    bins = ranked.groupBy("source", "_bin", "_rest").agg(F.sum(F.when(F.col("_bin") >= 0, F.col("size")).otherwise(0)).alias("_words"))
     upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_bin"))
     bins = bins.withColumn("_before", upto - F.col("_words")).select(
-        F.col("source").alias("_source"), F.col("_bin").alias("_b"), "_before", (upto <= F.col("_rest")).alias("_in"), (upto - F.col("_words") >= F.col("_rest")).alias("_out")
+        F.col("source").alias("_source"), F.col("_bin").alias("_b"), "_before", ((F.col("_bin") < 0) | (upto <= F.col("_rest"))).alias("_in"), (upto - F.col("_words") >= F.col("_rest")).alias("_out")
     )
     binned = ranked.join(bins, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_b"))).drop("_source", "_b")
     edge = ~F.col("_in") & ~F.col("_out")
     sure = binned.where(~edge).withColumn("_more", F.col("_in"))
     ahead = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_q", "_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     near = binned.where(edge).withColumn("_more", F.col("_before") + F.coalesce(ahead, F.lit(0)) + F.col("size") / 2 <= F.col("_rest"))
-    out = taken.unionByName(sure).unionByName(near).withColumn("taken", (F.col("size") * (F.col("_whole") + F.col("_more").cast("long"))).cast("long"))
+    out = sure.unionByName(near).withColumn("taken", (F.col("size") * (F.col("_whole") + F.col("_more").cast("long"))).cast("long"))
     return out.drop("_h", "_u", "_weight", "_total", "_sure", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_in", "_out", "_more")
 
 
