@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from lakelineage.functions import lineage
 from lakelineage.operators import change, resolver
 
 ASSET = "id string, name string, asset_type string, system string, seq long, properties map<string,string>"
@@ -97,3 +98,19 @@ def test_nothing_to_resolve(spark):
     assets, requests = spark.createDataFrame([], ASSET), spark.createDataFrame([(1, "a", None, None, "UNKNOWN")], REQUEST)
     assert [tuple(r)[-3:] for r in resolver.resolve(requests, assets).collect()] == [(None, None, None)]
     assert resolver.resolve(requests.limit(0), assets).count() == 0
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "FEW", -1)  # as if every side were large
+    q, n = spark.createDataFrame([("abc",)], "q string"), spark.createDataFrame([("abd",), ("xabcx",)], "name string")
+    for df in (resolver.contained(q, n), resolver.close(q, n)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert [tuple(r) for r in resolver.contained(q, n).collect()] == [("abc", "xabcx")]
+    assert sorted(tuple(r) for r in resolver.close(q, n).collect()) == [("abc", "abd", 2), ("abc", "xabcx", 1)]
+
+
+def test_names_of_one_shape_are_one_entry(spark):
+    q = spark.createDataFrame([("small ring",), ("rder7",)], "q string")
+    names = [f"order{i}" for i in range(300)] + ["smalll ring", "ring small"]
+    got = {(r.q, r.name, r.place) for r in resolver.close(q, spark.createDataFrame([(x,) for x in names], "name string")).collect()}
+    assert got == {(a, b, k) for a in ("small ring", "rder7") for k, b in enumerate(difflib.get_close_matches(a, names, n=5, cutoff=0.6), 1)}
