@@ -107,3 +107,14 @@ def test_ranks_over_all_rows(spark):
     want = rows.withColumn("r", F.rank().over(Window.orderBy(F.desc_nulls_last("v")))).withColumn("d", F.dense_rank().over(Window.orderBy(F.desc_nulls_last("v"))))
     assert {tuple(r) for r in both.select("id", "v", "r", "d").collect()} == {tuple(r) for r in want.collect()}
     assert lineage.ranked(rows.limit(0), "v", "r").count() == 0
+
+
+def test_components_spread_among_inner_ids_only(spark, monkeypatch):
+    ties = [("m", f"{c}{i}") for c in "az" for i in range(30)] + [("p", "q"), ("m", "n"), ("n", "m2"), ("m2", "o"), ("s", "s"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1")]
+    seen = []
+    spread = g.spread
+    monkeypatch.setattr(g, "spread", lambda links, ids: seen.append({r.id for r in ids.collect()}) or spread(links, ids))
+    got = {r.id: r.component for r in g.components(spark.createDataFrame([("x",), ("m",)], "id string"), spark.createDataFrame(ties, "source string, target string")).collect()}
+    big = {"m", "n", "m2", "o", *[f"{c}{i}" for c in "az" for i in range(30)]}
+    assert got == {i: "a0" for i in big} | {"p": "p", "q": "p", "x": "x", "s": "s", "c1": "c1", "c2": "c1", "c3": "c1"}
+    assert seen == [{"m", "n", "m2", "p", "x", "s", "c1", "c2", "c3"}]
