@@ -29,10 +29,10 @@ from lakelineage.llm.common import components, stored
 
 EDITS = 2
 LEAST = 20  # code points of a line that counts; shorter ones stay
-HOT = 32  # lines that share a segment, at most, for it to be an index key
+HOT = 4  # lines that share a segment, at most, for it to be an index key; a line meets so many at a key, whatever its group
 PARTS = 4  # of a line that meets others at a hot segment
 BLOCKS = 8  # of a part in which one edit is looked for
-SMALL = 32  # lines of a group that gives its pairs, at most
+SMALL = 8  # lines of a group that gives its pairs, at most
 SHORT = 8  # code points of a part that isn't cut again
 CHECKED = 12  # segments by which a pair is told off before its distance is computed
 STEPS = tuple(1 << k for k in range(12, -1, -1))  # code points by which common ends of two lines are looked for
@@ -290,6 +290,19 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (gap <= edits) & (F.element_at(run, 1) <= edits)
 
 
+def meetings(keyed: DataFrame, names: list[str], own: list[int]) -> DataFrame:
+    """``a``, ``b``, ``hot``: lines that meet at a key, HOT at most for each probe; of a hot key one row for each probe.
+
+    ``keyed``: ``id`` and its probe keys ``names``, of which those at ``own`` are its index keys.
+    """
+    each = Window.partitionBy("key")
+    index = keyed.select(F.col("id").alias("a"), F.explode(F.array(*[names[i] for i in own])).alias("key")).withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
+    index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
+    probes = keyed.select(F.col("id").alias("b"), F.explode(F.array(*names)).alias("key"))
+    # Every line probes its own segments too, so a line with a hot segment shows up as the one that probes it.
+    return index.join(probes, "key").where("hot OR a <> b")
+
+
 def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs ``a``, ``b`` of distinct lines (by hash) within ``edits`` edits of each other."""
     if edits not in (0, 1, 2):
@@ -299,12 +312,7 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     # What is shuffled of a line are its keys, as numbers; equal lines have equal ones.
     names = [f"k{i}" for i in range(len(probes))]
     keyed = stored(lines.select("id", *[k.alias(c) for k, c in zip(probes, names, strict=True)]).groupBy("id").agg(*[F.min(c).alias(c) for c in names]))
-    each = Window.partitionBy("key")
-    index = keyed.select(F.col("id").alias("a"), F.explode(F.array(*[names[i] for i in own])).alias("key")).withColumns({"lines": F.count("*").over(each), "least": F.min("a").over(each)})
-    index = index.where((F.col("lines") <= HOT) | (F.col("a") == F.col("least"))).select("key", "a", (F.col("lines") > HOT).alias("hot"))  # a hot key is one row
-    probes = keyed.select(F.col("id").alias("b"), F.explode(F.array(*names)).alias("key"))
-    # Every line probes its own segments too, so a line with a hot segment shows up as the one that probes it.
-    met = index.join(probes, "key").where("hot OR a <> b")
+    met = meetings(keyed, names, own)
     met = met.select(F.when(F.col("hot"), F.col("b")).otherwise(F.least("a", "b")).alias("a"), F.when(~F.col("hot"), F.greatest("a", "b")).alias("b"))
     met = stored(met.distinct())
 

@@ -678,6 +678,18 @@ def test_lines_hot_segment(spark, monkeypatch):
     assert got.where("text <> ''").count() == want
 
 
+def test_rows_of_a_shared_segment_grow_with_its_lines(spark):
+    """Lines that share a segment meet in few rows each, not in all pairs, in groups of any size."""
+    rng = np.random.default_rng(12)
+    for n in (6, 24, 96):
+        rows = [(d, "the same beginnings " + "".join(rng.choice(list("abcdefghijklmnop"), 40))) for d in range(n)]
+        lines = line_dedup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+        probes, own = line_dedup.entries(2)
+        names = [f"k{i}" for i in range(len(probes))]
+        keyed = lines.select("id", *[k.alias(c) for k, c in zip(probes, names, strict=True)])
+        assert n <= line_dedup.meetings(keyed, names, own).count() <= 2 * n
+
+
 def test_lines_of_one_text_with_changes(spark, monkeypatch):
     """Copies of one long line with a few edits anywhere, far more than HOT: the groups are those of brute force, with few pairs."""
     monkeypatch.setattr(line_dedup, "HOT", 4)
