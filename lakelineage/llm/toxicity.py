@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,8 @@ THRESHOLD = 0.3
 FALSE_ALARM = 2  # misses that a false alarm weighs as much as, where the cut is set
 LEAST_CHECKED = 5  # documents of either label for the cut to be set by them
 AT_A_TIME = 512  # windows that the driver scores at a time while it trains, so that it needs little memory
-CACHE = 100_000  # words whose features a task keeps
+CACHE = 16_384  # words whose features a task keeps
+TASK_WINDOWS, TASK_WORDS = 256, 2048  # windows that a task scores at a time, and new words whose n-grams it has at a time
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -331,20 +332,13 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Net
     return calibrated(list(bags.values()), threshold) if bags else None
 
 
-def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 if the score is ``threshold`` or more).
-
-    Defined cases: null texts and texts without words score 0, as do all texts where there was nothing to learn from;
-    equal texts score alike; a long text's windows are all scored, some at a time; an empty table gives an empty
-    result; columns of ``docs`` with the names of results are replaced.
-    """
-    keep = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
-    rows = docs.select(*keep, held_out("doc_id").alias("held_out"))
-    schema = rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+def scorer(net: Network | None, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What a task does with its rows: ``score`` and ``predicted`` of each; new words and windows some at a time, so that memory is bounded."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        gf = gb = np.zeros((0, 3 * STATE), np.float32)
+        gf, gb = (np.zeros((TASK_WORDS, 3 * STATE), np.float32) for _ in "fb")  # rows of known words, and room for more
+        done = 0  # rows that are filled
         for b in batches:
             best = np.zeros(len(b))
             owner: list[int] = []
@@ -352,11 +346,14 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
             fresh: list[str] = []
 
             def flush() -> None:
-                nonlocal gf, gb
-                if fresh:
-                    x = net.inputs(Features(fresh))
-                    gf, gb = np.concatenate([gf, net.gates(x, "f")]), np.concatenate([gb, net.gates(x, "b")])
-                    fresh.clear()
+                nonlocal gf, gb, done
+                while done + len(fresh) > len(gf):
+                    gf, gb = (np.concatenate([g, np.zeros_like(g)]) for g in (gf, gb))
+                for at in range(0, len(fresh), TASK_WORDS):
+                    x = net.inputs(Features(fresh[at : at + TASK_WORDS]))
+                    gf[done : done + len(x)], gb[done : done + len(x)] = net.gates(x, "f"), net.gates(x, "b")
+                    done += len(x)
+                fresh.clear()
                 if held:
                     ids = np.full((len(held), WINDOW), -1, np.int64)
                     for i, r in enumerate(held):
@@ -377,13 +374,26 @@ def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) ->
                         ids.append(k)
                     held.append(ids)
                     owner.append(i)
-                    if len(held) >= 1024:
+                    if len(held) >= TASK_WINDOWS:
                         flush()
                 if len(known) > CACHE:
                     flush()
                     known.clear()
-                    gf = gb = np.zeros((0, 3 * STATE), np.float32)
+                    done = 0
             flush()
             yield b.assign(score=best, predicted=(best >= threshold).astype("int32"))
 
-    return rows.mapInPandas(apply, schema)
+    return apply
+
+
+def score(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 if the score is ``threshold`` or more).
+
+    Defined cases: null texts and texts without words score 0, as do all texts where there was nothing to learn from;
+    equal texts score alike; a long text's windows are all scored, some at a time; an empty table gives an empty
+    result; columns of ``docs`` with the names of results are replaced.
+    """
+    keep = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    rows = docs.select(*keep, held_out("doc_id").alias("held_out"))
+    schema = rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    return rows.mapInPandas(scorer(net, threshold), schema)

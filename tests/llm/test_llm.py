@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -517,6 +519,21 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.score(docs_of(spark).limit(0), net).count() == 0
 
 
+def test_memory_of_scoring_is_bounded():
+    """A task's memory doesn't grow with the different words that it sees."""
+    rng = np.random.default_rng(6)
+    net = network_of(["".join(rng.choice(list("abcdefghij"), 9)) for _ in range(50)])
+    peaks = []
+    for n in (100, 200):
+        texts = [" ".join("".join(w) for w in rng.choice(list("abcdefghij"), (300, 9))) for _ in range(n)]
+        batch = pd.DataFrame({"doc_id": range(n), "text": texts})
+        tracemalloc.start()
+        assert sum(len(b) for b in toxicity.scorer(net, 0.3)(iter([batch]))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < min(40e6, 1.2 * peaks[0])
+
+
 def test_long_words_enter_whole(spark):
     """What follows the first 40 characters of a text without spaces enters its score, and no n-gram of it is lost."""
     head, tail = "_".join(["river"] * 10), "_".join(["stone"] * 10)
