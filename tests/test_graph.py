@@ -99,6 +99,37 @@ def test_empty_graph(spark):
     assert pairs_of(g.critical_path(assets, edges)) == {0: "a"}
 
 
+def test_leaves_are_stored_twice_at_most(spark, monkeypatch):
+    """Leaves, most of a graph, are stored as edges and with their numbers, and in no step after that."""
+    pairs = [("top", f"m{i}") for i in range(20)] + [(f"m{i % 20}", f"leaf{i}") for i in range(400)]
+    rows, cut, counted = [], g.cut, g.cut_counted
+
+    def noted(df):
+        done = cut(df)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(g, "cut", noted)
+    monkeypatch.setattr(g, "cut_counted", lambda df, where=None: (lambda r: (rows.append(r[0].count()), r)[1])(counted(df, where)))
+    far = closure(pairs)
+    assert pairs_of(g.blast_radius(assets_of(spark, sorted(far)), edges_of(spark, pairs))) == {x: len(y) for x, y in far.items()}
+    assert sum(rows) < 2.5 * len(pairs)
+
+
+def test_many_roots_with_one_way_out(spark, monkeypatch):
+    """Roots that share what follows them reach the same as one by one, with cycles among them and within a number of hops."""
+    rng = random.Random(7)
+    pairs = [(f"r{i}", f"m{i % 4}") for i in range(40)] + [("m0", "m1"), ("m1", "r3"), ("m2", "m0"), ("m3", "m3"), ("r5", "r6"), ("m1", "x")]
+    edges = edges_of(spark, pairs)
+    roots = spark.createDataFrame([(f"r{i}",) for i in range(40)] + [("m2",), ("x",), ("none",)], "id string")
+    for most in (None, rng.randrange(2, 4)):
+        found = []
+        for many in (5, 1000):
+            monkeypatch.setattr(g, "MANY_ROOTS", many)
+            found.append(sorted(tuple(r) for r in g.reach(edges, roots, most).select("root", "id", "depth").collect()))
+        assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_ranks_over_all_rows(spark):
     rng = random.Random(5)
     values = [rng.choice([None, 1.5, 2.0, 2.0, rng.random()]) for _ in range(300)]
