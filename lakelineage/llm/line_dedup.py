@@ -83,8 +83,8 @@ def one_edit(nodes: DataFrame) -> DataFrame:
     """``key``, ``node``, ``more``, ``long`` and ``leaf``: nodes of one key that share a leaf (as texts of both lengths
     where ``more`` is 1) are one edit apart, and all such nodes share one.
 
-    ``nodes``: distinct ``key``, ``node`` (hash of ``s``), ``s``, ``more`` (by how much the longer texts of this key are
-    longer, 0 or 1) and ``long`` (whether this is one of them). The text is cut into BLOCKS blocks, nodes meet by all
+    ``nodes``: distinct ``key``, ``node`` (hash of ``s``), ``told`` (nodes that have the same aren't looked for), ``s``,
+    ``more`` (by how much the longer texts of this key are longer, 0 or 1) and ``long`` (whether this is one of them). The text is cut into BLOCKS blocks, nodes meet by all
     but one of them, and that one is cut again. A leaf is the text without the edited place, known by that place where
     texts are equally long; groups without two sides, or with one node, go at every step.
     """
@@ -92,8 +92,8 @@ def one_edit(nodes: DataFrame) -> DataFrame:
     own = F.when(F.col("long"), F.col("more")).otherwise(0)
     n = F.length("s") - own
     while True:
-        sides = live.groupBy("k").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.min("long").alias("l0"), F.max("long").alias("l1"), F.max("more").alias("m"))
-        live = stored(live.join(sides.where("n0 <> n1 AND (m = 0 OR l0 <> l1)").select("k"), "k", "left_semi"))
+        sides = live.groupBy("k").agg(F.min("told").alias("t0"), F.max("told").alias("t1"), F.min("long").alias("l0"), F.max("long").alias("l1"), F.max("more").alias("m"))
+        live = stored(live.join(sides.where("t0 <> t1 AND (m = 0 OR l0 <> l1)").select("k"), "k", "left_semi"))
         taken = lambda last, mark: F.transform(F.sequence(F.lit(0), last), lambda p: F.xxhash64("k", mark(p), without(F.col("s"), p)))
         edited = F.when(F.col("more") == 0, taken(F.greatest(n - 1, F.lit(0)), lambda p: p)).when(F.col("long"), taken(n, lambda p: F.lit(-1))).otherwise(F.array(F.xxhash64("k", F.lit(-1), "s")))
         leaves.append(live.where(n <= SHORT).select("key", "node", "more", "long", F.explode(F.array_distinct(edited)).alias("leaf")))
@@ -102,7 +102,7 @@ def one_edit(nodes: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, leaves)
         start, width = segment(n, F.col("i"), BLOCKS)
         block = F.xxhash64("k", "i", F.substring("s", F.lit(1), start), rest(F.col("s"), start + width + own)).alias("k")
-        live = long_.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).select("key", "node", "more", "long", block, F.substring("s", start + 1, width + own).alias("s"))
+        live = long_.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).select("key", "node", "told", "more", "long", block, F.substring("s", start + 1, width + own).alias("s"))
 
 
 def in_one_part(rows: DataFrame) -> DataFrame:
@@ -118,6 +118,8 @@ def in_two_parts(rows: DataFrame) -> DataFrame:
     """Rows by all but two parts, ``x`` and ``y``, in each of which the one of ``role`` 1 is longer by ``dx`` and ``dy``.
 
     Equally long lines take both roles where an insertion comes before a deletion; of each pair one has it that way.
+    ``tx`` and ``ty`` are hashes of the parts, where these adjoin of what is left without the character at their common
+    border by which one is longer: lines with one of them equal differ in the other part alone.
     """
     longer = [[(0, 0, 0), (1, -1, -1), (1, -1, 1)], [(1, 0, None), (0, 1, None)], [(1, 1, None)]]  # dx, dy and role (None: the side), by less
     pairs = list(combinations(range(PARTS), 2))
@@ -128,10 +130,12 @@ def in_two_parts(rows: DataFrame) -> DataFrame:
     (a, wa), (b, wb) = (segment(n, F.col(c), PARTS) for c in "ij")
     mx, my = (F.when(F.col("role") > 0, F.col(d)).otherwise(0) for d in ("dx", "dy"))
     each = each.select("*", a.alias("a"), wa.alias("wa"), b.alias("b"), wb.alias("wb"), mx.alias("mx"), my.alias("my"))
+    x, y = F.substring("s", F.expr("a + 1"), F.expr("wa + mx")), F.substring("s", F.expr("b + mx + 1"), F.expr("wb + my"))
+    adjoin = F.col("j") == F.col("i") + 1
+    tx, ty = F.when(adjoin, F.substring("s", F.expr("a + 1"), F.col("wa"))).otherwise(x), F.when(adjoin & (F.col("my") == 1), rest(y, F.lit(1))).otherwise(y)
     outside = F.substring("s", F.lit(1), F.col("a")), F.substring("s", F.expr("a + wa + mx + 1"), F.expr("b - a - wa")), rest(F.col("s"), F.expr("b + wb + mx + my"))
     return each.select(
-        "id", F.xxhash64("key", "i", "j", "dx", "dy", *outside).alias("key"), F.substring("s", F.expr("a + 1"), F.expr("wa + mx")).alias("x"),
-        F.substring("s", F.expr("b + mx + 1"), F.expr("wb + my")).alias("y"), "dx", "dy", "role",
+        "id", F.xxhash64("key", "i", "j", "dx", "dy", *outside).alias("key"), x.alias("x"), y.alias("y"), F.xxhash64(tx).alias("tx"), F.xxhash64(ty).alias("ty"), "dx", "dy", "role",
     )
 
 
@@ -139,14 +143,14 @@ def apart_twice(rows: DataFrame) -> DataFrame:
     """``key``, ``id`` and ``role`` of lines with one edit in each of two parts; those of a key are two edits apart."""
 
     def both(rows: DataFrame) -> DataFrame:
-        sides = rows.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("hx", "hy", "role")], F.max(F.abs("dx")).alias("ax"), F.max(F.abs("dy")).alias("ay"))
-        sides = sides.where("(ax > 0 OR min_hx <> max_hx) AND (ay > 0 OR min_hy <> max_hy) AND (min_role = 0 AND max_role = 0 OR min_role < max_role)")
+        sides = rows.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("id", "tx", "ty", "role")])
+        sides = sides.where("min_id <> max_id AND min_tx <> max_tx AND min_ty <> max_ty AND (min_role = 0 AND max_role = 0 OR min_role < max_role)")
         return stored(rows.join(sides.select("key"), "key", "left_semi"))
 
     def narrowed(rows: DataFrame, text: str, d: str) -> DataFrame:
         longer = (F.col(d) != 0) & ((F.col(d) > 0) == (F.col("role") > 0))
-        nodes = rows.select("key", F.col(f"h{text}").alias("node"), F.col(text).alias("s"), F.abs(d).alias("more"), longer.alias("long")).distinct()
-        leaf = one_edit(nodes).drop("more").withColumnsRenamed({"key": "_key", "node": "_node", "long": "_long"})
+        nodes = rows.select("key", F.col(f"h{text}").alias("node"), F.col(f"t{text}").alias("told"), F.col(text).alias("s"), F.abs(d).alias("more"), longer.alias("long")).distinct()
+        leaf = stored(one_edit(nodes)).drop("more").withColumnsRenamed({"key": "_key", "node": "_node", "long": "_long"})
         return rows.join(leaf, (F.col("key") == F.col("_key")) & (F.col(f"h{text}") == F.col("_node")) & (longer == F.col("_long"))).drop("_key", "_node", "_long", "key").withColumnRenamed("leaf", "key")
 
     rows = both(rows.withColumns({"hx": F.xxhash64("x"), "hy": F.xxhash64("y")}))
@@ -180,9 +184,11 @@ def near_at_hot(hot: DataFrame, edits: int) -> DataFrame:
     """Links ``a``, ``b`` that join what is within ``edits`` edits among lines (``id``, ``line``) of hot segments; others may miss."""
     ways = [(0, 0)] + [(less, side) for less in range(1, edits + 1) for side in (-1, 1)]
     ways = F.explode(F.array(*[F.struct(F.lit(less).alias("less"), F.lit(side).alias("side")) for less, side in ways]))
-    rows = hot.select("id", F.col("line").alias("s"), ways.alias("way")).select("id", "s", "way.less", "way.side").withColumn("key", F.col("less").cast("long"))
+    rows = hot.select("id", F.col("line").alias("s"), ways.alias("way")).select("id", "s", "way.less", "way.side")
+    # Lines that are compared have one length, but for what the longer has more; all parts below are cut by it.
+    rows = rows.withColumn("key", F.xxhash64("less", F.length("s") - F.when(F.col("side") > 0, F.col("less")).otherwise(0)))
     if edits == 1:
-        nodes = rows.select("key", F.col("id").alias("node"), "s", F.col("less").alias("more"), (F.col("side") > 0).alias("long"))
+        nodes = rows.select("key", F.col("id").alias("node"), F.col("id").alias("told"), "s", F.col("less").alias("more"), (F.col("side") > 0).alias("long"))
         role = F.when(F.col("more") == 0, 0).when(F.col("long"), 1).otherwise(-1)
         return linked(one_edit(nodes).select(F.col("leaf").alias("key"), F.col("node").alias("id"), role.alias("role")))
     found, twice = [], []
@@ -192,7 +198,7 @@ def near_at_hot(hot: DataFrame, edits: int) -> DataFrame:
         few = rows.where(F.col("n") <= SMALL)
         a, b = (few.select("key", F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("side").alias(f"side{x}")) for x in "ab")
         pairs = a.join(b, "key").where("sidea < sideb OR sidea = 0 AND sideb = 0 AND a < b")
-        found.append(pairs.where(within(F.col("sa"), F.col("sb"), edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        found.append(verified(pairs.select("a", "b", "sa", "sb"), "sa", "sb", edits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         many = rows.where(F.col("n") > SMALL).drop("n")
         short = F.length("s") <= SHORT + F.when(F.col("side") > 0, F.col("less")).otherwise(0)
         found.append(linked(left_over(many.where(short))))
@@ -290,6 +296,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (gap <= edits) & (F.element_at(run, 1) <= edits)
 
 
+def verified(pairs: DataFrame, la: str, lb: str, edits: int) -> DataFrame:
+    """``a`` and ``b`` of pairs whose texts ``la`` and ``lb`` are within ``edits`` edits."""
+    for columns in (by_length(la, lb), *cores()):
+        pairs = pairs.withColumns(columns)
+    # Behind a generator, so that no condition is moved below and computes the columns again.
+    pairs = pairs.select("a", "b", F.explode(F.array(F.struct("_longer", "_shorter", "_n"))).alias("c")).select("a", "b", "c.*")
+    pairs = pairs.where((F.length("_longer") - F.col("_n") <= edits) & mostly_there(edits, CHECKED))
+    return pairs.where((F.col("_n") == 0) | within(F.col("_longer"), F.col("_shorter"), edits)).select("a", "b")
+
+
 def meetings(keyed: DataFrame, names: list[str], own: list[int]) -> DataFrame:
     """``a``, ``b``, ``hot``: lines that meet at a key, HOT at most for each probe; of a hot key one row for each probe.
 
@@ -327,12 +343,7 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
     pairs = met.where("b IS NOT NULL")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    for columns in (by_length("la", "lb"), *cores()):
-        both = both.withColumns(columns)
-    # Behind a generator, so that no condition is moved below and computes the columns again.
-    both = both.select("a", "b", F.explode(F.array(F.struct("_longer", "_shorter", "_n"))).alias("c")).select("a", "b", "c.*")
-    both = both.where((F.length("_longer") - F.col("_n") <= edits) & mostly_there(edits, CHECKED))
-    links = stored(both.where((F.col("_n") == 0) | within(F.col("_longer"), F.col("_shorter"), edits)).select("a", "b"))
+    links = stored(verified(both, "la", "lb", edits))
     hot = met.where("b IS NULL").select(F.col("a").alias("id"))
     if not edits or hot.isEmpty():
         return links

@@ -734,6 +734,22 @@ def test_lines_of_one_text_with_changes(spark, monkeypatch):
         assert got.where("text <> ''").count() == len({find(par, x) for x in distinct}) < len(distinct)
 
 
+def test_lines_that_differ_in_one_part_alone_are_not_narrowed_down(spark, monkeypatch):
+    """Lines with another word in their last part have no edits in two parts, whichever way they are shifted."""
+    made, one_edit = [], line_dedup.one_edit
+
+    def counted(nodes):
+        made.append(nodes.count())
+        return one_edit(nodes)
+
+    monkeypatch.setattr(line_dedup, "one_edit", counted)
+    rng = np.random.default_rng(14)
+    lines = ["thirty characters of beginning and " + "".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12)]
+    rows = spark.createDataFrame([(7, i, x, 0, 0) for i, x in enumerate(lines)], "key long, id long, s string, less int, side int")
+    assert line_dedup.apart_twice(line_dedup.in_two_parts(rows)).count() == 0
+    assert sum(made) == 0
+
+
 def test_lines_defined_cases(spark):
     got = line_dedup.dedup_lines(docs_of(spark)).collect()
     assert len(got) == len(ODD)
