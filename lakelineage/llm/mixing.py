@@ -19,6 +19,7 @@ from lakelineage.llm.common import checkpoint, free_name, word_count
 
 #: Ranks are cut into so many equal bins; only the bin in which a source's target falls is sorted.
 BINS = 4096
+MOST_SENT = 100_000  # sources whose targets are sent to every task; those of more sources are joined by a shuffle
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -66,6 +67,11 @@ def certain(steps: DataFrame, targets: DataFrame) -> DataFrame:
     return both.withColumn("_rest", F.col("_rest") - F.col("_taken")).drop("_taken")
 
 
+def small(by_source: DataFrame) -> DataFrame:
+    """Rows of a source each, stored, sent to every task unless they are too many; so no texts are shuffled to meet them."""
+    return F.broadcast(by_source) if by_source.limit(MOST_SENT + 1).count() <= MOST_SENT else by_source
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, inclusion: Column | None = None
 ) -> DataFrame:
@@ -99,7 +105,7 @@ def mix(
     p, own = bounded(F.col("_p")), bounded(F.coalesce(F.try_divide(F.col("_rest") * F.col("_weight"), F.col("_total")), F.lit(0.0)))
     q = (F.col("_u") / (1 - F.col("_u"))) / (own / (1 - own))
     ranked = (
-        rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+        rows.join(small(targets.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("_q", q / (1 + q))
         # q / (1 + q) is far from even within a source; times the odds of the mean probability it is about even.
@@ -110,16 +116,19 @@ def mix(
     ranked = ranked.withColumn("_bin", F.when(F.col("_weight") >= F.col("_sure"), -1).otherwise(F.col("_bin")))
     bins = ranked.groupBy("source", "_bin", "_rest").agg(F.sum(F.when(F.col("_bin") >= 0, F.col("size")).otherwise(0)).alias("_words"))
     upto = F.sum("_words").over(Window.partitionBy("source").orderBy("_bin"))
-    bins = bins.withColumn("_before", upto - F.col("_words")).select(
-        F.col("source").alias("_source"), F.col("_bin").alias("_b"), "_before", ((F.col("_bin") < 0) | (upto <= F.col("_rest"))).alias("_in"), (upto - F.col("_words") >= F.col("_rest")).alias("_out")
-    )
-    binned = ranked.join(bins, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_b"))).drop("_source", "_b")
-    edge = ~F.col("_in") & ~F.col("_out")
+    # Words only grow from bin to bin, so of each source all bins up to one are in, and at most one is cut: a row per source.
+    bins = bins.withColumn("_upto", upto).select("source", "_bin", (F.col("_upto") - F.col("_words")).alias("_before"), ((F.col("_bin") < 0) | (F.col("_upto") <= F.col("_rest"))).alias("_in"), "_rest")
+    cut = ~F.col("_in") & (F.col("_before") < F.col("_rest"))
+    bins = bins.groupBy("source").agg(
+        F.coalesce(F.max(F.when(F.col("_in"), F.col("_bin"))), F.lit(-2)).alias("_last"), F.min(F.when(cut, F.col("_bin"))).alias("_cut"), F.min(F.when(cut, F.col("_before"))).alias("_before"),
+    ).withColumnRenamed("source", "_source")
+    binned = ranked.join(small(checkpoint(bins)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_in", F.col("_bin") <= F.col("_last"))
+    edge = F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False))
     sure = binned.where(~edge).withColumn("_more", F.col("_in"))
     ahead = F.sum("size").over(Window.partitionBy("source", "_bin").orderBy("_q", "_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     near = binned.where(edge).withColumn("_more", F.col("_before") + F.coalesce(ahead, F.lit(0)) + F.col("size") / 2 <= F.col("_rest"))
     out = sure.unionByName(near).withColumn("taken", (F.col("size") * (F.col("_whole") + F.col("_more").cast("long"))).cast("long"))
-    return out.drop("_h", "_u", "_weight", "_total", "_sure", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_in", "_out", "_more")
+    return out.drop("_h", "_u", "_weight", "_total", "_sure", "_whole", "_rest", "_p", "_q", "_bin", "_before", "_last", "_cut", "_in", "_more")
 
 
 def copies(mixed: DataFrame) -> DataFrame:

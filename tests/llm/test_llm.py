@@ -235,6 +235,15 @@ def test_mix_is_pareto_order_sampling(spark, by_source):
     assert by_source or np.mean(longer) > 1 and certain > 5
 
 
+def test_mix_shuffles_no_texts(spark, monkeypatch):
+    """Targets come to the documents; with more sources than are sent, the mix is the same."""
+    docs = docs_of(spark)
+    mixed = mixing.mix(docs)
+    assert "SortMergeJoin" not in mixed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "MOST_SENT", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixed.collect()))
+
+
 def test_mix_defined_cases(spark):
     got = {r.doc_id: r for r in mixing.mix(docs_of(spark)).collect()}
     assert got[1].size == 0 == got[1].taken and got[5].size == 5000
